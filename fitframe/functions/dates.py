@@ -79,7 +79,13 @@ def sas_date_parts(c, with_hour: bool = False) -> dict[str, Column]:
     month abbreviations parse with the ``MMM`` pattern.
     """
     c = _c(c)
-    d = F.to_date(F.initcap(F.lower(F.substring(c, 1, 7))), "ddMMMyy")
+    # Two-digit years follow the POSIX strptime pivot: 69-99 -> 19xx, 00-68 -> 20xx
+    # (Spark's ``yy`` would put every year in 20xx).
+    yy = F.substring(c, 6, 2).cast("int")
+    year = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
+    text = F.concat(F.substring(c, 1, 2), F.lit("-"), F.initcap(F.lower(F.substring(c, 3, 3))),
+                    F.lit("-"), year.cast("string"))
+    d = F.to_date(text, "dd-MMM-yyyy")
     out = {
         "D": F.substring(c, 1, 2),
         "M": F.month(d),

@@ -53,12 +53,20 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict:
     return out
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
 def _fill(df: DataFrame, values: dict) -> DataFrame:
+    """Coalesce each column with its fill value.  A float fill of an integer
+    column makes the column double (pandas: an int column with NaN is float)."""
     dtypes = dict(df.dtypes)
-    return df.withColumns({
-        c: F.coalesce(F.col(c), F.lit(v).cast(dtypes[c]))
-        for c, v in values.items() if v is not None
-    })
+    out = {}
+    for c, v in values.items():
+        if v is None:
+            continue
+        t = "double" if (isinstance(v, float) and dtypes[c] in _INTEGRAL) else dtypes[c]
+        out[c] = F.coalesce(F.col(c).cast(t), F.lit(v).cast(t))
+    return df.withColumns(out)
 
 
 def fill_mean(df: DataFrame, columns: list[str] | None = None, fit: DataFrame | None = None) -> DataFrame:
@@ -76,8 +84,7 @@ def fill_mode(df: DataFrame, columns: list[str] | None = None, fit: DataFrame |
 class MixedImputer(Estimator):
     """Text columns -> mode, other columns -> mean.
 
-    Integer columns receive the mean cast back to the column type, which is
-    what filling an integer column with a float mean does once it is stored.
+    An integer column filled with a (float) mean becomes double.
     """
 
     def __init__(self, inputCols: list[str] | None = None):

@@ -34,6 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def r6(c) -> Column:
-    """Round a double to 6 places (the comparison precision)."""
-    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 6)
+def r6(c, places: int = 6) -> Column:
+    """Round a double to 6 places (the comparison precision); ``+ 0.0``
+    turns a rounded -0.0 into 0.0 so both engines print the same value."""
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), places) + F.lit(0.0)
+
+
+def R6(expr: str, places: int = 6) -> str:
+    """The SQL twin of :func:`r6`."""
+    return f"(round(CAST({expr} AS DOUBLE), {places}) + 0.0)"
+
+
+def cents(c) -> Column:
+    """Money as exact integer cents (sums then agree bit-for-bit in any order)."""
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double") * 100).cast("long")
+
+
+def CENTS(expr: str) -> str:
+    return f"CAST(round(CAST({expr} AS DOUBLE) * 100) AS BIGINT)"
