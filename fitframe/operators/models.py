@@ -146,12 +146,29 @@ def grid_search(est, grid: dict, df: DataFrame, evaluator, fold_col: str,
     return fitted.bestModel, report
 
 
-def early_stopping_curve(model, valid: DataFrame, loss: str = "squared") -> DataFrame:
-    """Validation loss after each boosting round (K14): the patience rule of
-    the reference is read from this curve (best round = argmin)."""
-    errs = model.evaluateEachIteration(valid, loss) if hasattr(model, "evaluateEachIteration") else []
+def best_round(losses: list[float], patience: int) -> int:
+    """Patience rule of the watchlist: stop once ``patience`` rounds pass
+    without a new best validation loss; the answer is the best round (1-based)."""
+    best, best_i = float("inf"), 0
+    for i, e in enumerate(losses):
+        if e < best:
+            best, best_i = e, i
+        elif i - best_i >= patience:
+            break
+    return best_i + 1
+
+
+def early_stopping_curve(model, valid: DataFrame, patience: int = 100,
+                         loss: str = "squared") -> DataFrame:
+    """Validation loss after each boosting round and the round the patience
+    rule keeps (K14).  The curve is one pass per round over the validation
+    rows (``evaluateEachIteration``); refit with ``maxIter = best`` to get
+    the early-stopped model."""
+    errs = [float(e) for e in model.evaluateEachIteration(valid, loss)]
+    best = best_round(errs, patience)
     return valid.sparkSession.createDataFrame(
-        [(i + 1, float(e)) for i, e in enumerate(errs)], "round int, valid_loss double")
+        [(i + 1, e, i + 1 == best) for i, e in enumerate(errs)],
+        "round int, valid_loss double, is_best boolean")
 
 
 def importances(model, feature_names: list[str]) -> DataFrame:
