@@ -3,10 +3,12 @@
 Each fit is a fixed, small number of Spark jobs no matter how many columns:
 
 * :class:`LabelEncoder` unpivots all input columns into ``(name, value)``
-  pairs, de-duplicates them (map-side partial distinct, then one shuffle),
-  and numbers them with :func:`~fitframe.operators.rank.global_rank` -- no
-  label list is collected on the driver, so a column with 10^8 distinct
-  values (device ids, IPs) fits the same way as one with 5.  The mapping
+  pairs and de-duplicates them (map-side partial distinct, then one
+  shuffle).  When at most ``collect_max`` distinct values come back (one
+  bounded ``limit`` job) they are numbered on the driver; otherwise they are
+  numbered with :func:`~fitframe.operators.rank.global_rank` and no label
+  list reaches the driver, so a column with 10^8 distinct values (device
+  ids, IPs) fits as a distributed job.  The mapping
   stays a DataFrame; at transform time it is broadcast only when the fitted
   distinct count (known exactly from the fit) is under ``broadcast_max``,
   otherwise the join shuffles.
@@ -20,6 +22,8 @@ only; ``'each'`` is done by fitting twice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from pyspark.sql.types import NumericType
 from .rank import global_rank
 
 DEFAULT_BROADCAST_MAX = 500_000
+DEFAULT_COLLECT_MAX = 100_000
 
 
 def fit_frame(train: DataFrame, test: DataFrame | None, fit_on: str, columns: list[str]) -> DataFrame:
@@ -48,11 +53,30 @@ class LabelEncoder(Estimator):
     """
 
     def __init__(self, inputCols: list[str], outputCols: list[str] | None = None,
-                 broadcast_max: int = DEFAULT_BROADCAST_MAX):
+                 broadcast_max: int = DEFAULT_BROADCAST_MAX, collect_max: int = DEFAULT_COLLECT_MAX):
         super().__init__()
         self.inputCols = list(inputCols)
         self.outputCols = list(outputCols) if outputCols else list(inputCols)
         self.broadcast_max = broadcast_max
+        self.collect_max = collect_max
+
+    def _from_values(self, dataset: DataFrame, numeric: set, rows) -> "LabelEncoderModel":
+        """Number a bounded list of distinct values in the same order the
+        distributed path uses: NULL first, then ascending (NaN last)."""
+        def key(r):
+            d = r["dval"]
+            dk = (0, 0.0) if d is None else ((2, 0.0) if math.isnan(d) else (1, d))
+            return (r["name"], r["present"], dk, (r["sval"] is not None, r["sval"] or ""))
+        out, sizes, pos = [], {}, {}
+        for r in sorted(rows, key=key):
+            code = pos.get(r["name"], 0)
+            pos[r["name"]] = code + 1
+            out.append((r["name"], r["present"], r["dval"], r["sval"], code))
+        sizes = dict(pos)
+        mapping = dataset.sparkSession.createDataFrame(
+            out, "name string, present boolean, dval double, sval string, code int")
+        return LabelEncoderModel(self.inputCols, self.outputCols, numeric, mapping, sizes,
+                                 self.broadcast_max)
 
     def _fit(self, dataset: DataFrame) -> "LabelEncoderModel":
         numeric = {f.name for f in dataset.schema.fields
@@ -68,6 +92,13 @@ class LabelEncoder(Estimator):
         ]
         values = (dataset.select(F.explode(F.array(*pairs)).alias("kv"))
                   .select("kv.*").distinct())
+        # Small dictionaries (the usual case): one job returns at most
+        # collect_max + 1 distinct values; when under the bound they are
+        # numbered on the driver and the mapping is a proven-small table.
+        if self.collect_max > 0:
+            head = values.limit(self.collect_max + 1).collect()
+            if len(head) <= self.collect_max:
+                return self._from_values(dataset, numeric, head)
         ranked = global_rank(values, [F.col("name").asc(), F.col("present").asc(),
                                       F.col("dval").asc_nulls_first(),
                                       F.col("sval").asc_nulls_first()], "_r")

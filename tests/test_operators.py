@@ -86,6 +86,8 @@ def test_t10_t14_label_encoder_union_null_class(spark):
     enc = LabelEncoder(["v"], ["code"]).fit(tr.unionByName(te))
     got = dict(rows(enc.transform(tr.unionByName(te)), "v", "code"))
     assert got == {None: 0, "a": 1, "b": 2, "c": 3}
+    dist = LabelEncoder(["v"], ["code"], collect_max=0).fit(tr.unionByName(te))  # distributed path
+    assert dict(rows(dist.transform(tr.unionByName(te)), "v", "code")) == got
     num = spark.createDataFrame([(10,), (2,), (2,), (33,)], "n int")
     assert dict(rows(LabelEncoder(["n"], ["c"]).fit(num).transform(num), "n", "c")) == {2: 0, 10: 1, 33: 2}
 
