@@ -16,10 +16,27 @@ from ..functions.arith import rain_rate
 
 
 def lag_diff(df: DataFrame, group: list[str], order: list[str], column: str,
-             name: str = "delta", default: float = 0) -> DataFrame:
-    """``x - lag(x, 1, default)`` inside each group in order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.col(column) - F.lag(column, 1, default).over(w))
+             name: str = "delta", default: float = 0, skew_safe: bool = True) -> DataFrame:
+    """``x - lag(x, 1, default)`` inside each group in order.
+
+    ``skew_safe`` (default): rows are numbered over (group, order) with the
+    range-partitioned rank and each row finds its predecessor by one
+    equi-join on position - 1, so a hot group is spread over many tasks.
+    ``skew_safe=False``: a window partitioned by the group.
+    """
+    if not skew_safe:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(name, F.col(column) - F.lag(column, 1, default).over(w))
+    from .rank import global_rank
+    ranked = global_rank(df, [F.col(g).asc_nulls_first() for g in group]
+                         + [F.col(o).asc_nulls_first() for o in order], "_ff_pos")
+    gk = F.struct(*[F.col(g) for g in group])
+    prev = ranked.select((F.col("_ff_pos") + 1).alias("_ff_pos"), gk.alias("_ff_pg"),
+                         F.col(column).alias("_ff_px"))
+    j = ranked.join(prev, "_ff_pos", "left")
+    same = F.coalesce(F.col("_ff_pg").eqNullSafe(gk), F.lit(False))
+    lagged = F.when(same, F.col("_ff_px")).otherwise(F.lit(default))
+    return j.withColumn(name, F.col(column) - lagged).drop("_ff_pos", "_ff_pg", "_ff_px")
 
 
 def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute: str,
@@ -40,9 +57,9 @@ def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute:
     ``skew_safe=False`` uses a window partitioned by the group: one exchange,
     but a group holding a third of all rows is one task.  ``skew_safe=True``
     (default) never puts a group in one task: rows get a global position
-    over (group, order) from the range-partitioned rank, and the previous
-    and next readings are found by equi-joins on position +- 1 -- a unique,
-    evenly spread key -- and the final sum is a partial (map-side) aggregate.
+    over (group, order) from the range-partitioned rank, each row meets its
+    successor through one equi-join on position + 1 (a unique, evenly spread
+    key), and the final sum is a partial (map-side) aggregate.
     """
     r = rate if not isinstance(rate, str) else F.col(rate)
     finite = r.isNotNull() & ~F.isnan(r) & (F.abs(r) != F.lit(float("inf")))
@@ -52,28 +69,32 @@ def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute:
                              F.col(minute).alias("_ff_min"),
                              F.lag(F.col(minute), 1, 0).over(w).alias("_ff_prev"),
                              F.lead(F.lit(1), 1).over(w).isNull().alias("_ff_last"))
-    else:
-        from .rank import global_rank
-        base = df.select(*group, *order, F.when(finite, r).alias("_ff_rate"),
-                         F.col(minute).alias("_ff_min"))
-        ranked = global_rank(base, [F.col(g).asc_nulls_first() for g in group]
-                             + [F.col(o).asc_nulls_first() for o in order], "_ff_pos")
-        gk = F.struct(*[F.col(g) for g in group])
-        prev_t = ranked.select((F.col("_ff_pos") + 1).alias("_ff_pos"), gk.alias("_ff_pg"),
-                               F.col("_ff_min").alias("_ff_pm"))
-        next_t = ranked.select((F.col("_ff_pos") - 1).alias("_ff_pos"), gk.alias("_ff_ng"))
-        readings = (ranked.select("_ff_pos", *group, "_ff_rate", "_ff_min", gk.alias("_ff_g"))
-                    .join(prev_t, "_ff_pos", "left")
-                    .join(next_t, "_ff_pos", "left")
-                    .withColumn("_ff_prev", F.when(F.col("_ff_pg").eqNullSafe(F.col("_ff_g")),
-                                                   F.col("_ff_pm")).otherwise(F.lit(0)))
-                    .withColumn("_ff_last", ~F.coalesce(F.col("_ff_ng").eqNullSafe(F.col("_ff_g")),
-                                                        F.lit(False))))
-    valid = F.when(F.col("_ff_last"), F.lit(horizon) - F.col("_ff_prev")) \
-             .otherwise(F.col("_ff_min") - F.col("_ff_prev"))
-    contrib = F.col("_ff_rate") * valid.cast("double") / F.lit(horizon)
-    return readings.groupBy(*group).agg(
-        F.coalesce(F.sum(contrib), F.lit(0.0)).alias(name))
+        valid = F.when(F.col("_ff_last"), F.lit(horizon) - F.col("_ff_prev")) \
+                 .otherwise(F.col("_ff_min") - F.col("_ff_prev"))
+        contrib = F.col("_ff_rate") * valid.cast("double") / F.lit(horizon)
+        return readings.groupBy(*group).agg(F.coalesce(F.sum(contrib), F.lit(0.0)).alias(name))
+
+    # Skew-safe form.  sum(rate * (end - prev)) splits into a term owned by
+    # each row (rate * end, end = own minute, or the horizon when the next
+    # row is in another group) and a term owned by its successor in the same
+    # group (-rate_next * own minute).  Both come from ONE equi-join of each
+    # row with the row at position + 1.
+    from .rank import global_rank
+    base = df.select(*group, *order, F.when(finite, r).alias("_ff_rate"),
+                     F.col(minute).alias("_ff_min"))
+    ranked = global_rank(base, [F.col(g).asc_nulls_first() for g in group]
+                         + [F.col(o).asc_nulls_first() for o in order], "_ff_pos")
+    gk = F.struct(*[F.col(g) for g in group])
+    cur = ranked.select("_ff_pos", *group, gk.alias("_ff_g"), "_ff_rate", "_ff_min")
+    nxt = ranked.select((F.col("_ff_pos") - 1).alias("_ff_pos"), gk.alias("_ff_ng"),
+                        F.col("_ff_rate").alias("_ff_nrate"))
+    pairs = cur.join(nxt, "_ff_pos", "left")
+    same = F.coalesce(F.col("_ff_ng").eqNullSafe(F.col("_ff_g")), F.lit(False))
+    end = F.when(same, F.col("_ff_min")).otherwise(F.lit(horizon)).cast("double")
+    own = F.col("_ff_rate") * end / F.lit(horizon)
+    succ = F.when(same, -F.col("_ff_nrate") * F.col("_ff_min").cast("double") / F.lit(horizon))
+    return pairs.groupBy(*group).agg(
+        (F.coalesce(F.sum(own), F.lit(0.0)) + F.coalesce(F.sum(succ), F.lit(0.0))).alias(name))
 
 
 def rain_estimate(df: DataFrame, group: list[str], order: list[str], minute: str,

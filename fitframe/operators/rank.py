@@ -40,10 +40,21 @@ def _as_order(spec) -> list[Column]:
     return out
 
 
+# Range partitions are sized from Catalyst's estimate of the input (bytes as
+# stored, i.e. compressed for Parquet): about this much input per partition.
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else max(shuffle partitions, estimated size / target)."""
     if num_partitions:
         return num_partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return base
+    return max(base, min(-(-est // TARGET_PARTITION_BYTES), 1_000_000))
 
 
 def sorted_tagged(df: DataFrame, order_by, num_partitions: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ..operators.ordered import rain_estimate
+from ..operators.clean import complement
+from ..operators.ordered import lag_diff, rain_estimate
 from ..operators.post import row_ids, zero_closed
 from ..operators.rank import cumulative, global_rank
 from ..operators.relate import (flatten_agg, left_lookup, natural_join, share_of_total,
@@ -109,6 +110,16 @@ def weighted_duration_q(spark, sf):
     return est.select("event_type", "hour_key", r6("estimate").alias("estimate"))
 
 
+@query("lag_delta", """
+SELECT event_id, user_id,
+       value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS delta
+FROM events""")
+def lag_delta(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return lag_diff(e, ["user_id"], ["ts", "event_id"], "value", "delta", 0.0) \
+        .select("event_id", "user_id", "delta")
+
+
 @query("share_of_total", f"""
 SELECT o_orderkey, {R6('o_totalprice / (SELECT sum(o_totalprice) FROM orders) * 1000000')} AS share_ppm
 FROM orders""")
@@ -241,7 +252,9 @@ SELECT least(1000, count(*)) AS n_sample, count(*) - least(1000, count(*)) AS n_
 def split_fixed_n(spark, sf):
     o = table(spark, sf, "orders")
     flagged = fixed_sample_split(o, 1000, ["o_orderkey"], seed=7)
-    props = _partition_props(flagged.where("is_sample"), flagged.where("NOT is_sample"), "o_orderkey")
+    sample = flagged.where("is_sample")
+    rest = complement(o, sample, ["o_orderkey"])          # P8: rows not in the sample (anti join)
+    props = _partition_props(sample, rest, "o_orderkey")
     dev = sample_rows(o, 500, ["o_orderkey"], seed=11).agg(F.count(F.lit(1)).alias("n_dev"))
     counts = flagged.agg(F.sum(F.col("is_sample").cast("long")).alias("n_sample"),
                          F.sum((~F.col("is_sample")).cast("long")).alias("n_rest"))

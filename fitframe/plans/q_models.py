@@ -214,6 +214,30 @@ def discriminant_moments(spark, sf):
 # ---------------------------------------------------------------- selection
 
 
+@query("fit_pipeline")
+def fit_pipeline(spark, sf):
+    """Impute -> encode -> scale -> assemble -> boosted trees as one ``Pipeline``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.encode import ZScore
+    from ..operators.impute import MixedImputer
+    from .q_core import customer_with_nulls
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                         F.month("o_orderdate").alias("month"))
+    j = o.join(customer_with_nulls(spark, sf), F.col("o_custkey") == F.col("c_custkey"), "left") \
+        .withColumn("label", log_target("o_totalprice"))
+    _, train, test = expr_split(j, modulo_condition("o_orderkey"))
+    pipe = Pipeline(stages=[
+        MixedImputer(["c_acctbal", "c_mktsegment"]),
+        LabelEncoder(["c_mktsegment"], ["seg_code"]),
+        ZScore(["c_acctbal"], ["z_acctbal"]),
+        VectorAssembler(inputCols=["seg_code", "z_acctbal", "month", "c_nationkey"], outputCol="features",
+                        handleInvalid="keep"),
+        estimator("gbt_reg", maxIter=10, maxDepth=4)])
+    return pipe.fit(train).transform(test).select("o_orderkey", "prediction")
+
+
 @query("cv_scores")
 def cv_scores(spark, sf):
     flagged, _, _ = lineitem_matrix(spark, sf)
