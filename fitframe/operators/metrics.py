@@ -106,16 +106,15 @@ def gini(df: DataFrame, label: str, pred: str, tiebreak: str, name: str = "gini"
                      F.sum(F.col("_y") * (F.lit(0) - F.col("_pos"))).alias(f"w{suffix}"))
 
     p, t = part("_p", "p"), part("_y", "t")
-    j = p.crossJoin(t)  # two one-row tables
+    tt = t.select(F.struct("nt", "st", "wt")).scalar()  # one-row aggregate as a scalar subquery
 
-    def g(sfx):
-        n = F.col(f"n{sfx}").cast("double")
+    def g(n, s, w):
+        n = n.cast("double")
         ones = F.when(n > 1, n / 2).otherwise(F.lit(0.0))  # linspace(0,1,1) = [0]
         # sum(y * (n - pos + 1)) = (n + 1) * sum(y) - sum(y * pos)
-        cum = (n + 1) * F.col(f"s{sfx}") + F.col(f"w{sfx}")
-        return ones - cum / F.col(f"s{sfx}")
+        return ones - ((n + 1) * s + w) / s
 
-    return j.select((g("p") / g("t")).alias(name))
+    return p.select((g(F.col("np"), F.col("sp"), F.col("wp")) / g(tt["nt"], tt["st"], tt["wt"])).alias(name))
 
 
 def auc(df: DataFrame, label: str, score: str, name: str = "auc") -> DataFrame:

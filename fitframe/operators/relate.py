@@ -84,9 +84,7 @@ def flatten_agg(df: DataFrame, key, spec: dict[str, list[str]], sep: str = "_")
 
 
 def share_of_total(df: DataFrame, column: str, name: str = "share") -> DataFrame:
-    """``c / sum(c)`` (I7).  The total is one aggregate row, joined as a
-    one-row broadcast (size 1 is a proven bound)."""
-    total = df.agg(F.sum(F.col(column).cast("double")).alias("_ff_total"))
-    return (df.crossJoin(F.broadcast(total))
-              .withColumn(name, F.col(column).cast("double") / F.col("_ff_total"))
-              .drop("_ff_total"))
+    """``c / sum(c)`` (I7).  The total is a scalar subquery (one aggregate,
+    evaluated once), not a join."""
+    total = df.select(F.sum(F.col(column).cast("double"))).scalar()
+    return df.withColumn(name, F.col(column).cast("double") / total)

@@ -200,7 +200,7 @@ def wide_submission_q(spark, sf):
 
 
 @query("split_modulo", f"""
-SELECT (o_orderkey % 10) >= 5 AS is_train, count(*) AS n, sum({CENTS('o_totalprice')}) AS cents
+SELECT (o_orderkey % 10) >= 5 AS is_train, count(*) AS n, CAST(sum({CENTS('o_totalprice')}) AS BIGINT) AS cents
 FROM orders GROUP BY 1""")
 def split_modulo(spark, sf):
     o = table(spark, sf, "orders")
@@ -211,7 +211,7 @@ def split_modulo(spark, sf):
 
 @query("split_arith", f"""
 SELECT ((o_custkey * 15 + o_orderkey * 3) % 17) <= 13 AS is_train, count(*) AS n,
-       sum({CENTS('o_totalprice')}) AS cents
+       CAST(sum({CENTS('o_totalprice')}) AS BIGINT) AS cents
 FROM orders GROUP BY 1""")
 def split_arith(spark, sf):
     o = table(spark, sf, "orders")
@@ -258,7 +258,8 @@ def split_fixed_n(spark, sf):
     dev = sample_rows(o, 500, ["o_orderkey"], seed=11).agg(F.count(F.lit(1)).alias("n_dev"))
     counts = flagged.agg(F.sum(F.col("is_sample").cast("long")).alias("n_sample"),
                          F.sum((~F.col("is_sample")).cast("long")).alias("n_rest"))
-    return counts.crossJoin(props.select("n_overlap")).crossJoin(dev)
+    return counts.select("n_sample", "n_rest", props.select("n_overlap").scalar().alias("n_overlap"),
+                         dev.select("n_dev").scalar().alias("n_dev"))
 
 
 @query("split_folds", """

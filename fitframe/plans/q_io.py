@@ -39,7 +39,7 @@ def csv_roundtrip(spark, sf):
 
 
 @query("load_pair", f"""
-SELECT (o_orderkey % 10) >= 5 AS is_train, count(*) AS n, sum({CENTS('o_totalprice')}) AS cents
+SELECT (o_orderkey % 10) >= 5 AS is_train, count(*) AS n, CAST(sum({CENTS('o_totalprice')}) AS BIGINT) AS cents
 FROM orders GROUP BY 1""")
 def load_pair_q(spark, sf):
     o = table(spark, sf, "orders")
@@ -58,7 +58,7 @@ def load_pair_q(spark, sf):
 
 
 @query("reload_aggregate", f"""
-SELECT l_orderkey, count(*) AS n_lines, sum({CENTS('l_extendedprice')}) AS cents
+SELECT l_orderkey, count(*) AS n_lines, CAST(sum({CENTS('l_extendedprice')}) AS BIGINT) AS cents
 FROM lineitem GROUP BY l_orderkey""")
 def reload_aggregate(spark, sf):
     path = scratch(spark, "agg")

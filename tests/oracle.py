@@ -52,6 +52,12 @@ def normalise(rows, cols):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+# Spark simple type name -> DuckDB type name of the same logical type
+TYPE_PAIRS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
+              "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -60,6 +66,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     t2 = time.time()
     problems = []
@@ -67,6 +74,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
         problems.append(f"columns spark={sorted(s_cols)} duck={sorted(d_cols)}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
+    if not problems:
+        bad_types = [f"{c}:{t}/{d_types.get(c)}" for c, t in sdf.dtypes
+                     if TYPE_PAIRS.get(t, t) != d_types.get(c)]
+        if bad_types:
+            problems.append(f"types {bad_types}")
     if not problems:
         a, b = normalise(s_rows, s_cols), normalise(d_rows, d_cols)
         if a != b:
