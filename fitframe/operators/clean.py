@@ -60,10 +60,48 @@ def noisy_verdict(prof: DataFrame, min_share: float = 0.5, max_distinct_share: f
         .otherwise(F.lit("keep")))
 
 
-def drop_noisy(df: DataFrame, columns: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
-    """Drop the columns :func:`noisy_verdict` rejects (P6); ``keep`` are never dropped."""
-    verdict = noisy_verdict(profile_columns(df, columns)).where(F.col("verdict") != "keep")
-    bad = {r["name"] for r in verdict.select("name").collect()}  # <= number of columns
+def noisy_columns(df: DataFrame, columns: list[str] | None = None, approx_first: bool = True,
+                  min_share: float = 0.5, max_distinct_share: float = 0.4, rsd: float = 0.02) -> set:
+    """Names of the columns the P6 rule rejects, exactly.
+
+    ``approx_first``: one aggregate gives row count, non-null counts and
+    HyperLogLog distinct estimates for every column.  Only columns whose
+    estimate lies within the error band (5 * rsd) of a distinct threshold are
+    re-counted exactly with :func:`profile_columns`, so the verdict equals
+    the exact one while wide tables avoid the full unpivot.
+    """
+    cols = columns or df.columns
+    if not approx_first:
+        v = noisy_verdict(profile_columns(df, cols), min_share, max_distinct_share)
+        return {r["name"] for r in v.where(F.col("verdict") != "keep").select("name").collect()}
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(F.col(c)).alias(f"p{i}"),
+                 F.approx_count_distinct(F.col(c), rsd).alias(f"d{i}")]
+    row = df.agg(*aggs).first()  # one row: two numbers per column
+    n = row["_n"]
+    bad, unsure = set(), []
+    band = 5 * rsd
+    for i, c in enumerate(cols):
+        present, est = row[f"p{i}"], row[f"d{i}"]
+        if present == 0:
+            bad.add(c)                                  # no value at all (exact: count is exact)
+        elif present < min_share * n:
+            bad.add(c)                                  # exact: counts are exact
+        elif abs(est - max_distinct_share * n) <= band * max(est, 1) or est <= 1 + band * 2:
+            unsure.append(c)                            # near a distinct threshold: count exactly
+        elif est > max_distinct_share * n:
+            bad.add(c)
+    if unsure:
+        bad |= noisy_columns(df, unsure, approx_first=False, min_share=min_share,
+                             max_distinct_share=max_distinct_share)
+    return bad
+
+
+def drop_noisy(df: DataFrame, columns: list[str] | None = None, keep: list[str] = (),
+               approx_first: bool = True) -> DataFrame:
+    """Drop the columns the P6 rule rejects; ``keep`` are never dropped."""
+    bad = noisy_columns(df, columns, approx_first)  # <= number of columns
     return df.select(*[c for c in df.columns if c not in bad or c in keep])
 
 

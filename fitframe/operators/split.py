@@ -69,18 +69,39 @@ def fold_column(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 1337
                                       F.lit(k)).cast("int"))
 
 
+_DRAW_RANGE = 1 << 62
+
+
 def fixed_sample_split(df: DataFrame, n: int, key_cols: list[str], seed: int = 0,
                        flag: str = "is_sample") -> DataFrame:
-    """Exactly ``n`` rows as validation, the rest for training.
-
-    The n rows with the smallest hash draw (ties broken by the key) are
-    chosen: a global rank over the draw, no ``orderBy().limit()`` through one
-    task.  The flag marks the sample; the complement is ``~flag``.
+    """Exactly ``n`` rows as validation, the rest for training.
+
+    The sample is the ``n`` rows with the smallest hash draw (ties broken by
+    the key).  Instead of ranking the whole table, rows with a draw under a
+    bound sized for about 1.2 n expected rows are kept as candidates and
+    only they are ranked; when fewer than ``n`` come back the bound is
+    doubled.  The n smallest draws are always among the candidates, so the
+    result equals a full sort.  The chosen keys (n rows) join back as a
+    left join, broadcast only when ``n`` is small.
     """
-    draw = df.withColumn("_ff_draw", F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]))
-    ranked = global_rank(draw, [F.col("_ff_draw").asc()] + [F.col(k).asc() for k in key_cols],
+    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(_DRAW_RANGE))
+    drawn = df.withColumn("_ff_draw", draw)
+    total = df.count()
+    if n <= 0 or total == 0:
+        return df.withColumn(flag, F.lit(False))
+    frac = min(1.0, 1.2 * n / total + 16.0 / total)
+    while True:
+        bound = int(_DRAW_RANGE * frac) if frac < 1.0 else _DRAW_RANGE
+        cand = drawn.where(F.col("_ff_draw") < F.lit(bound)).select("_ff_draw", *key_cols)
+        if frac >= 1.0 or cand.count() >= min(n, total):
+            break
+        frac = min(1.0, frac * 2)
+    ranked = global_rank(cand, [F.col("_ff_draw").asc()] + [F.col(k).asc() for k in key_cols],
                          "_ff_pos")
-    return ranked.withColumn(flag, F.col("_ff_pos") <= n).drop("_ff_draw", "_ff_pos")
+    chosen = ranked.where(F.col("_ff_pos") <= n).select(*key_cols, F.lit(True).alias("_ff_in"))
+    chosen = F.broadcast(chosen) if n <= 1_000_000 else chosen
+    return (df.join(chosen, key_cols, "left")
+              .withColumn(flag, F.coalesce(F.col("_ff_in"), F.lit(False))).drop("_ff_in"))
 
 
 def sample_rows(df: DataFrame, n: int, key_cols: list[str], seed: int = 0) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.clean import drop_null_columns, drop_outliers, noisy_verdict, profile_columns
+from ..operators.clean import (drop_noisy, drop_null_columns, drop_outliers, noisy_verdict,
+                              profile_columns)
 from ..operators.encode import LabelEncoder, ZScore, first_seen_codes, fit_frame
 from ..operators.impute import MixedImputer, fill_mean, fill_mode, impute_each
 from ..operators.schema import describe
@@ -233,6 +234,29 @@ def column_profile(spark, sf):
     return noisy_verdict(profile_columns(o, _PROFILE_COLS))
 
 
+def _profile_src(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey", "o_orderdate", "o_totalprice",
+        F.when(F.pmod("o_orderkey", F.lit(19)) == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("o_custkey"),
+        F.when(F.pmod("o_orderkey", F.lit(13)) == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+@query("drop_noisy_cols", f"""
+WITH o AS ({_PROFILE_SRC_SQL}),
+p AS ({' UNION ALL '.join(
+    f"SELECT '{c}' AS name, count(*) AS n_rows, count({c}) AS n_present, count(DISTINCT {c}) AS n_distinct FROM o"
+    for c in _PROFILE_COLS)})
+SELECT name FROM p
+WHERE NOT (n_distinct < 1 OR n_present < 0.5 * n_rows OR n_distinct > 0.4 * n_rows)""")
+def drop_noisy_cols(spark, sf):
+    """P6 through the approx-first path: HyperLogLog for all columns, exact
+    recount only near a threshold; the kept column names are the result."""
+    kept = drop_noisy(_profile_src(spark, sf).select(*_PROFILE_COLS))
+    return spark.createDataFrame([(c,) for c in kept.columns], "name string")
+
+
 @query("drop_null_cols", """
 SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 >= 5""")
 def drop_null_cols(spark, sf):

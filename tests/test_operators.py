@@ -202,3 +202,21 @@ def test_rain_estimate_groups(spark):
         assert abs(got[2] - (rate(30.0) * 10 / 60 + rate(30.0) * 50 / 60)) < 1e-12
         assert got[3] == 0.0
         assert abs(got[4] - (rate(20.0) * 30 / 60 + rate(10.0) * 30 / 60)) < 1e-12
+
+
+def test_noisy_columns_approx_equals_exact(spark):
+    from fitframe.operators.clean import noisy_columns
+    rows_ = [(i, i % 400, None if i % 3 else "x", i % 2, i % 401) for i in range(1000)]
+    df = spark.createDataFrame(rows_, "id int, near int, sparse string, flag int, over int")
+    exact = noisy_columns(df, approx_first=False)
+    assert exact == {"id", "sparse", "over"}
+    assert noisy_columns(df, approx_first=True) == exact
+
+
+def test_fixed_sample_is_n_smallest_draws(spark):
+    df = spark.range(0, 5000).withColumnRenamed("id", "key")
+    f = fixed_sample_split(df, 37, ["key"], seed=3)
+    got = {r.key for r in f.where("is_sample").collect()}
+    d = df.select("key", F.pmod(F.xxhash64(F.lit(3), F.col("key")), F.lit(1 << 62)).alias("d")).collect()
+    want = {r.key for r in sorted(d, key=lambda r: (r.d, r.key))[:37]}
+    assert got == want and f.count() == 5000
