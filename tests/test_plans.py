@@ -43,3 +43,38 @@ def test_filter_and_projection_pushed_to_scan(spark):
 def test_dimension_side_broadcast(spark):
     p = plan(queries()["join_left"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+
+
+def test_hot_group_spreads_over_partitions(spark):
+    """A group holding a third of all rows is split across range partitions."""
+    from fitframe.operators.rank import sorted_tagged
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 997).cast("string")).alias("g"),
+        F.col("id"))
+    tagged = sorted_tagged(df, [F.col("g").asc(), F.col("id").asc()], num_partitions=8)
+    assert tagged.where(F.col("g") == "hot").select("_ff_pid").distinct().count() >= 2
+
+
+def test_skew_safe_group_ops_have_no_window(spark):
+    from fitframe.operators.ordered import lag_diff, weighted_duration
+    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), (F.col("id") % 60).alias("m"),
+                                     F.col("id"), (F.col("id") % 50).cast("double").alias("r"))
+    wd = weighted_duration(df, ["g"], ["m", "id"], "m", F.col("r"))
+    lg = lag_diff(df, ["g"], ["m", "id"], "r")
+    for p in (plan(wd), plan(lg)):
+        assert "Window" not in p
+    slow = weighted_duration(df, ["g"], ["m", "id"], "m", F.col("r"), skew_safe=False)
+    got = {r.g: r.estimate for r in wd.collect()}
+    assert all(abs(got[r.g] - r.estimate) < 1e-9 for r in slow.collect())
+
+
+def test_large_dictionary_uses_shuffle_join(spark):
+    from fitframe.operators.encode import LabelEncoder
+    df = spark.range(0, 3000).select((F.col("id") % 1000).cast("string").alias("v"))
+    small = LabelEncoder(["v"], ["c"]).fit(df)
+    large = LabelEncoder(["v"], ["c"], broadcast_max=10, collect_max=0).fit(df)
+    p = plan(large.transform(df))
+    assert "SortMergeJoin" in p or "ShuffledHashJoin" in p
+    a = {r.v: r.c for r in small.transform(df).collect()}
+    b = {r.v: r.c for r in large.transform(df).collect()}
+    assert a == b and sorted(a.values()) == list(range(1000))
