@@ -167,6 +167,25 @@ def knn_exact(spark, sf):
     return knn_predict(train, test, "vec_id", "embedding", "label", k=10, p=2.0)
 
 
+@query("knn_minkowski", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, (vec_id % 10) >= 5 AS is_train
+           FROM embeddings),
+d AS (SELECT q.vec_id AS qid, r.vec_id AS rid, r.label,
+             pow(list_sum(list_transform(range(len(q.v)),
+                 lambda i: pow(abs(q.v[i + 1] - r.v[i + 1]), 10))), 0.1) AS dist
+      FROM e q JOIN e r ON (NOT q.is_train) AND r.is_train),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rn FROM d)
+        WHERE rn <= 10),
+votes AS (SELECT qid, label, count(*) AS n FROM top GROUP BY qid, label)
+SELECT qid AS vec_id, CAST(label AS BIGINT) AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1""")
+def knn_minkowski(spark, sf):
+    """K9 with the reference's second setting: Minkowski p = 10."""
+    e = table(spark, sf, "embeddings")
+    _, train, test = expr_split(e, modulo_condition("vec_id"))
+    return knn_predict(train, test, "vec_id", "embedding", "label", k=10, p=10.0)
+
+
 _D = 4
 
 
