@@ -42,7 +42,8 @@ def _as_order(spec) -> list[Column]:
 
 # Range partitions are sized from Catalyst's estimate of the input (bytes as
 # stored, i.e. compressed for Parquet): about this much input per partition.
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 200_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -54,7 +55,7 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
         est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
         return base
-    return max(base, min(-(-est // TARGET_PARTITION_BYTES), 1_000_000))
+    return max(base, min(-(-est // TARGET_PARTITION_BYTES), MAX_RANGE_PARTITIONS))
 
 
 def sorted_tagged(df: DataFrame, order_by, num_partitions: int | None = None) -> DataFrame:

@@ -111,8 +111,10 @@ def sample_rows(df: DataFrame, n: int, key_cols: list[str], seed: int = 0) -> Da
 
 
 def date_split(df: DataFrame, date_col: str, cutoff: str, flag: str = "is_train") -> DataFrame:
-    """Rows on or before the cut-off date are train."""
-    return df.withColumn(flag, F.col(date_col) <= F.to_timestamp(F.lit(cutoff)))
+    """Rows on or before the cut-off date are train (S7).  The cut-off is cast
+    to the column's own type, so a zone-less timestamp is compared without
+    any session time-zone shift."""
+    return df.withColumn(flag, F.col(date_col) <= F.lit(cutoff).cast(dict(df.dtypes)[date_col]))
 
 
 def tail_split(df: DataFrame, order_by: list, n_valid: int, flag: str = "is_train") -> DataFrame:

@@ -92,7 +92,12 @@ def main(argv):
     from fitframe.session import local_session
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:] or list(queries())
-    spark = local_session(8)
+    if os.environ.get("FF_VANILLA"):  # the driver's plain session: default configs
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = local_session(8)
     con = duck(sf_dir)
     q, o = queries(), oracle_sql()
     bad = 0
