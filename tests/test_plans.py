@@ -78,3 +78,29 @@ def test_large_dictionary_uses_shuffle_join(spark):
     a = {r.v: r.c for r in small.transform(df).collect()}
     b = {r.v: r.c for r in large.transform(df).collect()}
     assert a == b and sorted(a.values()) == list(range(1000))
+
+
+def _jobs(spark, group, fn):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        fn()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_one_pass_per_fit_regardless_of_width(spark):
+    """Fits run the same number of jobs for 2 columns as for 20 (one aggregate
+    or one unpivot per statistic kind, never a job per column)."""
+    from fitframe.operators.encode import LabelEncoder, ZScore
+    from fitframe.operators.impute import column_modes
+    wide = spark.range(0, 2000).select(*[((F.col("id") * (i + 3)) % (7 + i)).alias(f"c{i}") for i in range(20)])
+    narrow = wide.select("c0", "c1")
+    fits = {"zscore": lambda d: ZScore(d.columns).fit(d),
+            "modes": lambda d: column_modes(d, d.columns),
+            "codes": lambda d: LabelEncoder(d.columns).fit(d)}
+    for name, fit in fits.items():
+        n_narrow = _jobs(spark, f"{name}-2", lambda: fit(narrow))
+        n_wide = _jobs(spark, f"{name}-20", lambda: fit(wide))
+        assert n_wide == n_narrow <= 4, (name, n_narrow, n_wide)
