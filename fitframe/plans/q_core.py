@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.encode import LabelEncoder, ZScore
+from ..operators.encode import DEFAULT_BROADCAST_MAX, LabelEncoder, ZScore
 from ..operators.impute import MixedImputer
 from ..operators.metrics import inverse_square_weight
 from ..operators.relate import left_lookup
@@ -84,13 +84,16 @@ def entry_segment_rmspe(spark, sf):
           .select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("o_year"),
                   "c_acctbal", "c_mktsegment", "n_name"))
     j = MixedImputer(["c_acctbal", "c_mktsegment", "n_name"]).fit(j).transform(j)
-    j = LabelEncoder(["c_mktsegment"], ["seg_code"]).fit(j).transform(j)
+    enc = LabelEncoder(["c_mktsegment"], ["seg_code"]).fit(j)
+    j = enc.transform(j)
     j = ZScore(["o_totalprice", "c_acctbal"], ["z_price", "z_acctbal"]).fit(j).transform(j)
     _, train, test = expr_split(j, modulo_condition("o_orderkey", 10, 5))
     seg = train.groupBy("seg_code").agg(F.avg("o_totalprice").alias("pred"),
                                         F.count(F.lit(1)).alias("n_train"))
-    # one row per fitted segment code: bounded by the encoder's dictionary size
-    t = test.join(F.broadcast(seg), "seg_code")
+    # one row per fitted segment code: the encoder knows exactly how many
+    if enc.sizes["c_mktsegment"] <= DEFAULT_BROADCAST_MAX:
+        seg = F.broadcast(seg)
+    t = test.join(seg, "seg_code")
     d = F.col("o_totalprice") - F.col("pred")
     return t.groupBy("c_mktsegment", "seg_code", "n_train").agg(
         F.count(F.lit(1)).alias("n_test"),

@@ -217,8 +217,8 @@ def discriminant_moments(spark, sf):
         F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("v")) for i in range(_D)])).alias("s")) \
         .select("label", F.lit("mean").alias("stat"), F.col("s.i").alias("i"), F.lit(-1).alias("j"),
                 r6("s.v").alias("value"))
-    # class means: one row per class, a proven-small broadcast side
-    centred = e.join(F.broadcast(m), "label")
+    # class means: one row per class; AQE broadcasts it from its measured size
+    centred = e.join(m, "label")
     pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
     c = centred.agg(*[F.sum((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))).alias(f"c{i}_{j}")
                       for i, j in pairs],
