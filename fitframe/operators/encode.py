@@ -159,6 +159,10 @@ def first_seen_codes(train: DataFrame, test: DataFrame, column: str, order_key:
             .groupBy(column).agg(F.min(F.struct("_s", "_o")).alias("_first")))
     levels = global_rank(seen, [F.col("_first").asc()], "_code")
     levels = levels.select(F.col(column).alias("_ff_lv"), F.col("_code").cast("int").alias("_ff_code"))
+    # the level table is read from the checkpoint: counting it is cheap, and an
+    # exact count lets the join be planned as a broadcast before any shuffle
+    if levels.count() <= DEFAULT_BROADCAST_MAX:
+        levels = F.broadcast(levels)
 
     def apply(df: DataFrame) -> DataFrame:
         return (df.join(levels, df[column] == F.col("_ff_lv"), "left")

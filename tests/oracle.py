@@ -94,8 +94,11 @@ def main(argv):
     names = argv[2:] or list(queries())
     if os.environ.get("FF_VANILLA"):  # the driver's plain session: default configs
         from pyspark.sql import SparkSession
-        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
-            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        b = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false")
+        if os.environ.get("FF_TZ"):
+            b = b.config("spark.sql.session.timeZone", os.environ["FF_TZ"])
+        spark = b.getOrCreate()
     else:
         spark = local_session(8)
     con = duck(sf_dir)
