@@ -220,3 +220,51 @@ def test_fixed_sample_is_n_smallest_draws(spark):
     d = df.select("key", F.pmod(F.xxhash64(F.lit(3), F.col("key")), F.lit(1 << 62)).alias("d")).collect()
     want = {r.key for r in sorted(d, key=lambda r: (r.d, r.key))[:37]}
     assert got == want and f.count() == 5000
+
+
+def test_grouped_apply_fallback_equals_skew_safe(spark):
+    """The general per-group pandas path, with the rule written from its
+    definition, gives the same estimates as the skew-safe DataFrame operator."""
+    import numpy as np
+    import pandas as pd
+    from fitframe.operators.ordered import grouped_apply
+
+    def loop(pdf: pd.DataFrame) -> pd.DataFrame:
+        # by definition: a reading covers (previous minute, own minute]; the
+        # last one covers up to minute 60; the first starts at minute 0
+        r = pdf.sort_values(["m", "eid"]).reset_index(drop=True)
+        starts = [0] + r["m"].tolist()[:-1]
+        ends = r["m"].tolist()[:-1] + [60]
+        total = 0.0
+        for dbz, a, b in zip(r["dbz"], starts, ends):
+            if dbz is not None and np.isfinite(dbz):
+                total += ((10 ** (dbz / 10)) / 200) ** 0.625 * (b - a) / 60.0
+        return pd.DataFrame({"id": [r["id"].iloc[0]], "estimate": [total]})
+
+    rows_ = [(g, m, float((g * 7 + m) % 40) if (g + m) % 9 else None, e)
+             for g in range(30) for e, m in enumerate(sorted({(g * 13 + k * 17) % 60 for k in range(g % 5 + 1)}))]
+    df = spark.createDataFrame(rows_, "id int, m int, dbz double, eid int")
+    a = {r.id: r.estimate for r in grouped_apply(df, ["id"], loop, "id int, estimate double").collect()}
+    b = {r.id: r.estimate for r in rain_estimate(df, ["id"], ["m", "eid"], "m", "dbz").collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_random_split_keyed_is_stable(spark):
+    from fitframe.operators.split import random_split
+    df = spark.range(0, 2000).withColumnRenamed("id", "key")
+    f1, tr, te = random_split(df, 0.75, seed=9, key_cols=["key"])
+    f2, _, _ = random_split(df.repartition(7), 0.75, seed=9, key_cols=["key"])
+    assert tr.count() + te.count() == 2000
+    a = {r.key for r in f1.where("is_train").collect()}
+    assert a == {r.key for r in f2.where("is_train").collect()}
+    assert 1300 < len(a) < 1700
+
+
+def test_fit_evaluator_matches_functions(spark):
+    from fitframe.operators.metrics import FitEvaluator
+    df = spark.createDataFrame([(1, 0.9, 1), (0, 0.8, 2), (1, 0.4, 3), (0, 0.1, 4), (1, 0.8, 5)],
+                               "label int, prediction double, t int")
+    assert abs(FitEvaluator("auc").evaluate(df) - auc(df, "label", "prediction").first()[0]) < 1e-12
+    g = FitEvaluator("gini", tiebreakCol="t").evaluate(df)
+    assert abs(g - gini(df, "label", "prediction", "t").first()[0]) < 1e-12
+    assert FitEvaluator("rmspe").isLargerBetter() is False and FitEvaluator("auc").isLargerBetter()
