@@ -59,8 +59,8 @@ def test_skew_safe_group_ops_have_no_window(spark):
     from fitframe.operators.ordered import lag_diff, weighted_duration
     df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), (F.col("id") % 60).alias("m"),
                                      F.col("id"), (F.col("id") % 50).cast("double").alias("r"))
-    wd = weighted_duration(df, ["g"], ["m", "id"], "m", F.col("r"))
-    lg = lag_diff(df, ["g"], ["m", "id"], "r")
+    wd = weighted_duration(df, ["g"], ["m", "id"], "m", F.col("r"), skew_safe=True)
+    lg = lag_diff(df, ["g"], ["m", "id"], "r", skew_safe=True)
     for p in (plan(wd), plan(lg)):
         assert "Window" not in p
     slow = weighted_duration(df, ["g"], ["m", "id"], "m", F.col("r"), skew_safe=False)
@@ -104,3 +104,27 @@ def test_one_pass_per_fit_regardless_of_width(spark):
         n_narrow = _jobs(spark, f"{name}-2", lambda: fit(narrow))
         n_wide = _jobs(spark, f"{name}-20", lambda: fit(wide))
         assert n_wide == n_narrow <= 4, (name, n_narrow, n_wide)
+
+
+def test_auto_skew_detection_picks_the_path(spark):
+    from fitframe.operators.ordered import lag_diff
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), F.col("id"),
+                                     (F.col("id") % 50).cast("double").alias("r"))
+    assert "Window" in plan(lag_diff(df, ["g"], ["id"], "r"))                       # groups of 1000: window
+    assert "Window" not in plan(lag_diff(df, ["g"], ["id"], "r", max_group_rows=500))  # hot: rank path
+
+
+def test_rank_path_equals_window_path_on_events(spark):
+    from fitframe.operators.ordered import lag_diff, rain_estimate
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
+        "event_id", "user_id", "ts", "value", "event_type",
+        F.date_format("ts", "yyyy-MM-dd HH").alias("hour_key"), F.minute("ts").alias("mnt"),
+        F.least(F.col("value"), F.lit(55.0)).alias("dbz"))
+    a = {(r.event_type, r.hour_key): r.estimate for r in
+         rain_estimate(e, ["event_type", "hour_key"], ["mnt", "event_id"], "mnt", "dbz", skew_safe=True).collect()}
+    b = {(r.event_type, r.hour_key): r.estimate for r in
+         rain_estimate(e, ["event_type", "hour_key"], ["mnt", "event_id"], "mnt", "dbz", skew_safe=False).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    x = {r.event_id: r.delta for r in lag_diff(e, ["user_id"], ["ts", "event_id"], "value", skew_safe=True).collect()}
+    y = {r.event_id: r.delta for r in lag_diff(e, ["user_id"], ["ts", "event_id"], "value", skew_safe=False).collect()}
+    assert x == y
