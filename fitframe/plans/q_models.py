@@ -97,7 +97,9 @@ CLASSES = [f"class_{i}" for i in range(10)]
 
 
 def _multi_out(pred):
-    return pred.select("vec_id", "prediction", *class_probabilities("probability", CLASSES))  # B3
+    label_text = F.concat(F.lit("class_"), F.col("prediction").cast("int").cast("string"))  # C11
+    return pred.select("vec_id", "prediction", label_text.alias("predicted_class"),
+                       *class_probabilities("probability", CLASSES))  # B3
 
 
 @query("fit_forest_multi")
