@@ -103,13 +103,22 @@ def score(model, df: DataFrame, id_col: str, keep: list[str] = ()) -> DataFrame:
     return out.select(id_col, *keep, "prediction", *extra)
 
 
-def suite(models: dict, train: DataFrame, test: DataFrame, metric_fn, metric_name: str) -> DataFrame:
-    """Fit each estimator on train, score test, one metric row per model."""
-    rows = []
-    for name, est in models.items():
-        pred = est.fit(train).transform(test)
-        value = metric_fn(pred).first()[0]
-        rows.append((name, metric_name, float(value)))
+def suite(models: dict, train: DataFrame, test: DataFrame, metric_fn, metric_name: str,
+          parallelism: int = 1) -> DataFrame:
+    """Fit each estimator on train, score test, one metric row per model.
+
+    ``parallelism`` > 1 submits the fits from that many threads (as
+    ``CrossValidator`` does), so small fits share the cluster's task slots.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(item):
+        name, est = item
+        value = metric_fn(est.fit(train).transform(test)).first()[0]
+        return (name, metric_name, float(value))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(run, models.items()))  # order of ``models`` is kept
     return train.sparkSession.createDataFrame(rows, "model string, metric string, value double")
 
 

@@ -288,7 +288,7 @@ def suite_leaderboard(spark, sf):
 
     def metric(pred):
         return logloss(pred.select("label", positive_probability().alias("p")), "label", "p")
-    return suite(models, train, test, metric, "logloss")
+    return suite(models, train, test, metric, "logloss", parallelism=2)
 
 
 @query("early_stop")

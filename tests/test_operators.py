@@ -268,3 +268,12 @@ def test_fit_evaluator_matches_functions(spark):
     g = FitEvaluator("gini", tiebreakCol="t").evaluate(df)
     assert abs(g - gini(df, "label", "prediction", "t").first()[0]) < 1e-12
     assert FitEvaluator("rmspe").isLargerBetter() is False and FitEvaluator("auc").isLargerBetter()
+
+
+def test_cluster_conf_sizes_partitions():
+    from fitframe.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, total_cores=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 200_000
+    small = cluster_conf(10 * 1024 ** 3, total_cores=64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 192
+    assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
