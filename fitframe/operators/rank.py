@@ -71,14 +71,16 @@ def sorted_tagged(df: DataFrame, order_by, num_partitions: int | None = None) ->
 
 def _offsets(tagged: DataFrame, measure: Column, name: str) -> DataFrame:
     """Prefix offsets per partition id as a small DataFrame (one row per partition)."""
-    per_part = (tagged.groupBy(_PID).agg(measure.alias("_v"))
-                .orderBy(_PID).collect())  # <= number of partitions rows
-    rows, acc = [], 0
+    agg = tagged.groupBy(_PID).agg(measure.alias("_v"))
+    is_double = dict(agg.dtypes)["_v"] in ("double", "float")
+    conv = float if is_double else int
+    per_part = agg.orderBy(_PID).collect()  # <= number of partitions rows
+    rows, acc = [], conv(0)
     for r in per_part:
         rows.append((int(r[_PID]), acc))
-        acc += r["_v"] or 0
+        acc = acc + conv(r["_v"] or 0)
     spark = tagged.sparkSession
-    return spark.createDataFrame(rows, f"{_PID} int, {name} {'double' if isinstance(acc, float) else 'long'}")
+    return spark.createDataFrame(rows, f"{_PID} int, {name} {'double' if is_double else 'long'}")
 
 
 def global_rank(df: DataFrame, order_by, name: str = "rank",

@@ -164,6 +164,9 @@ def test_cumulative_two_pass(spark):
     df = spark.range(1, 1001).select(F.col("id").alias("k"), F.col("id").alias("v"))
     out = cumulative(df, [F.col("k").asc()], "v", "cum", num_partitions=7)
     assert {r.k: r.cum for r in out.collect()} == {k: k * (k + 1) // 2 for k in range(1, 1001)}
+    halves = df.select("k", (F.col("v") * 0.5).alias("v"))
+    out = cumulative(halves, [F.col("k").asc()], "v", "cum", num_partitions=7)
+    assert {r.k: r.cum for r in out.collect()} == {k: k * (k + 1) / 4 for k in range(1, 1001)}
 
 
 def test_splits_partition_rows(spark):
