@@ -112,9 +112,11 @@ def gini(df: DataFrame, label: str, pred: str, tiebreak: str, name: str = "gini"
         n = n.cast("double")
         ones = F.when(n > 1, n / 2).otherwise(F.lit(0.0))  # linspace(0,1,1) = [0]
         # sum(y * (n - pos + 1)) = (n + 1) * sum(y) - sum(y * pos)
-        return ones - ((n + 1) * s + w) / s
+        return ones - F.try_divide((n + 1) * s + w, s)
 
-    return p.select((g(F.col("np"), F.col("sp"), F.col("wp")) / g(tt["nt"], tt["st"], tt["wt"])).alias(name))
+    # all-zero labels or a degenerate ordering give NULL instead of an ANSI error
+    return p.select(F.try_divide(g(F.col("np"), F.col("sp"), F.col("wp")),
+                                 g(tt["nt"], tt["st"], tt["wt"])).alias(name))
 
 
 def auc(df: DataFrame, label: str, score: str, name: str = "auc") -> DataFrame:
@@ -132,7 +134,8 @@ def auc(df: DataFrame, label: str, score: str, name: str = "auc") -> DataFrame:
     tot = per_score.agg(F.sum(F.col("p") * (F.col("lo") + F.col("hi")) / 2.0).alias("rs"),
                         F.sum("p").alias("P"), (F.sum("c") - F.sum("p")).alias("N"))
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
-    return tot.select(((F.col("rs") - P * (P + 1) / 2.0) / (P * N)).alias(name))
+    # one class only: AUC is undefined -> NULL (no ANSI division error)
+    return tot.select(F.try_divide(F.col("rs") - P * (P + 1) / 2.0, P * N).alias(name))
 
 
 def mean_score(scores: DataFrame, column: str = "score", name: str = "mean_score") -> DataFrame:

@@ -87,4 +87,4 @@ def share_of_total(df: DataFrame, column: str, name: str = "share") -> DataFrame
     """``c / sum(c)`` (I7).  The total is a scalar subquery (one aggregate,
     evaluated once), not a join."""
     total = df.select(F.sum(F.col(column).cast("double"))).scalar()
-    return df.withColumn(name, F.col(column).cast("double") / total)
+    return df.withColumn(name, F.try_divide(F.col(column).cast("double"), total))
