@@ -23,7 +23,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
@@ -351,7 +350,3 @@ class GaussianDiscriminant:
         best = F.array_max(F.array(*scores))
         return df.withColumn("prediction", best["c"])
 
-
-__all__ = ["Pipeline", "assemble", "estimator", "suite", "cross_validate", "grid_search",
-           "early_stopping_curve", "importances", "adaboost", "adaboost_predict", "knn_predict",
-           "GaussianDiscriminant", "softmax_raw", "booster_params", "score"]

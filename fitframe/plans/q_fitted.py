@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import (drop_noisy, drop_null_columns, drop_outliers, noisy_verdict,
                               profile_columns)
 from ..operators.encode import LabelEncoder, ZScore, first_seen_codes, fit_frame
-from ..operators.impute import MixedImputer, fill_mean, fill_mode, impute_each
+from ..operators.impute import fill_mean, fill_mode, impute_each
 from ..operators.schema import describe
 from ..operators.split import expr_split, modulo_condition
 from .q_core import CUSTOMER_WITH_NULLS_SQL, customer_with_nulls
@@ -213,6 +213,15 @@ _PROFILE_SRC_SQL = """
   FROM orders"""
 
 
+def _profile_src(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey", "o_orderdate", "o_totalprice",
+        F.when(F.pmod("o_orderkey", F.lit(19)) == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("o_custkey"),
+        F.when(F.pmod("o_orderkey", F.lit(13)) == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
 @query("column_profile", f"""
 WITH o AS ({_PROFILE_SRC_SQL}),
 p AS ({' UNION ALL '.join(
@@ -225,24 +234,10 @@ SELECT name, n_rows, n_present, n_distinct,
             ELSE 'keep' END AS verdict
 FROM p""")
 def column_profile(spark, sf):
-    o = table(spark, sf, "orders")
-    o = o.select(
-        "o_orderkey", "o_orderdate", "o_totalprice",
-        F.when(F.pmod("o_orderkey", F.lit(19)) == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("o_custkey"),
-        F.when(F.pmod("o_orderkey", F.lit(13)) == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-        F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    o = _profile_src(spark, sf)
     return noisy_verdict(profile_columns(o, _PROFILE_COLS))
 
 
-def _profile_src(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select(
-        "o_orderkey", "o_orderdate", "o_totalprice",
-        F.when(F.pmod("o_orderkey", F.lit(19)) == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("o_custkey"),
-        F.when(F.pmod("o_orderkey", F.lit(13)) == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-        F.when(F.pmod("o_orderkey", F.lit(3)) != 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
-
-
 @query("drop_noisy_cols", f"""
 WITH o AS ({_PROFILE_SRC_SQL}),
 p AS ({' UNION ALL '.join(

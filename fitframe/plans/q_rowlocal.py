@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import (arith_crosses, clamp_low, date_parts, date_text_parts, divide,
+from ..functions import (arith_crosses, clamp_low, date_parts, date_text_parts,
                          fill_columns, fill_const, hour_text, log_target, month_flags,
                          name_parts, night_flag, not_equal_keep_null, null_negatives,
                          packed_hour, py_mod, rain_rate, sas_date_parts, short_year_parts,
@@ -13,7 +13,7 @@ from ..operators.encode import ordinal_map
 from ..operators.post import calibrate
 from ..operators.relate import left_lookup
 from ..operators.schema import by_position, columns_by_type, features_except, unique_names
-from .registry import CENTS, R6, query, r6, table
+from .registry import R6, query, r6, table
 
 # ---------------------------------------------------------------- C / A
 
@@ -375,5 +375,3 @@ def calibrate_q(spark, sf):
     # same IEEE products in the same order in both engines: no rounding needed
     return c.select("o_orderkey", "calibrated")
 
-
-__all__ = ["ORDERS_WITH_NULLS_SQL", "orders_with_nulls", "CENTS", "divide"]
