@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import MONTH_ABBREVIATIONS
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -71,21 +73,29 @@ def short_year_parts(c) -> dict[str, Column]:
             "month": F.month(c), "day": F.dayofmonth(c)}
 
 
+def month_number(abbrev) -> Column:
+    """1-12 for a three-letter English month abbreviation in any case, NULL otherwise."""
+    pos = F.array_position(F.array(*[F.lit(m.upper()) for m in MONTH_ABBREVIATIONS]),
+                           F.upper(_c(abbrev)))
+    return F.when(pos > 0, pos.cast("int"))
+
+
 def sas_date_parts(c, with_hour: bool = False) -> dict[str, Column]:
     """Parts of ``ddMMMyy`` or ``ddMMMyy:HH:MM:SS`` text, null-safe.
 
     D and Y are the text slices (as the reference keeps them), M is the
-    month number and W the Monday=0 weekday of the parsed date.  Upper-case
-    month abbreviations parse with the ``MMM`` pattern.
+    month number and W the Monday=0 weekday of the date.  The date is built
+    from its numbers (month looked up in the abbreviation list, any case) and
+    not parsed with a pattern: no per-row formatter, and malformed text gives
+    NULL instead of an error.  Two-digit years follow the POSIX strptime
+    pivot, 69-99 -> 19xx and 00-68 -> 20xx (Spark's ``yy`` would put every
+    year in 20xx).
     """
     c = _c(c)
-    # Two-digit years follow the POSIX strptime pivot: 69-99 -> 19xx, 00-68 -> 20xx
-    # (Spark's ``yy`` would put every year in 20xx).
-    yy = F.substring(c, 6, 2).cast("int")
+    yy = F.substring(c, 6, 2).try_cast("int")
     year = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
-    text = F.concat(F.substring(c, 1, 2), F.lit("-"), F.initcap(F.lower(F.substring(c, 3, 3))),
-                    F.lit("-"), year.cast("string"))
-    d = F.to_date(text, "dd-MMM-yyyy")
+    d = F.try_make_timestamp_ntz(year, month_number(F.substring(c, 3, 3)),
+                                 F.substring(c, 1, 2).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
     out = {
         "D": F.substring(c, 1, 2),
         "M": F.month(d),

@@ -9,6 +9,7 @@ from ..functions import (arith_crosses, clamp_low, date_parts, date_text_parts,
                          name_parts, night_flag, not_equal_keep_null, null_negatives,
                          packed_hour, py_mod, rain_rate, sas_date_parts, short_year_parts,
                          split_street, text_crosses, unlog)
+from ..functions.text import MONTH_ABBREVIATIONS
 from ..operators.encode import ordinal_map
 from ..operators.post import calibrate
 from ..operators.relate import left_lookup
@@ -211,8 +212,15 @@ SELECT l_orderkey, l_linenumber, l_partkey, v,
 FROM p""")
 def sas_date_parts_q(spark, sf):
     li = table(spark, sf, "lineitem")
-    v = F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(
-        F.upper(F.date_format("l_shipdate", "ddMMMyy:HH:mm:ss")))
+    ts = F.col("l_shipdate")
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+    months = F.array(*[F.lit(m.upper()) for m in MONTH_ABBREVIATIONS])
+    text = F.concat(two(F.dayofmonth(ts)), F.element_at(months, F.month(ts)), two(F.year(ts) % 100),
+                    F.lit(":"), two(F.hour(ts)), F.lit(":"), two(F.minute(ts)), F.lit(":"),
+                    two(F.second(ts)))
+    v = F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(text)
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", v.alias("v"))
     p = sas_date_parts("v", with_hour=True)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "v",
