@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reuse_if_shuffled
+
 
 def drop_outliers(df: DataFrame, columns: list[str], k: float = 3.0,
                   faithful: bool = True) -> DataFrame:
@@ -15,9 +17,10 @@ def drop_outliers(df: DataFrame, columns: list[str], k: float = 3.0,
     column: ``|x-m| <= k*s`` (drops NULL, and everything when s is NULL),
     then, with statistics recomputed, ``NOT(|x-m| > k*s)`` (keeps rows whose
     comparison is unknown).  Each pass is one aggregate job; the statistics
-    come back as two literals, so the filters stay inside codegen.
+    come back as two literals, so the filters stay inside codegen.  If the
+    input's plan shuffles, it is materialised once before the passes.
     """
-    out = df
+    out = reuse_if_shuffled(df)
     for c in columns:
         x = F.col(c).cast("double")
         m, s = out.agg(F.avg(x), F.stddev_samp(x)).first()

@@ -33,7 +33,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, reuse_if_shuffled
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -124,6 +124,7 @@ def suite(models: dict, train: DataFrame, test: DataFrame, metric_fn, metric_nam
 def cross_validate(est, df: DataFrame, fold_col: str, evaluator, k: int) -> DataFrame:
     """Manual k-fold loop (K15): fit on the other folds, score the held-out
     fold; returns (fold, score) plus the mean as fold -1 (M12)."""
+    df = reuse_if_shuffled(df)  # k fits read it: materialise once if its plan shuffles
     rows = []
     for f in range(k):
         model = est.fit(df.where(F.col(fold_col) != f))

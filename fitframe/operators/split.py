@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, reuse_if_shuffled
 from .rank import global_rank
 
 
@@ -84,6 +84,7 @@ def fixed_sample_split(df: DataFrame, n: int, key_cols: list[str], seed: int = 0
     result equals a full sort.  The chosen keys (n rows) join back as a
     left join, broadcast only when ``n`` is small.
     """
+    df = reuse_if_shuffled(df)  # counted, filtered and joined: one materialisation if it shuffles
     draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(_DRAW_RANGE))
     drawn = df.withColumn("_ff_draw", draw)
     total = df.count()

@@ -10,6 +10,7 @@ from ..operators.impute import MixedImputer
 from ..operators.metrics import inverse_square_weight
 from ..operators.relate import left_lookup
 from ..operators.split import expr_split, modulo_condition
+from ..session import reuse_if_shuffled
 from .registry import query, r6, table
 
 # Injected nulls (the driver tables have none): same rule in both dialects.
@@ -83,6 +84,9 @@ def entry_segment_rmspe(spark, sf):
     j = (j.where(F.col("o_totalprice") > 0)
           .select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("o_year"),
                   "c_acctbal", "c_mktsegment", "n_name"))
+    # four passes follow (impute, encode, scale, score): if the joins had to
+    # shuffle, materialise the narrow joined table once instead of re-joining
+    j = reuse_if_shuffled(j)
     j = MixedImputer(["c_acctbal", "c_mktsegment", "n_name"]).fit(j).transform(j)
     enc = LabelEncoder(["c_mktsegment"], ["seg_code"]).fit(j)
     j = enc.transform(j)

@@ -100,3 +100,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHUFFLE = ("Exchange hashpartitioning", "Exchange rangepartitioning",
+            "Exchange SinglePartition", "Exchange RoundRobinPartitioning")
+
+
+def reuse_if_shuffled(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once when several passes will read it and its plan
+    shuffles (e.g. a join whose dimension side was too big to broadcast).
+
+    Fitted pipelines read the same joined table once per statistic; when
+    that table is a scan plus broadcast joins, re-reading is cheaper than
+    writing a copy, so ``df`` is returned as is.  When the planned physical
+    plan contains a shuffle exchange, every pass would repeat it, so the
+    (usually narrow) result is checkpointed once instead.
+    """
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    except Exception:
+        return df
+    return cut_lineage(df) if any(m in plan for m in _SHUFFLE) else df

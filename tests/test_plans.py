@@ -128,3 +128,15 @@ def test_rank_path_equals_window_path_on_events(spark):
     x = {r.event_id: r.delta for r in lag_diff(e, ["user_id"], ["ts", "event_id"], "value", skew_safe=True).collect()}
     y = {r.event_id: r.delta for r in lag_diff(e, ["user_id"], ["ts", "event_id"], "value", skew_safe=False).collect()}
     assert x == y
+
+
+def test_reuse_if_shuffled(spark):
+    from fitframe.session import reuse_if_shuffled
+    small = spark.range(0, 100).withColumnRenamed("id", "k")
+    big = spark.range(0, 10000).select((F.col("id") % 100).alias("k"), F.col("id"))
+    broadcast_join = big.join(F.broadcast(small), "k")
+    assert reuse_if_shuffled(broadcast_join) is broadcast_join        # scan + broadcast: reread
+    shuffled = big.groupBy("k").count()
+    kept = reuse_if_shuffled(shuffled)
+    assert kept is not shuffled and "Exchange" not in plan(kept)       # materialised once
+    assert sorted(kept.collect()) == sorted(shuffled.collect())
