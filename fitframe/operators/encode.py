@@ -33,6 +33,7 @@ from .rank import global_rank
 
 DEFAULT_BROADCAST_MAX = 500_000
 DEFAULT_COLLECT_MAX = 100_000
+DEFAULT_INLINE_MAX = 10_000
 
 
 def fit_frame(train: DataFrame, test: DataFrame | None, fit_on: str, columns: list[str]) -> DataFrame:
@@ -67,16 +68,18 @@ class LabelEncoder(Estimator):
             d = r["dval"]
             dk = (0, 0.0) if d is None else ((2, 0.0) if math.isnan(d) else (1, d))
             return (r["name"], r["present"], dk, (r["sval"] is not None, r["sval"] or ""))
-        out, sizes, pos = [], {}, {}
+        out, sizes, pos, local = [], {}, {}, {}
         for r in sorted(rows, key=key):
             code = pos.get(r["name"], 0)
             pos[r["name"]] = code + 1
             out.append((r["name"], r["present"], r["dval"], r["sval"], code))
+            local.setdefault(r["name"], {})[None if not r["present"] else
+                                            (r["dval"] if r["name"] in numeric else r["sval"])] = code
         sizes = dict(pos)
         mapping = dataset.sparkSession.createDataFrame(
             out, "name string, present boolean, dval double, sval string, code int")
         return LabelEncoderModel(self.inputCols, self.outputCols, numeric, mapping, sizes,
-                                 self.broadcast_max)
+                                 self.broadcast_max, local)
 
     def _fit(self, dataset: DataFrame) -> "LabelEncoderModel":
         numeric = {f.name for f in dataset.schema.fields
@@ -116,12 +119,36 @@ class LabelEncoder(Estimator):
 
 
 class LabelEncoderModel(Model):
+    """Fitted codes.  Dictionaries held on the driver (small path) and under
+    ``inline_max`` entries are applied as literal maps -- a pure projection,
+    so a table with thousands of encoded columns gets no join at all; larger
+    ones join the mapping table (broadcast under ``broadcast_max``)."""
+
     def __init__(self, inputCols, outputCols, numeric, mapping: DataFrame, sizes: dict,
-                 broadcast_max: int):
+                 broadcast_max: int, local: dict | None = None,
+                 inline_max: int = DEFAULT_INLINE_MAX):
         super().__init__()
         self.inputCols, self.outputCols = inputCols, outputCols
         self.numeric, self.mapping, self.sizes = numeric, mapping, sizes
         self.broadcast_max = broadcast_max
+        self.local = local or {}
+        self.inline_max = inline_max
+
+    def _inline(self, c: str) -> Column:
+        d = self.local[c]
+        keys = [k for k in d if k is not None and not (isinstance(k, float) and math.isnan(k))]
+        probe = F.col(c).cast("double") if c in self.numeric else F.col(c).cast("string")
+        ktype = "double" if c in self.numeric else "string"
+        table = F.map_from_arrays(F.array(*[F.lit(k).cast(ktype) for k in keys]),
+                                  F.array(*[F.lit(int(d[k])) for k in keys]))
+        code = F.try_element_at(table, probe)
+        if c in self.numeric:
+            nan = [d[k] for k in d if isinstance(k, float) and math.isnan(k)]
+            if nan:
+                code = F.when(F.isnan(probe), F.lit(int(nan[0]))).otherwise(code)
+        if None in d:
+            code = F.when(F.col(c).isNull(), F.lit(int(d[None]))).otherwise(code)
+        return code.cast("int")
 
     def labels(self, column: str) -> DataFrame:
         """The fitted (value, code) table of one column, as a DataFrame."""
@@ -130,8 +157,12 @@ class LabelEncoderModel(Model):
                 .select(F.col(key).alias("value"), "code"))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = dataset
+        inline = {c: o for c, o in zip(self.inputCols, self.outputCols)
+                  if c in self.local and self.sizes.get(c, 0) <= self.inline_max}
+        out = dataset.withColumns({o: self._inline(c) for c, o in inline.items()}) if inline else dataset
         for i, (c, o) in enumerate(zip(self.inputCols, self.outputCols)):
+            if c in inline:
+                continue
             key = "dval" if c in self.numeric else "sval"
             k, v = f"_ff_k{i}", f"_ff_v{i}"
             m = (self.mapping.where(F.col("name") == c)

@@ -140,3 +140,19 @@ def test_reuse_if_shuffled(spark):
     kept = reuse_if_shuffled(shuffled)
     assert kept is not shuffled and "Exchange" not in plan(kept)       # materialised once
     assert sorted(kept.collect()) == sorted(shuffled.collect())
+
+
+def test_small_dictionaries_are_a_projection(spark):
+    from fitframe.operators.encode import LabelEncoder
+    wide = spark.range(0, 500).select(
+        *[F.when(F.col("id") % 11 == i % 11, None).otherwise(((F.col("id") * (i + 1)) % 13).cast("string"))
+          .alias(f"c{i}") for i in range(50)])
+    enc = LabelEncoder(wide.columns, [f"k{i}" for i in range(50)]).fit(wide)
+    out = enc.transform(wide)
+    p = plan(out)
+    assert "Join" not in p                      # 50 encoded columns, no join
+    joined = LabelEncoder(wide.columns, [f"k{i}" for i in range(50)]).fit(wide)
+    joined.inline_max = 0                       # force the join path for comparison
+    a = sorted((tuple(r) for r in out.collect()), key=str)
+    b = sorted((tuple(r) for r in joined.transform(wide).select(*out.columns).collect()), key=str)
+    assert a == b
