@@ -149,9 +149,11 @@ def grid_search(est, grid: dict, df: DataFrame, evaluator, fold_col: str,
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator,
                         foldCol=fold_col, parallelism=parallelism)
     fitted = cv.fit(df)
+    scores = [float(x) for x in fitted.avgMetrics]
+    best = (max if evaluator.isLargerBetter() else min)(range(len(scores)), key=lambda i: scores[i])
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)),
-             float(s)) for m, s in zip(maps, fitted.avgMetrics)]
-    report = df.sparkSession.createDataFrame(rows, "params string, mean_metric double")
+             sc, i == best) for i, (m, sc) in enumerate(zip(maps, scores))]
+    report = df.sparkSession.createDataFrame(rows, "params string, mean_metric double, is_best boolean")
     return fitted.bestModel, report
 
 
@@ -180,6 +182,19 @@ def early_stopping_curve(model, valid: DataFrame, patience: int = 100,
         "round int, valid_loss double, is_best boolean")
 
 
+def fit_early_stopped(est, train: DataFrame, valid: DataFrame, patience: int = 100,
+                      loss: str = "squared"):
+    """Boosting with a watchlist and patience (K14): fit ``maxIter`` rounds,
+    read the validation curve, refit with the best round count.  Returns
+    ``(model, curve)``; the refit is skipped when the best round is the last."""
+    model = est.fit(train)
+    curve = early_stopping_curve(model, valid, patience, loss)
+    best = curve.where("is_best").first()
+    if best is not None and best["round"] < est.getMaxIter():
+        model = est.copy({est.maxIter: int(best["round"])}).fit(train)
+    return model, curve
+
+
 def importances(model, feature_names: list[str]) -> DataFrame:
     """Feature importance table, normalised to share of total, sorted
     ascending (K20, I7, I13).  MLlib gives gain-based importances."""

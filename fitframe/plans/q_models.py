@@ -11,7 +11,7 @@ from ..functions.arith import log_target
 from ..operators.encode import LabelEncoder
 from ..operators.metrics import FitEvaluator, logloss
 from ..operators.models import (GaussianDiscriminant, adaboost, adaboost_predict, assemble,
-                                booster_params, cross_validate, early_stopping_curve, estimator,
+                                booster_params, cross_validate, estimator, fit_early_stopped,
                                 grid_search, importances, knn_predict, softmax_raw, suite)
 from ..operators.post import finish
 from ..operators.schema import class_probabilities, positive_probability
@@ -295,8 +295,9 @@ def suite_leaderboard(spark, sf):
 def early_stop(spark, sf):
     flagged, _, _ = lineitem_matrix(spark, sf)
     df = holdout(flagged, ["l_orderkey", "l_linenumber", "l_partkey"], 0.05, seed=1337, flag="is_valid")
-    model = estimator("gbt_reg", maxIter=15, maxDepth=4).fit(df.where("NOT is_valid"))
-    return early_stopping_curve(model, df.where("is_valid"), patience=3)
+    est = estimator("gbt_reg", maxIter=15, maxDepth=4)
+    model, curve = fit_early_stopped(est, df.where("NOT is_valid"), df.where("is_valid"), patience=3)
+    return curve.withColumn("kept_rounds", F.lit(model.getNumTrees))
 
 
 @query("importances")
