@@ -36,6 +36,17 @@ def unique_names(names: list[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def swap_feature(features: list[str], source: str, derived: list[str]) -> list[str]:
+    """Replace a source column by its derived parts in a feature list (trap T18).
+
+    The derived names are always added (the reference keeps them even when
+    removing the source fails); the source is removed when present, checked
+    explicitly instead of through a swallowed exception.
+    """
+    out = [f for f in features if f != source]
+    return unique_names(out + list(derived))
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: type, non-null count, min, max, mean (C17) -- one aggregate
     for all columns, returned long (one row per column)."""

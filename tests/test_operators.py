@@ -280,3 +280,10 @@ def test_cluster_conf_sizes_partitions():
     small = cluster_conf(10 * 1024 ** 3, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) == 192
     assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_t18_swap_feature_is_explicit():
+    from fitframe.operators.schema import swap_feature
+    assert swap_feature(["a", "v", "b"], "v", ["vD", "vM"]) == ["a", "b", "vD", "vM"]
+    # source already dropped: the parts are still added, and nothing is raised
+    assert swap_feature(["a", "b"], "v", ["vD", "vM"]) == ["a", "b", "vD", "vM"]
