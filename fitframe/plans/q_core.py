@@ -37,29 +37,25 @@ j AS (
   FROM orders o LEFT JOIN c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   WHERE o.o_totalprice > 0),
-fillv AS (
-  SELECT (SELECT avg(c_acctbal) FROM j) AS m_acct,
-         (SELECT c_mktsegment FROM j WHERE c_mktsegment IS NOT NULL
-          GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1) AS mode_seg,
-         (SELECT n_name FROM j WHERE n_name IS NOT NULL
-          GROUP BY n_name ORDER BY count(*) DESC, n_name LIMIT 1) AS mode_nat),
 f AS (
   SELECT j.o_orderkey, j.o_totalprice, j.o_year,
-         coalesce(j.c_acctbal, fillv.m_acct) AS c_acctbal,
-         coalesce(j.c_mktsegment, fillv.mode_seg) AS c_mktsegment,
-         coalesce(j.n_name, fillv.mode_nat) AS n_name
-  FROM j CROSS JOIN fillv),
+         coalesce(j.c_acctbal, (SELECT avg(c_acctbal) FROM j)) AS c_acctbal,
+         coalesce(j.c_mktsegment, (SELECT c_mktsegment FROM j WHERE c_mktsegment IS NOT NULL
+                  GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1)) AS c_mktsegment,
+         coalesce(j.n_name, (SELECT n_name FROM j WHERE n_name IS NOT NULL
+                  GROUP BY n_name ORDER BY count(*) DESC, n_name LIMIT 1)) AS n_name
+  FROM j),
 enc AS (
   SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS seg_code
   FROM (SELECT DISTINCT c_mktsegment FROM f)),
-st AS (SELECT avg(o_totalprice) AS mp, stddev_pop(o_totalprice) AS sp,
-              avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa FROM f),
 z AS (
   SELECT f.*, enc.seg_code,
-         (f.o_totalprice - st.mp) / CASE WHEN st.sp = 0 THEN 1 ELSE st.sp END AS z_price,
-         (f.c_acctbal - st.ma) / CASE WHEN st.sa = 0 THEN 1 ELSE st.sa END AS z_acctbal,
+         (f.o_totalprice - (SELECT avg(o_totalprice) FROM f))
+           / (SELECT CASE WHEN stddev_pop(o_totalprice) = 0 THEN 1 ELSE stddev_pop(o_totalprice) END FROM f) AS z_price,
+         (f.c_acctbal - (SELECT avg(c_acctbal) FROM f))
+           / (SELECT CASE WHEN stddev_pop(c_acctbal) = 0 THEN 1 ELSE stddev_pop(c_acctbal) END FROM f) AS z_acctbal,
          (f.o_orderkey % 10) >= 5 AS is_train
-  FROM f JOIN enc USING (c_mktsegment) CROSS JOIN st),
+  FROM f JOIN enc USING (c_mktsegment)),
 seg AS (SELECT seg_code, avg(o_totalprice) AS pred, count(*) AS n_train
         FROM z WHERE is_train GROUP BY seg_code),
 t AS (SELECT z.*, seg.pred, seg.n_train FROM z JOIN seg USING (seg_code) WHERE NOT z.is_train)

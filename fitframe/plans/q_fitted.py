@@ -86,13 +86,18 @@ def encode_first_seen(spark, sf):
 # ---------------------------------------------------------------- E5
 
 
+def _Z_SQL(col: str, src: str, where: str = "") -> str:
+    """z-score with population std (0 -> 1) from scalar subqueries."""
+    w = f" WHERE {where}" if where else ""
+    return (f"({col} - (SELECT avg({col}) FROM {src}{w})) / "
+            f"(SELECT CASE WHEN stddev_pop({col}) = 0 THEN 1 ELSE stddev_pop({col}) END FROM {src}{w})")
+
+
 @query("zscore_union", f"""
-WITH st AS (SELECT avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp,
-                   avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey,
-       {R6('(l_extendedprice - mp) / CASE WHEN sp = 0 THEN 1 ELSE sp END')} AS z_price,
-       {R6('(l_quantity - mq) / CASE WHEN sq = 0 THEN 1 ELSE sq END')} AS z_qty
-FROM lineitem CROSS JOIN st""")
+       {R6(_Z_SQL('l_extendedprice', 'lineitem'))} AS z_price,
+       {R6(_Z_SQL('l_quantity', 'lineitem'))} AS z_qty
+FROM lineitem""")
 def zscore_union(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                              "l_extendedprice", "l_quantity")
@@ -104,11 +109,10 @@ def zscore_union(spark, sf):
 
 
 @query("zscore_train", f"""
-WITH l AS (SELECT *, (l_orderkey % 10) >= 5 AS is_train FROM lineitem),
-st AS (SELECT avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM l WHERE is_train)
+WITH l AS (SELECT *, (l_orderkey % 10) >= 5 AS is_train FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, is_train,
-       {R6('(l_extendedprice - mp) / CASE WHEN sp = 0 THEN 1 ELSE sp END')} AS z_price
-FROM l CROSS JOIN st""")
+       {R6(_Z_SQL('l_extendedprice', 'l', 'is_train'))} AS z_price
+FROM l""")
 def zscore_train(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     flagged, train, test = expr_split(li, modulo_condition("l_orderkey"))
@@ -124,10 +128,9 @@ WITH p AS (SELECT p_partkey,
                   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS p_size,
                   CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice
            FROM part),
-m AS (SELECT avg(p_size) AS ms, avg(p_retailprice) AS mr FROM p)
-SELECT p_partkey, {R6('coalesce(CAST(p_size AS DOUBLE), ms)')} AS p_size,
-       {R6('coalesce(p_retailprice, mr)')} AS p_retailprice
-FROM p CROSS JOIN m""")
+SELECT p_partkey, {R6('coalesce(CAST(p_size AS DOUBLE), (SELECT avg(p_size) FROM p))')} AS p_size,
+       {R6('coalesce(p_retailprice, (SELECT avg(p_retailprice) FROM p))')} AS p_retailprice
+FROM p""")
 def fill_mean_q(spark, sf):
     p = table(spark, sf, "part").select(
         "p_partkey",
@@ -180,11 +183,12 @@ def impute_mixed(spark, sf):
 
 def _sigma_sql(prev: str, name: str, col: str) -> str:
     return f"""
-{name}_s AS (SELECT avg({col}) AS m, stddev_samp({col}) AS s FROM {prev}),
-{name}_a AS (SELECT {prev}.* FROM {prev} CROSS JOIN {name}_s WHERE abs({col} - m) <= 3 * s),
-{name}_t AS (SELECT avg({col}) AS m, stddev_samp({col}) AS s FROM {name}_a),
-{name} AS (SELECT {name}_a.* FROM {name}_a CROSS JOIN {name}_t
-           WHERE NOT coalesce(abs({col} - m) > 3 * s, FALSE))"""
+{name}_a AS (SELECT * FROM {prev}
+             WHERE abs({col} - (SELECT avg({col}) FROM {prev}))
+                   <= 3 * (SELECT stddev_samp({col}) FROM {prev})),
+{name} AS (SELECT * FROM {name}_a
+           WHERE NOT coalesce(abs({col} - (SELECT avg({col}) FROM {name}_a))
+                              > 3 * (SELECT stddev_samp({col}) FROM {name}_a), FALSE))"""
 
 
 @query("outlier_3sigma", f"""

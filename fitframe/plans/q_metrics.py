@@ -94,14 +94,15 @@ def _gini_part(order: str) -> str:
             f"(SELECT y, row_number() OVER (ORDER BY {order}) AS pos FROM b))")
 
 
-def _g(a: str) -> str:
-    return f"((CASE WHEN {a}.n > 1 THEN {a}.n / 2.0 ELSE 0.0 END) - (({a}.n + 1) * {a}.s - {a}.w) / {a}.s)"
+def _g_sql(order: str) -> str:
+    """One ordering's Gini sum as a scalar subquery."""
+    return (f"(SELECT (CASE WHEN n > 1 THEN n / 2.0 ELSE 0.0 END) - ((n + 1) * s - w) / s "
+            f"FROM {_gini_part(order)})")
 
 
 @query("m_gini", f"""
 WITH b AS (SELECT o_totalprice AS y, CAST(o_custkey % 100 AS DOUBLE) AS p, o_orderkey AS t FROM orders)
-SELECT {R6(f"{_g('gp')} / {_g('gt')}")} AS gini
-FROM {_gini_part('p DESC, t DESC')} gp CROSS JOIN {_gini_part('y DESC, t DESC')} gt""")
+SELECT {R6(f"{_g_sql('p DESC, t DESC')} / {_g_sql('y DESC, t DESC')}")} AS gini""")
 def m_gini(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_totalprice").alias("y"), F.pmod("o_custkey", F.lit(100)).cast("double").alias("p"),

@@ -199,7 +199,8 @@ def _moments_sql() -> str:
     prods = ", ".join(f"sum((x{i} - m{i}) * (x{j} - m{j})) AS c{i}_{j}"
                       for i in range(_D) for j in range(i, _D))
     cov_rows = " UNION ALL ".join(
-        f"SELECT -1 AS label, 'cov' AS stat, {i} AS i, {j} AS j, {R6(f'c{i}_{j} / dof')} AS value FROM c, t"
+        f"SELECT -1 AS label, 'cov' AS stat, {i} AS i, {j} AS j, "
+        f"{R6(f'c{i}_{j} / (SELECT dof FROM t)')} AS value FROM c"
         for i in range(_D) for j in range(i, _D))
     return f"""
 WITH e AS (SELECT label, {xs} FROM embeddings),
