@@ -33,7 +33,8 @@ from .rank import global_rank
 
 DEFAULT_BROADCAST_MAX = 500_000
 DEFAULT_COLLECT_MAX = 100_000
-DEFAULT_INLINE_MAX = 10_000
+DEFAULT_INLINE_MAX = 10_000          # codes per column applied as a literal map
+DEFAULT_INLINE_TOTAL_MAX = 200_000   # literal entries per plan (shipped with every task)
 
 
 def fit_frame(train: DataFrame, test: DataFrame | None, fit_on: str, columns: list[str]) -> DataFrame:
@@ -157,8 +158,12 @@ class LabelEncoderModel(Model):
                 .select(F.col(key).alias("value"), "code"))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        inline = {c: o for c, o in zip(self.inputCols, self.outputCols)
-                  if c in self.local and self.sizes.get(c, 0) <= self.inline_max}
+        # literal maps travel inside the plan: cap them per column and in total
+        inline, budget = {}, DEFAULT_INLINE_TOTAL_MAX
+        for c, o in zip(self.inputCols, self.outputCols):
+            n = self.sizes.get(c, 0)
+            if c in self.local and n <= self.inline_max and n <= budget:
+                inline[c], budget = o, budget - n
         out = dataset.withColumns({o: self._inline(c) for c, o in inline.items()}) if inline else dataset
         for i, (c, o) in enumerate(zip(self.inputCols, self.outputCols)):
             if c in inline:
