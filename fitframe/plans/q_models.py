@@ -236,8 +236,8 @@ def discriminant_moments(spark, sf):
 # ---------------------------------------------------------------- selection
 
 
-@query("fit_pipeline")
-def fit_pipeline(spark, sf):
+@query("fit_chain")
+def fit_chain(spark, sf):
     """Impute -> encode -> scale -> assemble -> boosted trees as one ``Pipeline``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
