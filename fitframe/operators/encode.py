@@ -27,7 +27,7 @@ import math
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from .rank import global_rank
 
@@ -37,6 +37,29 @@ DEFAULT_INLINE_MAX = 10_000          # codes per column applied as a literal map
 DEFAULT_INLINE_TOTAL_MAX = 200_000   # literal entries per plan (shipped with every task)
 
 
+# Values are carried in the field of their kind, so large integers stay exact
+# (a double holds integers exactly only up to 2^53).
+_FIELD = {"int": "lval", "float": "dval", "str": "sval"}
+_CAST = {"int": "long", "float": "double", "str": "string"}
+
+
+def value_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """'int' for integral columns, 'float' for other numeric ones, 'str' otherwise."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return {c: "int" if isinstance(types[c], IntegralType)
+            else "float" if isinstance(types[c], NumericType) else "str" for c in columns}
+
+
+def value_struct(c: str, kind: str, with_presence: bool = True) -> Column:
+    """``(name, [present], lval, dval, sval)`` with the value in its kind's field."""
+    fields = [F.lit(c).alias("name")]
+    if with_presence:
+        fields.append(F.col(c).isNotNull().alias("present"))
+    for k, f in _FIELD.items():
+        fields.append((F.col(c).cast(_CAST[k]) if k == kind else F.lit(None).cast(_CAST[k])).alias(f))
+    return F.struct(*fields)
+
+
 def fit_frame(train: DataFrame, test: DataFrame | None, fit_on: str, columns: list[str]) -> DataFrame:
     """The rows a fitted operator learns from (T10: ``union`` is the reference's default)."""
     if fit_on == "train" or test is None:
@@ -62,38 +85,29 @@ class LabelEncoder(Estimator):
         self.broadcast_max = broadcast_max
         self.collect_max = collect_max
 
-    def _from_values(self, dataset: DataFrame, numeric: set, rows) -> "LabelEncoderModel":
+    def _from_values(self, dataset: DataFrame, kinds: dict, rows) -> "LabelEncoderModel":
         """Number a bounded list of distinct values in the same order the
         distributed path uses: NULL first, then ascending (NaN last)."""
         def key(r):
             d = r["dval"]
             dk = (0, 0.0) if d is None else ((2, 0.0) if math.isnan(d) else (1, d))
-            return (r["name"], r["present"], dk, (r["sval"] is not None, r["sval"] or ""))
-        out, sizes, pos, local = [], {}, {}, {}
+            return (r["name"], r["present"], (r["lval"] is not None, r["lval"] or 0), dk,
+                    (r["sval"] is not None, r["sval"] or ""))
+        out, pos, local = [], {}, {}
         for r in sorted(rows, key=key):
             code = pos.get(r["name"], 0)
             pos[r["name"]] = code + 1
-            out.append((r["name"], r["present"], r["dval"], r["sval"], code))
-            local.setdefault(r["name"], {})[None if not r["present"] else
-                                            (r["dval"] if r["name"] in numeric else r["sval"])] = code
-        sizes = dict(pos)
+            out.append((r["name"], r["present"], r["lval"], r["dval"], r["sval"], code))
+            value = r[_FIELD[kinds[r["name"]]]] if r["present"] else None
+            local.setdefault(r["name"], {})[value] = code
         mapping = dataset.sparkSession.createDataFrame(
-            out, "name string, present boolean, dval double, sval string, code int")
-        return LabelEncoderModel(self.inputCols, self.outputCols, numeric, mapping, sizes,
+            out, "name string, present boolean, lval long, dval double, sval string, code int")
+        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, dict(pos),
                                  self.broadcast_max, local)
 
     def _fit(self, dataset: DataFrame) -> "LabelEncoderModel":
-        numeric = {f.name for f in dataset.schema.fields
-                   if f.name in self.inputCols and isinstance(f.dataType, NumericType)}
-        pairs = [
-            F.struct(
-                F.lit(c).alias("name"),
-                F.col(c).isNotNull().alias("present"),
-                (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("dval"),
-                (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("sval"),
-            )
-            for c in self.inputCols
-        ]
+        kinds = value_kinds(dataset, self.inputCols)
+        pairs = [value_struct(c, kinds[c]) for c in self.inputCols]
         values = (dataset.select(F.explode(F.array(*pairs)).alias("kv"))
                   .select("kv.*").distinct())
         # Small dictionaries (the usual case): one job returns at most
@@ -102,8 +116,9 @@ class LabelEncoder(Estimator):
         if self.collect_max > 0:
             head = values.limit(self.collect_max + 1).collect()
             if len(head) <= self.collect_max:
-                return self._from_values(dataset, numeric, head)
+                return self._from_values(dataset, kinds, head)
         ranked = global_rank(values, [F.col("name").asc(), F.col("present").asc(),
+                                      F.col("lval").asc_nulls_first(),
                                       F.col("dval").asc_nulls_first(),
                                       F.col("sval").asc_nulls_first()], "_r")
         # first rank and size per column: one row per input column
@@ -113,9 +128,9 @@ class LabelEncoder(Estimator):
         start_df = dataset.sparkSession.createDataFrame(
             [(r["name"], int(r["_start"])) for r in starts], "name string, _start long")
         mapping = (ranked.join(F.broadcast(start_df), "name")
-                   .select("name", "present", "dval", "sval",
+                   .select("name", "present", "lval", "dval", "sval",
                            (F.col("_r") - F.col("_start")).cast("int").alias("code")))
-        return LabelEncoderModel(self.inputCols, self.outputCols, numeric, mapping, sizes,
+        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, sizes,
                                  self.broadcast_max)
 
 
@@ -125,12 +140,12 @@ class LabelEncoderModel(Model):
     so a table with thousands of encoded columns gets no join at all; larger
     ones join the mapping table (broadcast under ``broadcast_max``)."""
 
-    def __init__(self, inputCols, outputCols, numeric, mapping: DataFrame, sizes: dict,
+    def __init__(self, inputCols, outputCols, kinds: dict, mapping: DataFrame, sizes: dict,
                  broadcast_max: int, local: dict | None = None,
                  inline_max: int = DEFAULT_INLINE_MAX):
         super().__init__()
         self.inputCols, self.outputCols = inputCols, outputCols
-        self.numeric, self.mapping, self.sizes = numeric, mapping, sizes
+        self.kinds, self.mapping, self.sizes = kinds, mapping, sizes
         self.broadcast_max = broadcast_max
         self.local = local or {}
         self.inline_max = inline_max
@@ -138,12 +153,12 @@ class LabelEncoderModel(Model):
     def _inline(self, c: str) -> Column:
         d = self.local[c]
         keys = [k for k in d if k is not None and not (isinstance(k, float) and math.isnan(k))]
-        probe = F.col(c).cast("double") if c in self.numeric else F.col(c).cast("string")
-        ktype = "double" if c in self.numeric else "string"
+        ktype = _CAST[self.kinds[c]]
+        probe = F.col(c).cast(ktype)
         table = F.map_from_arrays(F.array(*[F.lit(k).cast(ktype) for k in keys]),
                                   F.array(*[F.lit(int(d[k])) for k in keys]))
         code = F.try_element_at(table, probe)
-        if c in self.numeric:
+        if self.kinds[c] == "float":
             nan = [d[k] for k in d if isinstance(k, float) and math.isnan(k)]
             if nan:
                 code = F.when(F.isnan(probe), F.lit(int(nan[0]))).otherwise(code)
@@ -153,7 +168,7 @@ class LabelEncoderModel(Model):
 
     def labels(self, column: str) -> DataFrame:
         """The fitted (value, code) table of one column, as a DataFrame."""
-        key = "dval" if column in self.numeric else "sval"
+        key = _FIELD[self.kinds[column]]
         return (self.mapping.where(F.col("name") == column)
                 .select(F.col(key).alias("value"), "code"))
 
@@ -168,13 +183,13 @@ class LabelEncoderModel(Model):
         for i, (c, o) in enumerate(zip(self.inputCols, self.outputCols)):
             if c in inline:
                 continue
-            key = "dval" if c in self.numeric else "sval"
+            key = _FIELD[self.kinds[c]]
             k, v = f"_ff_k{i}", f"_ff_v{i}"
             m = (self.mapping.where(F.col("name") == c)
                  .select(F.col(key).alias(k), F.col("code").alias(v)))
             if self.sizes.get(c, 0) <= self.broadcast_max:
                 m = F.broadcast(m)
-            probe = F.col(c).cast("double") if c in self.numeric else F.col(c).cast("string")
+            probe = F.col(c).cast(_CAST[self.kinds[c]])
             out = (out.join(m, probe.eqNullSafe(F.col(k)), "left")
                    .withColumn(o, F.col(v)).drop(k, v))
         return out

@@ -28,29 +28,16 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict:
     """Most frequent non-null value of each column, ties to the smallest."""
     if not columns:
         return {}
-    numeric = {f.name for f in df.schema.fields
-               if f.name in columns and isinstance(f.dataType, NumericType)}
-    pairs = [
-        F.struct(F.lit(c).alias("name"),
-                 (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("dval"),
-                 (F.lit(None).cast("string") if c in numeric else F.col(c).cast("string")).alias("sval"))
-        for c in columns
-    ]
+    from .encode import _FIELD, value_kinds, value_struct
+    kinds = value_kinds(df, columns)
+    pairs = [value_struct(c, kinds[c], with_presence=False) for c in columns]
     counted = (df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
-               .where(F.col("dval").isNotNull() | F.col("sval").isNotNull())
-               .groupBy("name", "dval", "sval").agg(F.count(F.lit(1)).alias("n")))
+               .where(F.col("lval").isNotNull() | F.col("dval").isNotNull() | F.col("sval").isNotNull())
+               .groupBy("name", "lval", "dval", "sval").agg(F.count(F.lit(1)).alias("n")))
     best = (counted.groupBy("name")
-            .agg(F.min(F.struct((-F.col("n")).alias("neg"), "dval", "sval")).alias("b"))
+            .agg(F.min(F.struct((-F.col("n")).alias("neg"), "lval", "dval", "sval")).alias("b"))
             .collect())  # one row per column
-    dtypes = dict(df.dtypes)
-    out = {}
-    for r in best:
-        c = r["name"]
-        v = r["b"]["dval"] if c in numeric else r["b"]["sval"]
-        if c in numeric and dtypes[c] in ("int", "bigint", "smallint", "tinyint"):
-            v = int(v)
-        out[c] = v
-    return out
+    return {r["name"]: r["b"][_FIELD[kinds[r["name"]]]] for r in best}
 
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")

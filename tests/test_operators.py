@@ -287,3 +287,13 @@ def test_t18_swap_feature_is_explicit():
     assert swap_feature(["a", "v", "b"], "v", ["vD", "vM"]) == ["a", "b", "vD", "vM"]
     # source already dropped: the parts are still added, and nothing is raised
     assert swap_feature(["a", "b"], "v", ["vD", "vM"]) == ["a", "b", "vD", "vM"]
+
+
+def test_large_integer_keys_stay_exact(spark):
+    big = 2 ** 60
+    df = spark.createDataFrame([(big,), (big + 1,), (big + 1,), (None,)], "k long")
+    enc = LabelEncoder(["k"], ["c"]).fit(df)
+    assert dict(rows(enc.transform(df), "k", "c")) == {None: 0, big: 1, big + 1: 2}
+    dist = LabelEncoder(["k"], ["c"], collect_max=0).fit(df)
+    assert dict(rows(dist.transform(df), "k", "c")) == {None: 0, big: 1, big + 1: 2}
+    assert column_modes(df, ["k"]) == {"k": big + 1}
