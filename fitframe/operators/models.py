@@ -274,11 +274,13 @@ def knn_predict(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, la
     n_ref, n_q = train.count(), test.count()
     rb = max(1, math.ceil(n_ref / block_rows))
     qb = max(1, math.ceil(n_q / block_rows))
+    # both sides carry the block keys with the same type, so equal keys hash
+    # to the same shuffle partition of the cogroup
     ref = (train.select(F.col(id_col).alias("rid"), F.col(vec_col).alias("v"), F.col(label_col).alias("lab"))
-           .withColumn("rblock", F.pmod(F.xxhash64("rid"), F.lit(rb)))
+           .withColumn("rblock", F.pmod(F.xxhash64("rid"), F.lit(rb)).cast("int"))
            .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     qry = (test.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("v"))
-           .withColumn("qblock", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+           .withColumn("qblock", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
            .withColumn("rblock", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

@@ -96,6 +96,8 @@ def main(argv):
         from pyspark.sql import SparkSession
         b = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
             .config("spark.ui.showConsoleProgress", "false")
+        if os.environ.get("FF_NO_AQE"):
+            b = b.config("spark.sql.adaptive.enabled", "false")
         if os.environ.get("FF_TZ"):
             b = b.config("spark.sql.session.timeZone", os.environ["FF_TZ"])
         spark = b.getOrCreate()

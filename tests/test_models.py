@@ -93,3 +93,18 @@ def test_softmax_importances_cv(spark):
     folds = data.withColumn("fold", (F.col("id") % 3).cast("int"))
     cv = cross_validate(estimator("tree", maxDepth=3), folds, "fold", FitEvaluator("accuracy"), 3).collect()
     assert len(cv) == 4 and cv[-1].fold == -1
+
+
+def test_knn_blocks_meet_without_aqe(spark):
+    """The cogroup keys must match in type, or equal blocks land in different
+    shuffle partitions once partitions are not coalesced into one."""
+    df, x, y = _fixture(spark, n=120)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        train, test = df.where(F.col("id") % 3 != 0), df.where(F.col("id") % 3 == 0)
+        got = knn_predict(train, test, "id", "v", "label", k=5, block_rows=20).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == test.count()
