@@ -103,18 +103,40 @@ def dense_codes(values: DataFrame, column: str, name: str = "code",
 
 
 def cumulative(df: DataFrame, order_by, value: str, name: str = "cumulative",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, method: str = "arrow") -> DataFrame:
     """Running sum of ``value`` over the global order (I8), two-pass offset form.
 
-    Per-partition totals give the offsets; inside a partition the running sum
-    is a vectorised ``cumsum`` over Arrow batches of the already-sorted rows
-    (``mapInPandas`` is narrow: no exchange).
+    Per-partition totals give the offsets (one row per partition, broadcast).
+    Inside a partition:
+
+    * ``method="arrow"`` (default): a vectorised ``cumsum`` over Arrow
+      batches of the already-sorted rows.  ``mapInPandas`` is narrow, so no
+      exchange follows the checkpoint.
+    * ``method="window"``: JVM only.  The rows are re-partitioned by range
+      on the partition id (one range partition per id) and summed with a
+      window per id.  This costs one shuffle of the data; use it where
+      executors have no Python workers.
+
+    NULL values count as 0, as in SQL ``SUM OVER``.
     """
     tagged = sorted_tagged(df, order_by, num_partitions)
     vtype = dict(tagged.dtypes)[value]
     is_int = vtype in ("int", "bigint", "smallint", "tinyint")
     measure = F.sum(F.col(value).cast("long" if is_int else "double"))
-    offs = {pid: off for pid, off in (tuple(r) for r in _offsets(tagged, measure, _OFF).collect())}
+    offs_df = _offsets(tagged, measure, _OFF)
+    if method == "window":
+        from pyspark.sql import Window
+        n = offs_df.count()
+        w = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.sum(F.coalesce(F.col(value).cast("long" if is_int else "double"), F.lit(0))).over(w)
+        return (tagged.repartitionByRange(max(1, n), F.col(_PID))
+                .withColumn("_ff_local", local)
+                .join(F.broadcast(offs_df), _PID)
+                .withColumn(name, F.col(_OFF) + F.col("_ff_local"))
+                .drop(_PID, _MID, _OFF, "_ff_local"))
+    if method != "arrow":
+        raise ValueError(f"unknown method {method!r}")
+    offs = {pid: off for pid, off in (tuple(r) for r in offs_df.collect())}
     schema = tagged.drop(_PID, _MID).schema.add(name, LongType() if is_int else DoubleType())
 
     def running(batches):

@@ -156,3 +156,13 @@ def test_small_dictionaries_are_a_projection(spark):
     a = sorted((tuple(r) for r in out.collect()), key=str)
     b = sorted((tuple(r) for r in joined.transform(wide).select(*out.columns).collect()), key=str)
     assert a == b
+
+
+def test_cumulative_window_method_matches_arrow(spark):
+    from fitframe.operators.rank import cumulative
+    df = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") % 17).alias("v"))
+    a = cumulative(df, [F.col("k").asc()], "v", "c", num_partitions=6)
+    b = cumulative(df, [F.col("k").asc()], "v", "c", num_partitions=6, method="window")
+    p = plan(b)
+    assert "MapInPandas" not in p and "Exchange hashpartitioning" not in p
+    assert {r.k: r.c for r in a.collect()} == {r.k: r.c for r in b.collect()}
