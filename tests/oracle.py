@@ -96,6 +96,8 @@ def main(argv):
         from pyspark.sql import SparkSession
         b = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
             .config("spark.ui.showConsoleProgress", "false")
+        if os.environ.get("FF_NO_ANSI"):
+            b = b.config("spark.sql.ansi.enabled", "false")
         if os.environ.get("FF_NO_BROADCAST"):
             b = b.config("spark.sql.autoBroadcastJoinThreshold", "-1")
         if os.environ.get("FF_NO_AQE"):
