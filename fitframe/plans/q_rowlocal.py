@@ -352,14 +352,25 @@ _ARITH = ["l_quantity", "l_discount", "l_tax"]
 _PAIRS = [(a, b) for i, a in enumerate(_ARITH) for b in _ARITH[i + 1:]]
 
 
+def _nan_split_sql(e: str, name: str) -> str:
+    """NaN reported as a flag (NaN never equals NaN in a value comparison)."""
+    return (f"CASE WHEN isnan({e}) THEN NULL ELSE {R6(e)} END AS {name}, "
+            f"coalesce(isnan({e}), FALSE) AS {name}_isnan")
+
+
 @query("arith_crosses", "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
-    f"{R6(f'{a} * {b}')} AS {a}times{b}, {R6(_div_sql(a, b))} AS {a}divs{b}" for a, b in _PAIRS)
-    + " FROM lineitem")
+    f"{R6(f'{a} * {b}')} AS {a}times{b}, {_nan_split_sql(_div_sql(a, b), f'{a}divs{b}')}"
+    for a, b in _PAIRS) + " FROM lineitem")
 def arith_crosses_q(spark, sf):
     li = table(spark, sf, "lineitem")
-    crosses = arith_crosses(_ARITH)
-    return li.select("l_orderkey", "l_linenumber", "l_partkey",
-                     *[r6(v).alias(k) for k, v in crosses.items()])
+    out = []
+    for k, v in arith_crosses(_ARITH).items():
+        if "divs" in k:   # pandas division: inf for x/0, NaN for 0/0 (flagged, value NULL)
+            out += [F.when(F.isnan(v), F.lit(None)).otherwise(r6(v)).alias(k),
+                    F.coalesce(F.isnan(v), F.lit(False)).alias(f"{k}_isnan")]
+        else:
+            out.append(r6(v).alias(k))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", *out)
 
 # ---------------------------------------------------------------- O1
 
