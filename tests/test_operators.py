@@ -297,3 +297,28 @@ def test_large_integer_keys_stay_exact(spark):
     dist = LabelEncoder(["k"], ["c"], collect_max=0).fit(df)
     assert dict(rows(dist.transform(df), "k", "c")) == {None: 0, big: 1, big + 1: 2}
     assert column_modes(df, ["k"]) == {"k": big + 1}
+
+
+def test_reload_or_build_builds_once(spark):
+    import tempfile
+    from fitframe.sources.readers import reload_or_build
+    path = tempfile.mkdtemp(prefix="ff-reload-") + "/agg"
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(0, 10).groupBy((F.col("id") % 2).alias("k")).count()
+    a = reload_or_build(spark, path, build)
+    b = reload_or_build(spark, path, build)
+    assert len(calls) == 1 and sorted(a.collect()) == sorted(b.collect())
+    reload_or_build(spark, path, build, rebuild=True)
+    assert len(calls) == 2
+
+
+def test_fill_template_keeps_ids_and_columns(spark):
+    from fitframe.sources.sinks import fill_template
+    template = spark.createDataFrame([(3, 0.0, "x"), (1, 0.0, "y"), (2, 0.0, "z")], "ID long, target double, note string")
+    preds = spark.createDataFrame([(1, 0.9), (3, 0.1)], "ID long, p double")
+    out = fill_template(template, preds, "ID", "target", "p")
+    assert out.columns == ["ID", "target", "note"]
+    assert {r.ID: r.target for r in out.collect()} == {1: 0.9, 2: None, 3: 0.1}
