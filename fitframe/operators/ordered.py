@@ -1,10 +1,15 @@
 """Ordered computation inside groups.
 
 The reference sorts each group and loops over it in Python.  Here the same
-work is a window partitioned by the group key (one exchange on the key, a
-sort inside each partition) followed by an ordinary grouped aggregate.
-The general fallback for an arbitrary per-group function is
-:func:`grouped_apply` (``applyInPandas``).
+work is either a window partitioned by the group key (one exchange on the
+key, a sort inside each partition) or, when some group is too large for
+one task, the skew-safe form: rows numbered over (group, order) by the
+range-partitioned rank and joined to their neighbour on position +- 1.  In
+both, an ordinary grouped aggregate (partial on the map side) follows.
+``skew_safe='auto'`` picks the form from the measured largest group.  The
+general fallback for an arbitrary per-group function is
+:func:`grouped_apply` (``applyInPandas``), which keeps a whole group in one
+task and so is for small groups only.
 """
 
 from __future__ import annotations
