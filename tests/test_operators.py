@@ -322,3 +322,17 @@ def test_fill_template_keeps_ids_and_columns(spark):
     out = fill_template(template, preds, "ID", "target", "p")
     assert out.columns == ["ID", "target", "note"]
     assert {r.ID: r.target for r in out.collect()} == {1: 0.9, 2: None, 3: 0.1}
+
+
+def test_scan_csv_strict_and_lenient_casts(spark):
+    import tempfile
+    import pytest
+    from fitframe.sources.readers import scan_csv
+    folder = tempfile.mkdtemp(prefix="ff-csv-")
+    with open(folder + "/a.csv", "w") as fh:
+        fh.write("id,x\n1,2.5\n2,oops\n")
+    lenient = scan_csv(spark, folder, schema="id long, x string", dtype={"x": "double"}, lenient=True)
+    assert sorted((r.id, r.x) for r in lenient.collect()) == [(1, 2.5), (2, None)]
+    strict = scan_csv(spark, folder, schema="id long, x string", dtype={"x": "double"})
+    with pytest.raises(Exception):
+        strict.collect()
