@@ -91,8 +91,8 @@ def noisy_columns(df: DataFrame, columns: list[str] | None = None, approx_first:
             bad.add(c)                                  # no value at all (exact: count is exact)
         elif present < min_share * n:
             bad.add(c)                                  # exact: counts are exact
-        elif abs(est - max_distinct_share * n) <= band * max(est, 1) or est <= 1 + band * 2:
-            unsure.append(c)                            # near a distinct threshold: count exactly
+        elif abs(est - max_distinct_share * n) <= band * max(est, 1):
+            unsure.append(c)                            # near the distinct threshold: count exactly
         elif est > max_distinct_share * n:
             bad.add(c)
     if unsure:
