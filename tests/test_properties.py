@@ -87,3 +87,16 @@ def test_gini_closed_form_equals_lorenz_curves(spark, pairs):
         return  # undefined or ill-conditioned ratio; the edge tests cover NULL
     want = area(p) / area(y)
     assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
+
+
+@SETTINGS
+@given(st.integers(50, 600), st.lists(st.tuples(st.integers(1, 400), st.integers(0, 3)), min_size=1, max_size=6))
+def test_noisy_verdict_approx_equals_exact(spark, n, specs):
+    """HLL-first column screening returns exactly the exact verdict."""
+    from fitframe.operators.clean import noisy_columns
+    cols = [((F.col("id") % (k + 2)) == 0) if k else F.lit(False)  # null mask per column
+            for _, k in specs]
+    exprs = [F.when(c, F.lit(None)).otherwise((F.col("id") % m).cast("string")).alias(f"c{i}")
+             for i, (c, (m, _)) in enumerate(zip(cols, specs))]
+    df = spark.range(0, n).select(*exprs)
+    assert noisy_columns(df, approx_first=True) == noisy_columns(df, approx_first=False)
