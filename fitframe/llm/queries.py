@@ -1,9 +1,10 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import quality, simhash
+from . import quality, simhash, suffix
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op6_quality": quality.op6_quality,
+    "op10_suffix": suffix.op10_suffix,
 }
 ORACLE: dict[str, str] = {}
