@@ -1,9 +1,11 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import quality, simhash, suffix
+from . import decontaminate, packing, quality, simhash, suffix
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op10_suffix": suffix.op10_suffix,
 }
