@@ -1,12 +1,16 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, packing, quality, simhash, suffix
+from . import chat, decontaminate, licenses, packing, pages, quality, simhash, suffix, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_chat": chat.op2_chat,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_pages": pages.op4_pages,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
+    "op8_tokens": tokens.op8_tokens,
+    "op9_licenses": licenses.op9_licenses,
     "op10_suffix": suffix.op10_suffix,
 }
 ORACLE: dict[str, str] = {}
