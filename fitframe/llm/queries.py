@@ -1,6 +1,6 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import chat, decontaminate, licenses, packing, pages, quality, simhash, suffix, tokens
+from . import chat, decontaminate, licenses, lm, packing, pages, quality, simhash, suffix, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pages": pages.op4_pages,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
+    "op7_lm": lm.op7_lm,
     "op8_tokens": tokens.op8_tokens,
     "op9_licenses": licenses.op9_licenses,
     "op10_suffix": suffix.op10_suffix,
