@@ -332,11 +332,12 @@ def _counted_repeats(found: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, id_col: str = "doc_id",
                    hot: int = HOT) -> DataFrame:
-    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` (long) added.
+    """``docs`` with ``kept`` (binary), ``kept_text``, ``n_bytes``, ``n_removed``, ``n_spans`` (long) added.
 
     ``kept`` is the text's UTF-8 bytes without those covered by a
     ``length``-byte string that starts anywhere else in the column; such
-    strings are judged on the input and never cross texts.  Null texts count as
+    strings are judged on the input and never cross texts.  ``kept_text`` has
+    the same as text: a character of which only some bytes went goes whole.  Null texts count as
     empty, and shorter texts stay whole.  A repeated row repeats all its
     strings, as any exact copy does; null or repeated ids are no matter.  An
     empty table gives an empty result; columns of ``docs`` that bear an added
@@ -344,7 +345,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, i
     """
     if length < 2 * PIECE:
         raise ValueError(f"length is to be at least {2 * PIECE}")
-    added = ["kept", "n_bytes", "n_removed", "n_spans"]
+    added = ["kept", "kept_text", "n_bytes", "n_removed", "n_spans"]
     carry = [c for c in docs.columns if c.lower() not in added]
     x = renamed(docs, ["own"])
     text = text_or_empty(text_col)
@@ -365,13 +366,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, counts = [], []
+            kept, texts, counts = [], [], []
             rows = zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True)
             for data, found, copies in rows:
                 data = data.as_py()
                 n = len(data)
                 if copies.as_py() and n >= length:
                     kept.append(b"")
+                    texts.append("")
                     counts.append((n, n, 1))
                     continue
                 out, at, removed, pieces, end = [], 0, 0, 0, -1
@@ -387,32 +389,28 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, i
                         at = end = b
                 out.append(data[at:])
                 kept.append(b"".join(out))
+                texts.append("".join(v.decode("utf-8", "ignore") for v in out))
                 counts.append((n, removed, pieces))
             n, removed, pieces = zip(*counts) if counts else ((), (), ())
             own = batch.column(0)
             yield pa.RecordBatch.from_arrays(
-                [own, pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (n, removed, pieces))],
+                [own, pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (n, removed, pieces))],
                 [x["own"], *added])
 
     both = named.drop("who").join(known, ["t1", "t2"], "left").select(x["own"], "text", "spans", "copies")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("o")).schema["o"].dataType.simpleString()
-    done = both.mapInArrow(run, f"`{x['own']}` {own}, kept binary, n_bytes long, n_removed long, n_spans long")
+    done = both.mapInArrow(run, f"`{x['own']}` {own}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
     return done.select(f"{x['own']}.*", *added)
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated substrings taken out of ``text`` (and ``n_chars`` to match).
-
-    A character of which only some bytes were covered goes as a whole.
-    """
-    cut = remove_repeats(docs, **options)
-    text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
-    # what decoding puts in place of a broken character was not in the text, unless the text had it
-    clean = F.when(F.col("n_removed") == 0, F.col("text")).when(
-        F.col("text").contains("�"), text).otherwise(F.regexp_replace(text, "�", ""))
+    """``docs`` with repeated substrings taken out of ``text`` (and ``n_chars`` to match); null texts stay null."""
+    x = renamed(docs, ["own"])
+    cut = remove_repeats(docs.select(F.struct("*").alias(x["own"]), "text", "doc_id"), **options)
+    text = F.when(F.col(f"{x['own']}.text").isNotNull(), F.col("kept_text"))
     return cut.select(*[
-        clean.alias(c) if c == "text" else F.length(clean).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
-        for c in docs.columns])
+        text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars"
+        else F.col(f"{x['own']}.`{c}`") for c in docs.columns])
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
