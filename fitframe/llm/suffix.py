@@ -323,7 +323,9 @@ def _counted_repeats(found: DataFrame, length: int) -> DataFrame:
                         [pa.array(a), pa.array(b), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)),
                          pa.array(start + o + np.arange(n))], ["h1", "h2", "t1", "t2", "start"])
 
-    windows = found.select("t1", "t2", "start", "data").mapInArrow(
+    # dealt out evenly first: the frequent runs may come from few texts
+    dealt = found.select("t1", "t2", "start", "data").repartition(tasks(found.sparkSession))
+    windows = dealt.mapInArrow(
         run, "h1 long, h2 long, t1 long, t2 long, start long")
     more = staged(windows.distinct().groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "windows")
     return windows.join(more, ["h1", "h2"]).select("t1", "t2", F.col("start").alias("first"),
