@@ -129,8 +129,8 @@ def _smaller_than_next(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = np.sign(np.diff(data.astype(np.int16)))
     step[ends - 1] = -1  # the end is smaller than any byte
-    known = np.flatnonzero(step)
-    return step[known[np.searchsorted(known, np.arange(n))]] > 0
+    known = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
+    return step[np.minimum.accumulate(known[::-1])[::-1]] > 0
 
 
 def two_stage(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -211,6 +211,7 @@ def repeated(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) ->
     for a in range(0, len(order) - 1, 1 << 15):
         part = order[a:a + (1 << 15) + 1]
         have = view[part]
+        have = have.view(np.uint64) if length % 8 == 0 else have
         same[a + 1:a + len(part)] = (have[1:] == have[:-1]).all(axis=1)
     return np.sort(order[same[:-1] | same[1:]])
 
