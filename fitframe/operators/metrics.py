@@ -9,11 +9,12 @@ a single-partition sort.
 from __future__ import annotations
 
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import divide
-from .rank import global_rank
+from .rank import cumulative, global_rank
 
 EPS = 1e-15
 
@@ -122,17 +123,18 @@ def gini(df: DataFrame, label: str, pred: str, tiebreak: str, name: str = "gini"
 def auc(df: DataFrame, label: str, score: str, name: str = "auc") -> DataFrame:
     """Exact ROC AUC by the rank-sum rule with average ranks on ties.
 
-    Rows are ranked by score with the distributed rank; tied scores share
-    the mean of their positions (min + max) / 2, computed by a grouped
-    aggregate on the score (partial on the map side).
+    Rows are first grouped by score (partial on the map side, so a score
+    held by any share of the rows is one row); a running count over the
+    distinct scores gives the positions lo..hi of each, and tied rows share
+    the mean (lo + hi) / 2.
     """
     base = df.select(F.col(score).cast("double").alias("_s"),
                      (F.col(label).cast("int") == 1).cast("long").alias("_pos"))
-    r = global_rank(base, [F.col("_s").asc()], "_r")
-    per_score = r.groupBy("_s").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"),
-                                    F.sum("_pos").alias("p"), F.count(F.lit(1)).alias("c"))
-    tot = per_score.agg(F.sum(F.col("p") * (F.col("lo") + F.col("hi")) / 2.0).alias("rs"),
-                        F.sum("p").alias("P"), (F.sum("c") - F.sum("p")).alias("N"))
+    per_score = base.groupBy("_s").agg(F.sum("_pos").alias("p"), F.count(F.lit(1)).alias("c"))
+    placed = cumulative(per_score, [F.col("_s").asc()], "c", "hi")
+    lo = F.col("hi") - F.col("c") + 1
+    tot = placed.agg(F.sum(F.col("p") * (lo + F.col("hi")) / 2.0).alias("rs"),
+                     F.sum("p").alias("P"), (F.sum("c") - F.sum("p")).alias("N"))
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
     # one class only: AUC is undefined -> NULL (no ANSI division error)
     return tot.select(F.try_divide(F.col("rs") - P * (P + 1) / 2.0, P * N).alias(name))
@@ -155,27 +157,42 @@ METRICS = {
 
 
 class FitEvaluator(Evaluator):
-    """Any metric above as a ``pyspark.ml`` Evaluator, for model selection."""
+    """Any metric above as a ``pyspark.ml`` Evaluator, for model selection.
+
+    ``logloss`` and ``auc`` read the positive class of ``probabilityCol`` (its
+    second value), ``multi_logloss`` all of it.  A dataset without that column
+    is scored on ``predictionCol``, which then holds the score itself.
+    ``gini`` needs a ``tiebreakCol``: the order of tied predictions is part of
+    the metric.
+    """
 
     def __init__(self, metric: str = "rmspe", labelCol: str = "label",
                  predictionCol: str = "prediction", tiebreakCol: str | None = None,
-                 unlog: bool = False):
+                 unlog: bool = False, probabilityCol: str = "probability"):
         super().__init__()
+        if metric == "gini" and not tiebreakCol:
+            raise ValueError("gini needs tiebreakCol, the row order that breaks tied predictions")
+        if metric not in METRICS and metric not in ("gini", "auc", "multi_logloss"):
+            raise ValueError(f"unknown metric {metric!r}")
         self.metric, self.labelCol, self.predictionCol = metric, labelCol, predictionCol
-        self.tiebreakCol, self.unlog = tiebreakCol, unlog
+        self.tiebreakCol, self.unlog, self.probabilityCol = tiebreakCol, unlog, probabilityCol
 
     def _evaluate(self, dataset: DataFrame) -> float:
         m = self.metric
         if m == "gini":
-            return float(gini(dataset, self.labelCol, self.predictionCol,
-                              self.tiebreakCol or self.labelCol).first()[0])
-        if m == "auc":
-            return float(auc(dataset, self.labelCol, self.predictionCol).first()[0])
-        fn, _ = METRICS[m]
+            return float(gini(dataset, self.labelCol, self.predictionCol, self.tiebreakCol).first()[0])
+        if m in ("auc", "logloss", "multi_logloss"):
+            score = self.predictionCol
+            if self.probabilityCol in dataset.columns:
+                probs = F.col(self.probabilityCol)
+                if dict(dataset.dtypes)[self.probabilityCol] == "vector":
+                    probs = vector_to_array(probs)
+                dataset = dataset.withColumn("_ff_score", probs if m == "multi_logloss" else probs[1])
+                score = "_ff_score"
+            fn = {"auc": auc, "logloss": logloss, "multi_logloss": multi_logloss}[m]
+            return float(fn(dataset, self.labelCol, score).first()[0])
         kw = {"unlog": True} if self.unlog and m in ("mae", "rmspe") else {}
-        return float(fn(dataset, self.labelCol, self.predictionCol, **kw).first()[0])
+        return float(METRICS[m][0](dataset, self.labelCol, self.predictionCol, **kw).first()[0])
 
     def isLargerBetter(self) -> bool:
-        if self.metric in ("gini", "auc"):
-            return True
-        return METRICS[self.metric][1]
+        return self.metric in ("gini", "auc") or self.metric != "multi_logloss" and METRICS[self.metric][1]

@@ -47,14 +47,24 @@ BOOSTER_PARAMS = {"eta": "stepSize", "max_depth": "maxDepth", "ntrees": "maxIter
                   "gamma": "minInfoGain"}
 
 
+#: Fixed value: the deepest tree MLlib builds.
+MAX_DEPTH = 30
+
+
 def booster_params(**kw) -> dict:
-    """Translate booster settings to MLlib params; depth is capped at MLlib's 30."""
+    """Translate booster settings to MLlib params.
+
+    MLlib trees are at most 30 deep: a greater ``max_depth`` is an error, not
+    a quiet cut.  ``colsample_bytree`` is a share of the features: 1 is all.
+    """
     out = {}
     for k, v in kw.items():
         if k == "colsample_bytree":
-            out["featureSubsetStrategy"] = str(v)
+            out["featureSubsetStrategy"] = "all" if float(v) == 1.0 else str(float(v))
+        elif k == "max_depth" and int(v) > MAX_DEPTH:
+            raise ValueError(f"max_depth {v}: trees here are at most {MAX_DEPTH} deep")
         elif k in BOOSTER_PARAMS:
-            out[BOOSTER_PARAMS[k]] = min(int(v), 30) if k == "max_depth" else v
+            out[BOOSTER_PARAMS[k]] = int(v) if k == "max_depth" else v
         else:
             out[k] = v
     return out
@@ -234,8 +244,9 @@ def adaboost(train: DataFrame, label: str, features: str, num_classes: int, roun
             F.transform(p, lambda x, i: F.when(i == F.col(label).cast("int"), x).otherwise(-x / (K - 1))),
             F.lit(0.0), lambda a, x: a + x)
         scored = m.transform(df).withColumn("_w", F.col("_w") * F.exp(-(K - 1) / K * ylogp))
+        scored = cut_lineage(scored.select(*train.columns, "_w"))  # the sum and the next fit read it
         total = scored.agg(F.sum("_w")).first()[0] or 1.0
-        df = cut_lineage(scored.select(*train.columns, (F.col("_w") / total).alias("_w")))
+        df = scored.withColumn("_w", F.col("_w") / total)
     return models
 
 

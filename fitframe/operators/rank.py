@@ -19,11 +19,11 @@ be reproducible; with ties the ranks are still a permutation of 1..n.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
 
 from ..session import cut_lineage
+from .relate import leaf_bytes
 
 _PID = "_ff_pid"
 _MID = "_ff_mid"
@@ -40,22 +40,17 @@ def _as_order(spec) -> list[Column]:
     return out
 
 
-# Range partitions are sized from Catalyst's estimate of the input (bytes as
-# stored, i.e. compressed for Parquet): about this much input per partition.
+# Range partitions are sized from the leaf scans (bytes as stored, i.e.
+# compressed for Parquet): about this much input per partition.
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_RANGE_PARTITIONS = 200_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Explicit count, else max(shuffle partitions, estimated size / target)."""
+    """Explicit count, else max(shuffle partitions, bytes of the leaf scans / target)."""
     if num_partitions:
         return num_partitions
     base = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    try:
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return base
-    return max(base, min(-(-est // TARGET_PARTITION_BYTES), MAX_RANGE_PARTITIONS))
+    return max(base, -(-(leaf_bytes(df) or 0) // TARGET_PARTITION_BYTES))
 
 
 def sorted_tagged(df: DataFrame, order_by, num_partitions: int | None = None) -> DataFrame:
@@ -103,54 +98,22 @@ def dense_codes(values: DataFrame, column: str, name: str = "code",
 
 
 def cumulative(df: DataFrame, order_by, value: str, name: str = "cumulative",
-               num_partitions: int | None = None, method: str = "arrow") -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """Running sum of ``value`` over the global order (I8), two-pass offset form.
 
     Per-partition totals give the offsets (one row per partition, broadcast).
-    Inside a partition:
-
-    * ``method="arrow"`` (default): a vectorised ``cumsum`` over Arrow
-      batches of the already-sorted rows.  ``mapInPandas`` is narrow, so no
-      exchange follows the checkpoint.
-    * ``method="window"``: JVM only.  The rows are re-partitioned by range
-      on the partition id (one range partition per id) and summed with a
-      window per id.  This costs one shuffle of the data; use it where
-      executors have no Python workers.
-
-    NULL values count as 0, as in SQL ``SUM OVER``.
+    Inside a partition a window per partition id sums in the JVM, so integers
+    stay exact and other columns are not touched.  NULL values count as 0, as
+    in SQL ``SUM OVER``.
     """
     tagged = sorted_tagged(df, order_by, num_partitions)
-    vtype = dict(tagged.dtypes)[value]
-    is_int = vtype in ("int", "bigint", "smallint", "tinyint")
-    measure = F.sum(F.col(value).cast("long" if is_int else "double"))
-    offs_df = _offsets(tagged, measure, _OFF)
-    if method == "window":
-        from pyspark.sql import Window
-        n = offs_df.count()
-        w = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.sum(F.coalesce(F.col(value).cast("long" if is_int else "double"), F.lit(0))).over(w)
-        return (tagged.repartitionByRange(max(1, n), F.col(_PID))
-                .withColumn("_ff_local", local)
-                .join(F.broadcast(offs_df), _PID)
-                .withColumn(name, F.col(_OFF) + F.col("_ff_local"))
-                .drop(_PID, _MID, _OFF, "_ff_local"))
-    if method != "arrow":
-        raise ValueError(f"unknown method {method!r}")
-    offs = {pid: off for pid, off in (tuple(r) for r in offs_df.collect())}
-    schema = tagged.drop(_PID, _MID).schema.add(name, LongType() if is_int else DoubleType())
-
-    def running(batches):
-        state = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf[_PID].iloc[0])
-            base = state.get(pid, offs.get(pid, 0))
-            vals = pdf[value].fillna(0)
-            csum = vals.cumsum() + base
-            state[pid] = csum.iloc[-1]
-            pdf = pdf.drop(columns=[_PID, _MID])
-            pdf[name] = csum.astype("int64" if is_int else "float64")
-            yield pdf
-
-    return tagged.mapInPandas(running, schema)
+    is_int = dict(tagged.dtypes)[value] in ("int", "bigint", "smallint", "tinyint")
+    amount = F.col(value).cast("long" if is_int else "double")
+    offs = _offsets(tagged, F.sum(amount), _OFF)
+    w = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.sum(F.coalesce(amount, F.lit(0).cast("long" if is_int else "double"))).over(w)
+    return (tagged.repartitionByRange(max(1, offs.count()), F.col(_PID))
+            .withColumn("_ff_local", local)
+            .join(F.broadcast(offs), _PID)
+            .withColumn(name, F.col(_OFF) + F.col("_ff_local"))
+            .drop(_PID, _MID, _OFF, "_ff_local"))

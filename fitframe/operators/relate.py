@@ -14,12 +14,37 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _plan(df: DataFrame):
+    """The optimized plan, or None where there is no JVM handle (Spark Connect)."""
+    jdf = getattr(df, "_jdf", None)
+    return None if jdf is None else jdf.queryExecution().optimizedPlan()
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (the number ``autoBroadcastJoinThreshold`` is checked against)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM handle (e.g. Spark Connect): no hint
+    """Catalyst's size estimate of ``df`` (the number ``autoBroadcastJoinThreshold`` is checked against).
+
+    For a join it is the product of the sides, so it errs on the large side:
+    right for asking whether a broadcast is safe, not for sizing partitions.
+    """
+    plan = _plan(df)
+    return None if plan is None else int(str(plan.stats().sizeInBytes()))
+
+
+#: A leaf without statistics (an RDD) reports the largest long; from here on a size means unknown.
+UNKNOWN_BYTES = 1 << 60
+
+
+def leaf_bytes(df: DataFrame) -> int | None:
+    """Bytes of all leaf scans under ``df``: what a plan with joins reads, not their product.
+
+    Leaves of unknown size are left out.
+    """
+    plan = _plan(df)
+    if plan is None:
         return None
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

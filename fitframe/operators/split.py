@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, reuse_if_shuffled
+from ..session import cut_lineage
 from .rank import global_rank
 
 
+_DRAW_RANGE = 1 << 62
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -56,10 +59,9 @@ def modulo_condition(key: str, modulus: int = 10, threshold: int = 5) -> Column:
 
 def holdout(df: DataFrame, key_cols: list[str], fraction: float, seed: int = 1337,
             flag: str = "is_holdout") -> DataFrame:
-    """Fractional holdout as a stable hash bucket (S4): 1 % or 5 % of rows."""
-    buckets = 10000
-    b = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(buckets))
-    return df.withColumn(flag, b < int(round(fraction * buckets)))
+    """Fractional holdout by a stable hash draw (S4): 1 % or 5 % of rows, or any other share."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(_DRAW_RANGE))
+    return df.withColumn(flag, draw < F.lit(round(min(1.0, max(0.0, fraction)) * _DRAW_RANGE)))
 
 
 def fold_column(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 1337,
@@ -69,40 +71,35 @@ def fold_column(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 1337
                                       F.lit(k)).cast("int"))
 
 
-_DRAW_RANGE = 1 << 62
-
-
 def fixed_sample_split(df: DataFrame, n: int, key_cols: list[str], seed: int = 0,
                        flag: str = "is_sample") -> DataFrame:
     """Exactly ``n`` rows as validation, the rest for training.
 
-    The sample is the ``n`` rows with the smallest hash draw (ties broken by
-    the key).  Instead of ranking the whole table, rows with a draw under a
-    bound sized for about 1.2 n expected rows are kept as candidates and
-    only they are ranked; when fewer than ``n`` come back the bound is
-    doubled.  The n smallest draws are always among the candidates, so the
-    result equals a full sort.  The chosen keys (n rows) join back as a
-    left join, broadcast only when ``n`` is small.
+    The sample is the ``n`` rows with the smallest (hash draw, row number).
+    Row numbers are given once, in a checkpointed copy, so rows that share a
+    key (or have a NULL one) are told apart.  Only rows with a draw under a
+    bound sized for about 1.2 n expected rows are ranked; when fewer than
+    ``n`` come back the bound is doubled.  The n smallest are always among
+    them, so the result equals a full sort.  The last of them is a threshold
+    that flags the rows in place: no join.
     """
-    df = reuse_if_shuffled(df)  # counted, filtered and joined: one materialisation if it shuffles
     draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(_DRAW_RANGE))
-    drawn = df.withColumn("_ff_draw", draw)
-    total = df.count()
-    if n <= 0 or total == 0:
-        return df.withColumn(flag, F.lit(False))
+    drawn = cut_lineage(df.withColumn("_ff_draw", draw).withColumn("_ff_row", F.monotonically_increasing_id()))
+    total = drawn.count()
+    if n <= 0 or n >= total:
+        return drawn.withColumn(flag, F.lit(n > 0)).drop("_ff_draw", "_ff_row")
     frac = min(1.0, 1.2 * n / total + 16.0 / total)
     while True:
         bound = int(_DRAW_RANGE * frac) if frac < 1.0 else _DRAW_RANGE
-        cand = drawn.where(F.col("_ff_draw") < F.lit(bound)).select("_ff_draw", *key_cols)
-        if frac >= 1.0 or cand.count() >= min(n, total):
+        cand = drawn.where(F.col("_ff_draw") < F.lit(bound)).select("_ff_draw", "_ff_row")
+        if frac >= 1.0 or cand.count() >= n:
             break
         frac = min(1.0, frac * 2)
-    ranked = global_rank(cand, [F.col("_ff_draw").asc()] + [F.col(k).asc() for k in key_cols],
-                         "_ff_pos")
-    chosen = ranked.where(F.col("_ff_pos") <= n).select(*key_cols, F.lit(True).alias("_ff_in"))
-    chosen = F.broadcast(chosen) if n <= 1_000_000 else chosen
-    return (df.join(chosen, key_cols, "left")
-              .withColumn(flag, F.coalesce(F.col("_ff_in"), F.lit(False))).drop("_ff_in"))
+    last = global_rank(cand, [F.col("_ff_draw").asc(), F.col("_ff_row").asc()], "_ff_pos") \
+        .where(F.col("_ff_pos") == n).first()
+    inside = (F.col("_ff_draw") < last["_ff_draw"]) | \
+        ((F.col("_ff_draw") == last["_ff_draw"]) & (F.col("_ff_row") <= last["_ff_row"]))
+    return drawn.withColumn(flag, inside).drop("_ff_draw", "_ff_row")
 
 
 def sample_rows(df: DataFrame, n: int, key_cols: list[str], seed: int = 0) -> DataFrame:

@@ -189,7 +189,7 @@ EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
     for c in EVENT_CLASSES) + " FROM events GROUP BY user_id")
 def wide_submission_q(spark, sf):
     e = table(spark, sf, "events")
-    counts = e.groupBy("user_id").pivot("event_type", EVENT_CLASSES).count().fillna(0)
+    counts = e.groupBy("user_id").pivot("event_type", EVENT_CLASSES).count().fillna(0, EVENT_CLASSES)
     total = sum(F.col(c) for c in EVENT_CLASSES)
     probs = counts.select(F.col("user_id").cast("long"),  # C10
                           array_to_vector(F.array(*[F.col(c) / total for c in EVENT_CLASSES])).alias("probability"))
@@ -231,24 +231,34 @@ def _partition_props(a, b, key: str):
                        F.count(F.lit(1)).alias("n_keys"))
 
 
-_PROPS_SQL = "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_overlap, count(DISTINCT o_orderkey) AS n_keys FROM orders"
+_PROPS_SQL = ("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_overlap, count(DISTINCT o_orderkey) AS n_keys, "
+              "true AS share_ok FROM orders")
+
+
+def _share_ok(side, whole, share):
+    """Whether a side has its share of the rows, within five standard deviations."""
+    n, all_n = side.agg(F.count(F.lit(1)).cast("double")).scalar(), F.col("n_rows").cast("double")
+    return F.abs(n - share * all_n) <= 5 * F.sqrt(all_n * share * (1 - share))
 
 
 @query("split_hash", _PROPS_SQL)
 def split_hash(spark, sf):
     o = holdout(table(spark, sf, "orders"), ["o_orderkey"], 0.05, seed=1337)
-    return _partition_props(o.where("is_holdout"), o.where("NOT is_holdout"), "o_orderkey")
+    held = o.where("is_holdout")
+    props = _partition_props(held, o.where("NOT is_holdout"), "o_orderkey")
+    return props.withColumn("share_ok", _share_ok(held, o, 0.05))
 
 
 @query("split_random", _PROPS_SQL)
 def split_random(spark, sf):
-    _, tr, te = random_split(table(spark, sf, "orders"), 0.75, seed=42)
-    return _partition_props(tr, te, "o_orderkey")
+    flagged, tr, te = random_split(table(spark, sf, "orders"), 0.75, seed=42)
+    return _partition_props(tr, te, "o_orderkey").withColumn("share_ok", _share_ok(tr, flagged, 0.75))
 
 
 @query("split_fixed_n", """
 SELECT least(1000, count(*)) AS n_sample, count(*) - least(1000, count(*)) AS n_rest,
-       CAST(0 AS BIGINT) AS n_overlap, least(500, count(*)) AS n_dev FROM orders""")
+       CAST(0 AS BIGINT) AS n_overlap, least(500, count(*)) AS n_dev,
+       least(700, count(*)) AS n_repeated FROM orders""")
 def split_fixed_n(spark, sf):
     o = table(spark, sf, "orders")
     flagged = fixed_sample_split(o, 1000, ["o_orderkey"], seed=7)
@@ -256,19 +266,26 @@ def split_fixed_n(spark, sf):
     rest = complement(o, sample, ["o_orderkey"])          # P8: rows not in the sample (anti join)
     props = _partition_props(sample, rest, "o_orderkey")
     dev = sample_rows(o, 500, ["o_orderkey"], seed=11).agg(F.count(F.lit(1)).alias("n_dev"))
+    # a key that many rows share, and some lack
+    status = o.withColumn("key", F.when(F.col("o_orderkey") % 19 != 0, F.col("o_orderstatus")))
+    repeated = sample_rows(status, 700, ["key"], seed=13).agg(F.count(F.lit(1)).alias("n_repeated"))
     counts = flagged.agg(F.sum(F.col("is_sample").cast("long")).alias("n_sample"),
                          F.sum((~F.col("is_sample")).cast("long")).alias("n_rest"))
     return counts.select("n_sample", "n_rest", props.select("n_overlap").scalar().alias("n_overlap"),
-                         dev.select("n_dev").scalar().alias("n_dev"))
+                         dev.select("n_dev").scalar().alias("n_dev"),
+                         repeated.select("n_repeated").scalar().alias("n_repeated"))
 
 
 @query("split_folds", """
 SELECT count(*) AS n_rows, CAST(least(5, count(*)) AS BIGINT) AS n_folds,
-       0 AS min_fold, 4 AS max_fold FROM orders""")
+       0 AS min_fold, 4 AS max_fold, true AS sizes_ok FROM orders""")
 def split_folds(spark, sf):
     f = fold_column(table(spark, sf, "orders"), ["o_orderkey"], k=5, seed=1337)
-    return f.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("fold").alias("n_folds"),
-                 F.min("fold").alias("min_fold"), F.max("fold").alias("max_fold"))
+    sizes = f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n").cast("double")
+    fair = F.greatest(F.max("n") - n / 5, n / 5 - F.min("n")) <= 5 * F.sqrt(n * 0.16)
+    return sizes.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"), F.min("fold").alias("min_fold"),
+                     F.max("fold").alias("max_fold"), fair.alias("sizes_ok"))
 
 
 @query("split_date", """

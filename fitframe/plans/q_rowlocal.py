@@ -41,9 +41,9 @@ def select_by_type(spark, sf):
     part = table(spark, sf, "part")
     numeric = columns_by_type(part, numeric=True)                 # C3
     feats = features_except(part.select(*numeric), ["p_partkey"])  # C2
-    chosen = part.select(*unique_names(["p_partkey"] + feats + numeric))  # C12
-    # Drop by position is the same selection expressed positionally
-    return by_position(chosen, [1, 2, 3]).drop(*[c for c in chosen.columns if c not in numeric])  # C4
+    chosen = part.select(*unique_names(["p_partkey"] + feats + numeric), "p_name")  # C12
+    wide = chosen.withColumn("extra", F.lit(1)).select("extra", *chosen.columns)  # two columns to lose
+    return by_position(wide, [2, 3, 4, 5]).drop("p_name")         # C5: the first, by position; C4: another, by name
 
 # ---------------------------------------------------------------- P / N
 

@@ -20,13 +20,15 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     """CSV with a header (A1).
 
     ``schema`` gives every type up front (no inference pass -- preferred at
-    scale); otherwise types are inferred and ``dtype`` overrides single
+    scale); text that does not fit it raises, unless ``lenient``, where it
+    becomes NULL.  Otherwise types are inferred and ``dtype`` overrides single
     columns by a cast (A3).  The cast is strict (bad text raises, like the
     reference's typed read) unless ``lenient``, where it becomes NULL (C9).
     Gzip input is detected by extension (A4); a gzip file is one split, so
     pass ``repartition`` to spread the rows after it.
     """
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    mode = "FAILFAST" if schema is not None and not lenient else "PERMISSIVE"
+    reader = spark.read.option("header", header).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
     else:

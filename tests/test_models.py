@@ -74,8 +74,11 @@ def test_patience_rule():
 
 
 def test_booster_params_map():
-    assert booster_params(eta=0.02, max_depth=100, ntrees=300, subsample=0.9, colsample_bytree=0.7) == \
+    assert booster_params(eta=0.02, max_depth=30, ntrees=300, subsample=0.9, colsample_bytree=0.7) == \
         {"stepSize": 0.02, "maxDepth": 30, "maxIter": 300, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.7"}
+    assert booster_params(colsample_bytree=1) == {"featureSubsetStrategy": "all"}
+    with pytest.raises(ValueError):
+        booster_params(max_depth=64)
 
 
 def test_softmax_importances_cv(spark):

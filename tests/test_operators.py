@@ -169,6 +169,62 @@ def test_cumulative_two_pass(spark):
     assert {r.k: r.cum for r in out.collect()} == {k: k * (k + 1) / 4 for k in range(1, 1001)}
 
 
+def test_cumulative_keeps_big_integers(spark):
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(1, big, big), (2, None, 7), (3, 1, None)], "k int, v long, other long")
+    got = {r.k: (r.cum, r.other) for r in cumulative(df, [F.col("k").asc()], "v", "cum", num_partitions=3).collect()}
+    assert got == {1: (big, big), 2: (big, 7), 3: (big + 1, None)}
+
+
+def test_fixed_sample_with_repeated_and_null_keys(spark):
+    for keys in ([None, 1, 1, 2], [1, 1, 1, 2], [None, 2, 3], [None, None]):
+        df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key int, i int")
+        for n in range(len(keys) + 2):
+            rows = fixed_sample_split(df, n, ["key"]).collect()
+            assert sorted(r.i for r in rows) == list(range(len(keys)))
+            assert sum(r.is_sample for r in rows) == min(n, len(keys))
+
+
+def test_small_holdout_share_is_kept(spark):
+    from fitframe.operators.split import holdout
+    df = spark.range(0, 400000).withColumnRenamed("id", "key")
+    assert 2 <= holdout(df, ["key"], 0.00003).where("is_holdout").count() <= 40
+
+
+def test_strict_schema_read(spark, tmp_path):
+    import pytest as pt
+
+    from fitframe.sources.readers import scan_csv
+    (tmp_path / "a.csv").write_text("a,b\n1,x\ny,z\n")
+    assert [r.a for r in scan_csv(spark, str(tmp_path / "a.csv"), "a int, b string", lenient=True).collect()] == [1, None]
+    with pt.raises(Exception):
+        scan_csv(spark, str(tmp_path / "a.csv"), "a int, b string").collect()
+
+
+def test_auc_with_few_scores(spark):
+    rows = [(i % 3, (i * 7) % 5 == 0) for i in range(600)]
+    df = spark.createDataFrame([(float(s), int(y)) for s, y in rows], "s double, y int")
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(auc(df, "y", "s").first()[0] - want) < 1e-12
+
+
+def test_evaluator_reads_probabilities(spark):
+    import pytest as pt
+    from pyspark.ml.functions import array_to_vector
+
+    from fitframe.operators.metrics import FitEvaluator, logloss
+    df = spark.createDataFrame([(1, 1.0, [0.2, 0.8], 1), (0, 1.0, [0.4, 0.6], 2), (1, 0.0, [0.7, 0.3], 3), (0, 0.0, [0.9, 0.1], 4)],
+                               "label int, prediction double, p array<double>, t int")
+    out = df.withColumn("probability", array_to_vector("p")).withColumn("one", F.col("p")[1])
+    assert abs(FitEvaluator("auc").evaluate(out) - auc(out, "label", "one").first()[0]) < 1e-12
+    assert abs(FitEvaluator("logloss").evaluate(out) - logloss(out, "label", "one").first()[0]) < 1e-12
+    assert abs(FitEvaluator("multi_logloss").evaluate(out) - logloss(out, "label", "one").first()[0]) < 1e-9
+    assert not FitEvaluator("multi_logloss").isLargerBetter()
+    with pt.raises(ValueError):
+        FitEvaluator("gini")
+
+
 def test_splits_partition_rows(spark):
     df = spark.range(0, 3000).withColumnRenamed("id", "key")
     f = fixed_sample_split(df, 100, ["key"])

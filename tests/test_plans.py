@@ -9,9 +9,8 @@ from __spark_entry__ import oracle_sql, queries
 from fitframe.operators.rank import global_rank
 from tests.conftest import SF_SMALL
 
-# queries whose work is by design Arrow-batched Python (cumulative sum inside a
-# sorted partition, blocked kNN distances)
-PANDAS_BY_DESIGN = {"cumulative", "knn_exact"}
+# queries whose work is by design Arrow-batched Python (blocked kNN distances)
+PANDAS_BY_DESIGN = {"knn_exact"}
 
 
 def plan(df) -> str:
@@ -158,11 +157,31 @@ def test_small_dictionaries_are_a_projection(spark):
     assert a == b
 
 
-def test_cumulative_window_method_matches_arrow(spark):
+def test_cumulative_stays_in_the_jvm(spark):
     from fitframe.operators.rank import cumulative
     df = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") % 17).alias("v"))
-    a = cumulative(df, [F.col("k").asc()], "v", "c", num_partitions=6)
-    b = cumulative(df, [F.col("k").asc()], "v", "c", num_partitions=6, method="window")
-    p = plan(b)
-    assert "MapInPandas" not in p and "Exchange hashpartitioning" not in p
-    assert {r.k: r.c for r in a.collect()} == {r.k: r.c for r in b.collect()}
+    out = cumulative(df, [F.col("k").asc()], "v", "c", num_partitions=6)
+    p = plan(out)
+    assert "InPandas" not in p and "Exchange hashpartitioning" not in p and "SinglePartition" not in p
+
+
+def test_size_checks_see_the_plan(spark):
+    from fitframe.operators.rank import _partitions
+    from fitframe.operators.relate import broadcast_if_small, estimated_bytes, leaf_bytes
+    nation = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    assert 0 < estimated_bytes(nation) < 1 << 20 and leaf_bytes(nation) == estimated_bytes(nation)
+    joined = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    assert leaf_bytes(joined) == leaf_bytes(li.where("l_orderkey IS NOT NULL")) + leaf_bytes(orders)
+    assert estimated_bytes(joined) > 1000 * leaf_bytes(joined)      # the product of the sides
+    assert leaf_bytes(li.groupBy("l_returnflag").count()) == leaf_bytes(li)
+    assert _partitions(joined, None) == 4                           # not one for each 128 MB of the product
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        on = F.col("l_linenumber") == F.col("n_nationkey")
+        assert "BroadcastHashJoin" in plan(li.join(broadcast_if_small(nation), on))
+        assert "BroadcastHashJoin" not in plan(li.join(broadcast_if_small(nation, max_bytes=1), on))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
