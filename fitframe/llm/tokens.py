@@ -154,6 +154,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """A worker's encoder of a tokenizer file: later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _open(path: str):
     if path.startswith("file:"):
         return pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
@@ -186,7 +196,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        files = writer = out = encoder = None
+        files = writer = out = coder = None
         shard = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -196,10 +206,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                 files.create_dir(base, recursive=True)
                 name = f"part-{shard:05d}-{uuid.uuid4().hex}.tokens"
                 out = files.open_output_stream(f"{base}/{name}")
-                writer, encoder = TokenWriter(out), Encoder(tokenizer if "/" in tokenizer else _public(tokenizer))
+                writer, coder = TokenWriter(out), encoder(tokenizer if "/" in tokenizer else _public(tokenizer))
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for at in range(0, len(names), 256):
-                for n, data in zip(names[at:at + 256], encoder.encode(texts[at:at + 256].to_pylist()), strict=True):
+                for n, data in zip(names[at:at + 256], coder.encode(texts[at:at + 256].to_pylist()), strict=True):
                     writer.add(n, data + end)
         if writer is not None:
             writer.close()
