@@ -272,6 +272,8 @@ def brute_windows(text, item, limit=0.8):
         return None
     k = min(5, len(b))
     theirs = collections.Counter(tuple(b[i:i + k]) for i in range(len(b) - k + 1))
+    if not any(tuple(w[i:i + k]) in theirs for i in range(len(w) - k + 1)):
+        return None
     n, best = min(len(b), len(w)), 0.0
     for p in range(len(w) - n + 1):
         mine = collections.Counter(tuple(w[i:i + k]) for i in range(p, p + n - k + 1))
