@@ -18,6 +18,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A frame is closed when it has so many ids.
 FRAME_IDS = 1 << 16
 END_ID = 1
-#: Encoded words kept by a worker, and the longest kept.
-CACHE_WORDS, CACHE_BYTES = 1 << 20, 64
+#: Encoded words kept by a worker, and their bytes, before it starts anew.
+CACHE_WORDS, CACHE_BYTES = 1 << 20, 1 << 25
 
 
 def _low(data: bytes) -> int:
@@ -124,6 +125,19 @@ class TokenReader:
         return self.held[1][4 * first:4 * (first + int(self.sizes[i]))]
 
 
+class _Numbers(dict):
+    """Numbers words as they come, and lists those numbered since the list was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """A tokenizer file's encoding of whole texts, worked out once for each word.
 
@@ -135,23 +149,49 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start without words: their numbers, and where the ids of each end among the ids of all."""
+        self.numbers, self.bytes = _Numbers(), 0
+        self.ids, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, words: list[bytes], first: int) -> None:
+        """Ids of new words, numbered from ``first``: all are encoded as the lines of one text and
+        told apart by their places in it."""
+        whole = b"\n".join(words)
+        text = whole.decode()
+        sizes = map(len, words if len(text) == len(whole) else text.split("\n"))
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(words)) + 1)
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        places = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids))[::2]
+        base = int(self.ends[first])
+        if base + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(base + len(ids), "<u4")])
+        if first + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(first + len(words), np.int64)])
+        self.ids[base:base + len(ids)] = ids
+        self.ends[first + 1:first + 1 + len(words)] = base + np.searchsorted(places, ends)
+        self.bytes += len(whole)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.numbers) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self._forget()
         words = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known)) if words else []
-        for at in range(0, len(new), 1 << 14):
-            part = new[at:at + (1 << 14)]
-            for w, e in zip(part, self.tokenizer.encode_batch(
-                    [w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > CACHE_BYTES:
-                del self.known[w]
-        return out
+        upto = np.cumsum([0, *map(len, words)])
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(upto[-1]))
+        new, self.numbers.new = self.numbers.new, []
+        known = len(self.numbers) - len(new)
+        for i in range(0, len(new), 1 << 14):
+            self._learn(new[i:i + (1 << 14)], known + i)
+        starts = self.ends[at]
+        sizes = self.ends[at + 1] - starts
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], sizes)]
+        edges = cuts[upto].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
