@@ -9,8 +9,8 @@ Each fit is a fixed, small number of Spark jobs no matter how many columns:
   numbered with :func:`~fitframe.operators.rank.global_rank` and no label
   list reaches the driver, so a column with 10^8 distinct values (device
   ids, IPs) fits as a distributed job.  The mapping
-  stays a DataFrame; at transform time it is broadcast only when the fitted
-  distinct count (known exactly from the fit) is under ``broadcast_max``,
+  stays a DataFrame and is joined at transform time; it is broadcast only
+  when its bytes (known exactly from the fit) are under ``broadcast_bytes``,
   otherwise the join shuffles.
 * :class:`ZScore` computes mean and population std of every column in one
   aggregate (trap T7: population std, zero std treated as 1).
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
 from .rank import global_rank
+from .relate import DEFAULT_BROADCAST_BYTES
 
-DEFAULT_BROADCAST_MAX = 500_000
 DEFAULT_COLLECT_MAX = 100_000
-DEFAULT_INLINE_MAX = 10_000          # codes per column applied as a literal map
-DEFAULT_INLINE_TOTAL_MAX = 200_000   # literal entries per plan (shipped with every task)
+#: Bytes counted for an entry of a mapping beside those of its text.
+ENTRY_BYTES = 32
 
 
 # Values are carried in the field of their kind, so large integers stay exact
@@ -75,15 +75,20 @@ class LabelEncoder(Estimator):
     Numeric columns sort numerically (a dense rank), text columns
     lexicographically.  Trap T14: when the fitted rows contain NULL, NULL is
     its own class with code 0 and the other values start at 1.
+
+    ``handle_unseen``: a value that the fit has not seen gets NULL (``'null'``)
+    or fails the job that meets it (``'error'``).
     """
 
     def __init__(self, inputCols: list[str], outputCols: list[str] | None = None,
-                 broadcast_max: int = DEFAULT_BROADCAST_MAX, collect_max: int = DEFAULT_COLLECT_MAX):
+                 broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, collect_max: int = DEFAULT_COLLECT_MAX,
+                 handle_unseen: str = "null"):
         super().__init__()
         self.inputCols = list(inputCols)
         self.outputCols = list(outputCols) if outputCols else list(inputCols)
-        self.broadcast_max = broadcast_max
-        self.collect_max = collect_max
+        if handle_unseen not in ("null", "error"):
+            raise ValueError(f"handle_unseen must be 'null' or 'error', got {handle_unseen!r}")
+        self.broadcast_bytes, self.collect_max, self.handle_unseen = broadcast_bytes, collect_max, handle_unseen
 
     def _from_values(self, dataset: DataFrame, kinds: dict, rows) -> "LabelEncoderModel":
         """Number a bounded list of distinct values in the same order the
@@ -93,17 +98,16 @@ class LabelEncoder(Estimator):
             dk = (0, 0.0) if d is None else ((2, 0.0) if math.isnan(d) else (1, d))
             return (r["name"], r["present"], (r["lval"] is not None, r["lval"] or 0), dk,
                     (r["sval"] is not None, r["sval"] or ""))
-        out, pos, local = [], {}, {}
+        out, pos, size = [], {}, {}
         for r in sorted(rows, key=key):
             code = pos.get(r["name"], 0)
             pos[r["name"]] = code + 1
             out.append((r["name"], r["present"], r["lval"], r["dval"], r["sval"], code))
-            value = r[_FIELD[kinds[r["name"]]]] if r["present"] else None
-            local.setdefault(r["name"], {})[value] = code
+            size[r["name"]] = size.get(r["name"], 0) + ENTRY_BYTES + len((r["sval"] or "").encode())
         mapping = dataset.sparkSession.createDataFrame(
             out, "name string, present boolean, lval long, dval double, sval string, code int")
-        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, dict(pos),
-                                 self.broadcast_max, local)
+        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, pos, size,
+                                 self.broadcast_bytes, self.handle_unseen)
 
     def _fit(self, dataset: DataFrame) -> "LabelEncoderModel":
         kinds = value_kinds(dataset, self.inputCols)
@@ -122,49 +126,30 @@ class LabelEncoder(Estimator):
                                       F.col("dval").asc_nulls_first(),
                                       F.col("sval").asc_nulls_first()], "_r")
         # first rank and size per column: one row per input column
-        starts = ranked.groupBy("name").agg(F.min("_r").alias("_start"),
-                                            F.count(F.lit(1)).alias("_n")).collect()
+        starts = ranked.groupBy("name").agg(
+            F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"),
+            F.sum(ENTRY_BYTES + F.coalesce(F.octet_length("sval"), F.lit(0))).alias("_bytes")).collect()
         sizes = {r["name"]: int(r["_n"]) for r in starts}
+        size = {r["name"]: int(r["_bytes"]) for r in starts}
         start_df = dataset.sparkSession.createDataFrame(
             [(r["name"], int(r["_start"])) for r in starts], "name string, _start long")
         mapping = (ranked.join(F.broadcast(start_df), "name")
                    .select("name", "present", "lval", "dval", "sval",
                            (F.col("_r") - F.col("_start")).cast("int").alias("code")))
-        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, sizes,
-                                 self.broadcast_max)
+        return LabelEncoderModel(self.inputCols, self.outputCols, kinds, mapping, sizes, size,
+                                 self.broadcast_bytes, self.handle_unseen)
 
 
 class LabelEncoderModel(Model):
-    """Fitted codes.  Dictionaries held on the driver (small path) and under
-    ``inline_max`` entries are applied as literal maps -- a pure projection,
-    so a table with thousands of encoded columns gets no join at all; larger
-    ones join the mapping table (broadcast under ``broadcast_max``)."""
-
-    def __init__(self, inputCols, outputCols, kinds: dict, mapping: DataFrame, sizes: dict,
-                 broadcast_max: int, local: dict | None = None,
-                 inline_max: int = DEFAULT_INLINE_MAX):
+    """Fitted codes: the mapping table is joined, once for each column, and
+    broadcast where its bytes are under ``broadcast_bytes``."""
+
+    def __init__(self, inputCols, outputCols, kinds: dict, mapping: DataFrame, sizes: dict, size_bytes: dict,
+                 broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, handle_unseen: str = "null"):
         super().__init__()
         self.inputCols, self.outputCols = inputCols, outputCols
-        self.kinds, self.mapping, self.sizes = kinds, mapping, sizes
-        self.broadcast_max = broadcast_max
-        self.local = local or {}
-        self.inline_max = inline_max
-
-    def _inline(self, c: str) -> Column:
-        d = self.local[c]
-        keys = [k for k in d if k is not None and not (isinstance(k, float) and math.isnan(k))]
-        ktype = _CAST[self.kinds[c]]
-        probe = F.col(c).cast(ktype)
-        table = F.map_from_arrays(F.array(*[F.lit(k).cast(ktype) for k in keys]),
-                                  F.array(*[F.lit(int(d[k])) for k in keys]))
-        code = F.try_element_at(table, probe)
-        if self.kinds[c] == "float":
-            nan = [d[k] for k in d if isinstance(k, float) and math.isnan(k)]
-            if nan:
-                code = F.when(F.isnan(probe), F.lit(int(nan[0]))).otherwise(code)
-        if None in d:
-            code = F.when(F.col(c).isNull(), F.lit(int(d[None]))).otherwise(code)
-        return code.cast("int")
+        self.kinds, self.mapping, self.sizes, self.size_bytes = kinds, mapping, sizes, size_bytes
+        self.broadcast_bytes, self.handle_unseen = broadcast_bytes, handle_unseen
 
     def labels(self, column: str) -> DataFrame:
         """The fitted (value, code) table of one column, as a DataFrame."""
@@ -172,26 +157,24 @@ class LabelEncoderModel(Model):
         return (self.mapping.where(F.col("name") == column)
                 .select(F.col(key).alias("value"), "code"))
 
+    def small(self, column: str) -> bool:
+        """Whether the column's mapping may be broadcast."""
+        return self.size_bytes.get(column, 0) <= self.broadcast_bytes
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        # literal maps travel inside the plan: cap them per column and in total
-        inline, budget = {}, DEFAULT_INLINE_TOTAL_MAX
-        for c, o in zip(self.inputCols, self.outputCols):
-            n = self.sizes.get(c, 0)
-            if c in self.local and n <= self.inline_max and n <= budget:
-                inline[c], budget = o, budget - n
-        out = dataset.withColumns({o: self._inline(c) for c, o in inline.items()}) if inline else dataset
+        out = dataset
         for i, (c, o) in enumerate(zip(self.inputCols, self.outputCols)):
-            if c in inline:
-                continue
-            key = _FIELD[self.kinds[c]]
             k, v = f"_ff_k{i}", f"_ff_v{i}"
-            m = (self.mapping.where(F.col("name") == c)
-                 .select(F.col(key).alias(k), F.col("code").alias(v)))
-            if self.sizes.get(c, 0) <= self.broadcast_max:
+            m = self.labels(c).select(F.col("value").alias(k), F.col("code").alias(v))
+            if self.small(c):
                 m = F.broadcast(m)
             probe = F.col(c).cast(_CAST[self.kinds[c]])
+            code = F.col(v)
+            if self.handle_unseen == "error":
+                code = F.coalesce(code, F.raise_error(
+                    F.concat(F.lit(f"{c}: unseen value "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))).cast("int"))
             out = (out.join(m, probe.eqNullSafe(F.col(k)), "left")
-                   .withColumn(o, F.col(v)).drop(k, v))
+                   .withColumn(o, code).drop(k, v))
         return out
 
 
@@ -210,9 +193,10 @@ def first_seen_codes(train: DataFrame, test: DataFrame, column: str, order_key:
             .groupBy(column).agg(F.min(F.struct("_s", "_o")).alias("_first")))
     levels = global_rank(seen, [F.col("_first").asc()], "_code")
     levels = levels.select(F.col(column).alias("_ff_lv"), F.col("_code").cast("int").alias("_ff_code"))
-    # the level table is read from the checkpoint: counting it is cheap, and an
-    # exact count lets the join be planned as a broadcast before any shuffle
-    if levels.count() <= DEFAULT_BROADCAST_MAX:
+    # the level table is read from the checkpoint: measuring it is cheap, and its
+    # bytes let the join be planned as a broadcast before any shuffle
+    size = levels.agg(F.sum(ENTRY_BYTES + F.octet_length(F.col("_ff_lv").cast("string")))).first()[0] or 0
+    if size <= DEFAULT_BROADCAST_BYTES:
         levels = F.broadcast(levels)
 
     def apply(df: DataFrame) -> DataFrame:

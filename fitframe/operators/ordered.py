@@ -1,13 +1,13 @@
 """Ordered computation inside groups.
 
 The reference sorts each group and loops over it in Python.  Here the same
-work is either a window partitioned by the group key (one exchange on the
-key, a sort inside each partition) or, when some group is too large for
-one task, the skew-safe form: rows numbered over (group, order) by the
-range-partitioned rank and joined to their neighbour on position +- 1.  In
-both, an ordinary grouped aggregate (partial on the map side) follows.
-``skew_safe='auto'`` picks the form from the measured largest group.  The
-general fallback for an arbitrary per-group function is
+work is the skew-safe form: rows numbered over (group, order) by the
+range-partitioned rank and joined to their neighbour on position +- 1.  A
+caller who knows that no group is large may ask for a window partitioned by
+the group key instead (``skew_safe=False``: one exchange on the key, a sort
+inside each partition).  In both, an ordinary grouped aggregate (partial on
+the map side) follows.  The general fallback for an arbitrary per-group
+function is
 :func:`grouped_apply` (``applyInPandas``), which keeps a whole group in one
 task and so is for small groups only.
 """
@@ -19,32 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import rain_rate
 
-# A group up to this many rows is sorted comfortably inside one task.
-MAX_GROUP_ROWS = 5_000_000
-
-
-def _use_rank_path(df: DataFrame, group: list[str], skew_safe, max_group_rows: int) -> bool:
-    """``skew_safe='auto'``: measure the largest group with one partially
-    aggregated pass (output: one row per group, then one number) and take
-    the rank path only when some group is too big for one task."""
-    if skew_safe != "auto":
-        return bool(skew_safe)
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    return largest > max_group_rows
-
-
 def lag_diff(df: DataFrame, group: list[str], order: list[str], column: str,
-             name: str = "delta", default: float = 0, skew_safe="auto",
-             max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+             name: str = "delta", default: float = 0, skew_safe: bool = True) -> DataFrame:
     """``x - lag(x, 1, default)`` inside each group in order.
 
-    ``skew_safe=True``: rows are numbered over (group, order) with the
-    range-partitioned rank and each row finds its predecessor by one
+    ``skew_safe=True`` (default): rows are numbered over (group, order) with
+    the range-partitioned rank and each row finds its predecessor by one
     equi-join on position - 1, so a hot group is spread over many tasks.
-    ``skew_safe=False``: a window partitioned by the group.  ``'auto'``
-    (default): the window unless the largest group exceeds ``max_group_rows``.
+    ``skew_safe=False``: a window partitioned by the group, for groups that
+    are known to fit in a task.
     """
-    if not _use_rank_path(df, group, skew_safe, max_group_rows):
+    if not skew_safe:
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.col(column) - F.lag(column, 1, default).over(w))
     from .rank import global_rank
@@ -61,7 +46,7 @@ def lag_diff(df: DataFrame, group: list[str], order: list[str], column: str,
 
 def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute: str,
                       rate, horizon: float = 60.0, name: str = "estimate",
-                      skew_safe="auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                      skew_safe: bool = True) -> DataFrame:
     """Duration-weighted sum of a per-reading rate.
 
     Each reading is valid from the previous reading's minute to its own
@@ -76,16 +61,14 @@ def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute:
 
     ``skew_safe=False`` uses a window partitioned by the group: one exchange,
     but a group holding a third of all rows is one task.  ``skew_safe=True``
-    never puts a group in one task: rows get a global position
+    (default) never puts a group in one task: rows get a global position
     over (group, order) from the range-partitioned rank, each row meets its
     successor through one equi-join on position + 1 (a unique, evenly spread
-    key), and the final sum is a partial (map-side) aggregate.  ``'auto'``
-    (default) measures the largest group first and uses the window unless it
-    exceeds ``max_group_rows``.
+    key), and the final sum is a partial (map-side) aggregate.
     """
     r = rate if not isinstance(rate, str) else F.col(rate)
     finite = r.isNotNull() & ~F.isnan(r) & (F.abs(r) != F.lit(float("inf")))
-    if not _use_rank_path(df, group, skew_safe, max_group_rows):
+    if not skew_safe:
         w = Window.partitionBy(*group).orderBy(*order)
         readings = df.select(*group, F.when(finite, r).alias("_ff_rate"),
                              F.col(minute).alias("_ff_min"),
@@ -120,12 +103,10 @@ def weighted_duration(df: DataFrame, group: list[str], order: list[str], minute:
 
 
 def rain_estimate(df: DataFrame, group: list[str], order: list[str], minute: str,
-                  dbz: str, name: str = "estimate", skew_safe="auto",
-                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                  dbz: str, name: str = "estimate", skew_safe: bool = True) -> DataFrame:
     """Marshall-Palmer rainfall per group: :func:`weighted_duration` of
     :func:`~fitframe.functions.arith.rain_rate` (I2, I3, F16)."""
-    return weighted_duration(df, group, order, minute, rain_rate(dbz), name=name,
-                             skew_safe=skew_safe, max_group_rows=max_group_rows)
+    return weighted_duration(df, group, order, minute, rain_rate(dbz), name=name, skew_safe=skew_safe)
 
 
 def grouped_apply(df: DataFrame, group: list[str], fn, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.encode import DEFAULT_BROADCAST_MAX, LabelEncoder, ZScore
+from ..operators.encode import LabelEncoder, ZScore
 from ..operators.impute import MixedImputer
 from ..operators.metrics import inverse_square_weight
 from ..operators.relate import left_lookup
@@ -91,7 +91,7 @@ def entry_segment_rmspe(spark, sf):
     seg = train.groupBy("seg_code").agg(F.avg("o_totalprice").alias("pred"),
                                         F.count(F.lit(1)).alias("n_train"))
     # one row per fitted segment code: the encoder knows exactly how many
-    if enc.sizes["c_mktsegment"] <= DEFAULT_BROADCAST_MAX:
+    if enc.small("c_mktsegment"):
         seg = F.broadcast(seg)
     t = test.join(seg, "seg_code")
     d = F.col("o_totalprice") - F.col("pred")

@@ -71,7 +71,7 @@ def test_large_dictionary_uses_shuffle_join(spark):
     from fitframe.operators.encode import LabelEncoder
     df = spark.range(0, 3000).select((F.col("id") % 1000).cast("string").alias("v"))
     small = LabelEncoder(["v"], ["c"]).fit(df)
-    large = LabelEncoder(["v"], ["c"], broadcast_max=10, collect_max=0).fit(df)
+    large = LabelEncoder(["v"], ["c"], broadcast_bytes=10, collect_max=0).fit(df)
     p = plan(large.transform(df))
     assert "SortMergeJoin" in p or "ShuffledHashJoin" in p
     a = {r.v: r.c for r in small.transform(df).collect()}
@@ -105,12 +105,12 @@ def test_one_pass_per_fit_regardless_of_width(spark):
         assert n_wide == n_narrow <= 4, (name, n_narrow, n_wide)
 
 
-def test_auto_skew_detection_picks_the_path(spark):
+def test_ordered_groups_are_skew_safe_unless_told(spark):
     from fitframe.operators.ordered import lag_diff
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), F.col("id"),
                                      (F.col("id") % 50).cast("double").alias("r"))
-    assert "Window" in plan(lag_diff(df, ["g"], ["id"], "r"))                       # groups of 1000: window
-    assert "Window" not in plan(lag_diff(df, ["g"], ["id"], "r", max_group_rows=500))  # hot: rank path
+    assert "Window" not in plan(lag_diff(df, ["g"], ["id"], "r"))
+    assert "Window" in plan(lag_diff(df, ["g"], ["id"], "r", skew_safe=False))
 
 
 def test_rank_path_equals_window_path_on_events(spark):
@@ -141,20 +141,29 @@ def test_reuse_if_shuffled(spark):
     assert sorted(kept.collect()) == sorted(shuffled.collect())
 
 
-def test_small_dictionaries_are_a_projection(spark):
+def test_dictionaries_are_joined_by_their_bytes(spark):
     from fitframe.operators.encode import LabelEncoder
     wide = spark.range(0, 500).select(
         *[F.when(F.col("id") % 11 == i % 11, None).otherwise(((F.col("id") * (i + 1)) % 13).cast("string"))
-          .alias(f"c{i}") for i in range(50)])
-    enc = LabelEncoder(wide.columns, [f"k{i}" for i in range(50)]).fit(wide)
+          .alias(f"c{i}") for i in range(8)])
+    enc = LabelEncoder(wide.columns, [f"k{i}" for i in range(8)]).fit(wide)
     out = enc.transform(wide)
     p = plan(out)
-    assert "Join" not in p                      # 50 encoded columns, no join
-    joined = LabelEncoder(wide.columns, [f"k{i}" for i in range(50)]).fit(wide)
-    joined.inline_max = 0                       # force the join path for comparison
-    a = sorted((tuple(r) for r in out.collect()), key=str)
-    b = sorted((tuple(r) for r in joined.transform(wide).select(*out.columns).collect()), key=str)
-    assert a == b
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    enc.broadcast_bytes = 0
+    other = enc.transform(wide).select(*out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, other.collect()))
+
+
+def test_unseen_labels(spark):
+    from fitframe.operators.encode import LabelEncoder
+    seen = spark.createDataFrame([("a",), ("b",)], "v string")
+    new = spark.createDataFrame([("b",), ("z",)], "v string")
+    assert [r.c for r in LabelEncoder(["v"], ["c"]).fit(seen).transform(new).orderBy("v").collect()] == [1, None]
+    strict = LabelEncoder(["v"], ["c"], handle_unseen="error").fit(seen)
+    assert strict.transform(seen).count() == 2
+    with pytest.raises(Exception, match="unseen value z"):
+        strict.transform(new).collect()
 
 
 def test_cumulative_stays_in_the_jvm(spark):
