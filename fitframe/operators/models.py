@@ -13,8 +13,8 @@ pieces MLlib lacks are written as distributed DataFrame jobs:
   numpy computes the distance block and only the k best candidates per
   query leave the task; a final grouped top-k merges the blocks.  No pair
   is ever materialised as a row and no group holds a whole table.
-* :class:`GaussianDiscriminant` -- LDA from one grouped aggregate of sums
-  and cross-products; scoring is a pure column expression.
+* :class:`GaussianDiscriminant` -- LDA from class means and partial sums of
+  centred outer products; scoring is a pure column expression.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,12 +98,14 @@ def estimator(kind: str, label: str = "label", features: str = "features", **par
 
 
 def softmax_raw(raw: str = "rawPrediction", out: str = "probability") -> Column:
-    """Normalise OneVsRest raw scores into class probabilities (it gives none)."""
-    a = vector_to_array(F.col(raw))
-    mx = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - mx))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return array_to_vector(F.transform(e, lambda x: x / s)).alias(out)
+    """Class probabilities from OneVsRest raw scores (it gives none).
+
+    A raw score is half the log-odds of its class against the rest, so each
+    class gets ``1 / (1 + exp(-2 raw))``; the row is then brought to sum 1.
+    """
+    each = F.transform(vector_to_array(F.col(raw)), lambda x: 1 / (1 + F.exp(F.greatest(F.lit(-300.0), -2 * x))))
+    total = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+    return array_to_vector(F.transform(each, lambda x: x / total)).alias(out)
 
 
 def score(model, df: DataFrame, id_col: str, keep: list[str] = ()) -> DataFrame:
@@ -133,15 +136,22 @@ def suite(models: dict, train: DataFrame, test: DataFrame, metric_fn, metric_nam
 
 def cross_validate(est, df: DataFrame, fold_col: str, evaluator, k: int) -> DataFrame:
     """Manual k-fold loop (K15): fit on the other folds, score the held-out
-    fold; returns (fold, score) plus the mean as fold -1 (M12)."""
+    fold; returns (fold, score) plus the mean as fold -1 (M12).
+
+    ``evaluator`` may be a dict of evaluators by name: each fold is fitted once
+    and scored by all of them, and the result has a column ``metric`` too.
+    """
     df = reuse_if_shuffled(df)  # k fits read it: materialise once if its plan shuffles
+    many = evaluator if isinstance(evaluator, dict) else {"score": evaluator}
     rows = []
     for f in range(k):
-        model = est.fit(df.where(F.col(fold_col) != f))
-        rows.append((f, float(evaluator.evaluate(model.transform(df.where(F.col(fold_col) == f))))))
-    mean = sum(s for _, s in rows) / len(rows) if rows else float("nan")
-    rows.append((-1, mean))
-    return df.sparkSession.createDataFrame(rows, "fold int, score double")
+        pred = est.fit(df.where(F.col(fold_col) != f)).transform(df.where(F.col(fold_col) == f))
+        rows += [(f, name, float(e.evaluate(pred))) for name, e in many.items()]
+    for name in many if k else ():
+        scores = [v for _, m, v in rows if m == name]
+        rows.append((-1, name, sum(scores) / len(scores)))
+    out = df.sparkSession.createDataFrame(rows, "fold int, metric string, score double")
+    return out if isinstance(evaluator, dict) else out.drop("metric")
 
 
 def grid_search(est, grid: dict, df: DataFrame, evaluator, fold_col: str,
@@ -179,30 +189,78 @@ def best_round(losses: list[float], patience: int) -> int:
     return best_i + 1
 
 
-def early_stopping_curve(model, valid: DataFrame, patience: int = 100,
-                         loss: str = "squared") -> DataFrame:
-    """Validation loss after each boosting round and the round the patience
-    rule keeps (K14).  The curve is one pass per round over the validation
-    rows (``evaluateEachIteration``); refit with ``maxIter = best`` to get
-    the early-stopped model."""
-    errs = [float(e) for e in model.evaluateEachIteration(valid, loss)]
-    best = best_round(errs, patience)
-    return valid.sparkSession.createDataFrame(
-        [(i + 1, e, i + 1 == best) for i, e in enumerate(errs)],
-        "round int, valid_loss double, is_best boolean")
-
-
-def fit_early_stopped(est, train: DataFrame, valid: DataFrame, patience: int = 100,
-                      loss: str = "squared"):
-    """Boosting with a watchlist and patience (K14): fit ``maxIter`` rounds,
-    read the validation curve, refit with the best round count.  Returns
-    ``(model, curve)``; the refit is skipped when the best round is the last."""
+#: Boosting rounds whose trees stand in one plan.
+WAVE = 32
+
+
+def staged_predictions(model, df: DataFrame, keep: list[str], name: str = "staged", rounds: int | None = None) -> DataFrame:
+    """``keep`` and an array: the prediction after each boosting round (first ``rounds``, default all).
+
+    A round adds its weighted tree to the sum, so the ensemble cut after round
+    k predicts the k-th value.  Trees go in waves of bounded number, with the
+    lineage cut between them, so the plan stays small for thousands of rounds.
+    For a classifier the values are the margins; its positive probability is
+    ``1 / (1 + exp(-2 margin))``.
+    """
+    trees, weights = model.trees[:rounds], model.treeWeights[:rounds]
+    out = df.select(*keep, model.getFeaturesCol(), F.array().cast("array<double>").alias(name))
+    last = F.coalesce(F.get(F.col(name), F.size(name) - 1), F.lit(0.0))
+    for at in range(0, len(trees), WAVE):
+        if at:
+            out = cut_lineage(out)
+        votes = []
+        for i, (t, w) in enumerate(zip(trees[at:at + WAVE], weights[at:at + WAVE])):
+            out = t.setPredictionCol(f"_t{i}").setFeaturesCol(model.getFeaturesCol()).transform(out)
+            votes.append(F.col(f"_t{i}") * F.lit(float(w)))
+        # running sums by one pass along the votes: the expression grows with the trees, not with their square
+        sums = F.aggregate(F.array(*votes), F.array(last),
+                           lambda acc, v: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + v)))
+        out = out.select(*keep, model.getFeaturesCol(), F.concat(F.col(name), F.slice(sums, 2, len(votes))).alias(name))
+    return out.drop(model.getFeaturesCol())
+
+
+def squared_loss(y: Column, p: Column) -> Column:
+    """The built-in loss of the curve: the mean squared error as an aggregate."""
+    return F.avg((y - p) * (y - p))
+
+
+def watch_curve(model, train: DataFrame, valid: DataFrame, metric=squared_loss, label: str = "label") -> DataFrame:
+    """(round, train_loss, valid_loss): the metric on both tables after each round.
+
+    ``metric`` takes the label and prediction columns and returns an aggregate,
+    so any metric of a user will do.  Each table is read once for all rounds.
+    """
+    def losses(df: DataFrame, name: str) -> DataFrame:
+        rounds = staged_predictions(model, df, [label]).select(label, F.posexplode("staged").alias("_i", "_p"))
+        return rounds.groupBy((F.col("_i") + 1).alias("round")).agg(metric(F.col(label), F.col("_p")).alias(name))
+
+    return losses(train, "train_loss").join(losses(valid, "valid_loss"), "round")
+
+
+class CutEnsemble:
+    """A boosted model cut after its first ``rounds`` rounds: no second fit."""
+
+    def __init__(self, model, rounds: int):
+        self.model, self.rounds = model, rounds
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """``df`` without its features, with the prediction of the rounds kept."""
+        keep = [c for c in df.columns if c != self.model.getFeaturesCol()]
+        out = staged_predictions(self.model, df, keep, "_ff_staged", self.rounds)
+        return out.withColumn(name, F.get("_ff_staged", F.lit(self.rounds - 1))).drop("_ff_staged")
+
+
+def fit_early_stopped(est, train: DataFrame, valid: DataFrame, patience: int = 100, metric=squared_loss,
+                      label: str = "label"):
+    """Boosting with a watchlist and patience (K14): fit ``maxIter`` rounds, read
+    the metric on both tables after each, keep the rounds up to the best one.
+    Returns ``(model, curve)``, the curve with ``is_best``; nothing is fitted twice."""
     model = est.fit(train)
-    curve = early_stopping_curve(model, valid, patience, loss)
-    best = curve.where("is_best").first()
-    if best is not None and best["round"] < est.getMaxIter():
-        model = est.copy({est.maxIter: int(best["round"])}).fit(train)
-    return model, curve
+    rows = [tuple(r) for r in watch_curve(model, train, valid, metric, label).orderBy("round").collect()]  # one a round
+    best = best_round([v for _, _, v in rows], patience)
+    curve = valid.sparkSession.createDataFrame(
+        [(n, t, v, n == best) for n, t, v in rows], "round int, train_loss double, valid_loss double, is_best boolean")
+    return CutEnsemble(model, best), curve
 
 
 def importances(model, feature_names: list[str]) -> DataFrame:
@@ -332,50 +390,53 @@ def knn_predict(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, la
 
 
 class GaussianDiscriminant:
-    """Linear discriminant analysis (K10): class means and pooled covariance
-    from one grouped aggregate; prediction = argmax of linear scores."""
+    """Linear discriminant analysis (K10): class means and pooled covariance;
+    prediction = argmax of linear scores (ties: the greater class).
+
+    The class means come first, from one grouped vector mean.  Rows are then
+    centred on their class's mean, and every task adds up outer products of its
+    rows, so one matrix a task is shuffled and no digits are lost to large means.
+    """
 
-    def __init__(self, features: list[str], label: str):
+    def __init__(self, features: list[str] | str, label: str):
+        """``features``: column names, or the name of one array column."""
         self.features, self.label = features, label
 
-    def moments(self, df: DataFrame) -> DataFrame:
-        """Per class: n, sums and cross-products (one grouped aggregate; the
-        result has K rows)."""
-        xs = [F.col(c).cast("double") for c in self.features]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        aggs += [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
-        aggs += [F.sum(xs[i] * xs[j]).alias(f"p{i}_{j}")
-                 for i in range(len(xs)) for j in range(i, len(xs))]
-        return df.groupBy(self.label).agg(*aggs)
+    def _array(self) -> Column:
+        if isinstance(self.features, str):
+            return F.transform(F.col(self.features), lambda v: v.cast("double"))
+        return F.array(*[F.col(c).cast("double") for c in self.features])
 
     def fit(self, df: DataFrame) -> "GaussianDiscriminant":
-        rows = self.moments(df).collect()  # K rows x d^2 numbers: bounded by the feature count
-        d = len(self.features)
-        n_tot = sum(r["n"] for r in rows)
-        self.classes = [r[self.label] for r in rows]
-        self.means = np.array([[r[f"s{i}"] / r["n"] for i in range(d)] for r in rows])
+        rows = df.select(F.col(self.label).alias("c"), self._array().alias("x"))
+        stats = rows.groupBy("c").agg(
+            F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("x")).alias("m")).orderBy("c").collect()
+        self.classes, counts = [r["c"] for r in stats], np.array([r["n"] for r in stats])  # K rows
+        self.means = np.array([r["m"].toArray() for r in stats])
+        d, classes, means = self.means.shape[1], {c: i for i, c in enumerate(self.classes)}, self.means
+
+        def outer(batches):
+            total = np.zeros((d, d))
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["x"].to_numpy()) - means[b["c"].map(classes).to_numpy()]
+                    total += x.T @ x
+            yield pd.DataFrame({"i": range(d), "v": list(total)})
+
+        sums = rows.mapInPandas(outer, "i int, v array<double>").groupBy("i").agg(
+            Summarizer.sum(array_to_vector("v")).alias("v")).collect()  # d rows of d numbers
         scatter = np.zeros((d, d))
-        for r, mu in zip(rows, self.means):
-            P = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    P[i, j] = P[j, i] = r[f"p{i}_{j}"]
-            scatter += P - r["n"] * np.outer(mu, mu)
-        self.cov = scatter / max(1, n_tot - len(rows))
-        inv = np.linalg.pinv(self.cov)
-        self.coef = self.means @ inv
-        self.intercept = -0.5 * np.einsum("kd,kd->k", self.coef, self.means) + \
-            np.log(np.array([r["n"] for r in rows]) / n_tot)
+        for r in sums:
+            scatter[r["i"]] = r["v"].toArray()
+        self.cov = scatter / max(1, counts.sum() - len(stats))
+        self.coef = self.means @ np.linalg.pinv(self.cov)
+        self.intercept = -0.5 * np.einsum("kd,kd->k", self.coef, self.means) + np.log(counts / counts.sum())
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        xs = [F.col(c).cast("double") for c in self.features]
-        scores = []
-        for k in range(len(self.classes)):
-            s = F.lit(float(self.intercept[k]))
-            for i, x in enumerate(xs):
-                s = s + x * F.lit(float(self.coef[k, i]))
-            scores.append(F.struct(s.alias("s"), F.lit(self.classes[k]).alias("c")))
-        best = F.array_max(F.array(*scores))
-        return df.withColumn("prediction", best["c"])
-
+        x = self._array()
+        scores = [F.struct(F.aggregate(
+            F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b),
+            F.lit(float(w0)), lambda a, v: a + v).alias("s"), F.lit(c).alias("c"))
+            for c, w, w0 in zip(self.classes, self.coef, self.intercept)]
+        return df.withColumn("prediction", F.array_max(F.array(*scores))["c"])

@@ -111,3 +111,44 @@ def test_knn_blocks_meet_without_aqe(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == test.count()
+
+
+def test_early_stop_on_a_user_metric_equals_brute_force(spark):
+    """The curve of a user's metric equals that of models cut by hand, over more rounds than a wave holds."""
+    from fitframe.operators import models as M
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    y = x[:, 0] ** 2 + 3 + rng.normal(0, 0.3, 400)
+    data = spark.createDataFrame([(i, [float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                                 "id long, v array<double>, label double").select("id", array_to_vector("v").alias("features"), "label")
+    train, valid = data.where("id % 4 != 0"), data.where("id % 4 = 0")
+    est = estimator("gbt_reg", maxIter=M.WAVE + 3, maxDepth=3, stepSize=0.3, seed=1)
+
+    def mae(label, pred):
+        return F.avg(F.abs(label - pred))
+    kept, curve = M.fit_early_stopped(est, train, valid, patience=4, metric=mae)
+    full = est.fit(train)
+    rows = curve.orderBy("round").collect()
+    assert [r["round"] for r in rows] == list(range(1, M.WAVE + 4))
+    local = valid.collect()
+    sums, want = np.zeros(len(local)), []
+    for tree, w in zip(full.trees, full.treeWeights):
+        sums += [w * tree.predict(r.features) for r in local]
+        want.append(np.abs(sums - [r.label for r in local]).mean())
+    assert np.allclose([r["valid_loss"] for r in rows], want)
+    best = best_round(want, 4)
+    assert [r["round"] for r in rows if r["is_best"]] == [best]
+    got = kept.transform(valid).agg(mae(F.col("label"), F.col("prediction"))).first()[0]
+    assert abs(got - want[best - 1]) < 1e-9
+
+
+def test_discriminant_keeps_digits_and_is_wide(spark):
+    """Large means cost no digits, and 300 columns fit as one array."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 300)) + 1e6
+    y = rng.integers(0, 2, 200)
+    df = spark.createDataFrame([([float(v) for v in r], int(c)) for r, c in zip(x, y)], "v array<double>, c int")
+    lda = GaussianDiscriminant("v", "c").fit(df)
+    centred = x - np.array([x[y == c].mean(0) for c in (0, 1)])[y]
+    assert np.allclose(lda.cov, centred.T @ centred / 198, atol=1e-6)
+    assert lda.transform(df).count() == 200
