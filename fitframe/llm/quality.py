@@ -3,14 +3,18 @@
 Two histograms of every whole text are compared with those of each reference
 language by Jensen-Shannon distance (the root of the base-2 divergence, 0 to
 1): the shares of seven character classes, and the shares of the language's
-commonest words among all words.  The nearest language decides.  Guards keep
-short texts, whose histograms say little, from being judged.  Only DataFrame
-functions run; every value of a row comes from that row, so nothing shuffles.
+commonest words among all words.  The nearest language decides.  The listed
+words are a fifth or a quarter of all words, so a text with none of them is
+only 0.30 to 0.39 away, by language: word distances are limited as shares of
+that one (``Limits``).  Guards keep short texts, whose histograms say little,
+from being judged.  Only DataFrame functions run; every value of a row comes
+from that row, so nothing shuffles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log2, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +44,17 @@ WORD_SHARES = {
 
 @dataclass(frozen=True)
 class Limits:
-    """The rule's parameters: greatest distances, and the guards below which none is judged."""
+    """The rule's parameters: greatest distances, and the guards below which none is judged.
+
+    ``word_distance`` is a share of the word distance that a text with no
+    common word has from the same language.  ``both`` limits the sum of that
+    share and the class distance as a share of its own limit, for texts that
+    are close to both limits.
+    """
 
     class_distance: float = 0.30
-    word_distance: float = 0.60
+    word_distance: float = 0.90
+    both: float = 1.40
     min_chars: int = 200
     min_words: int = 50
 
@@ -68,6 +79,14 @@ def _distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / 2))
 
 
+def _no_word_distance(shares: dict[str, float]) -> float:
+    """Word distance of a text with none of a language's common words (shares in percent)."""
+    listed = sum(shares.values()) / 100
+    rest = max(0.0, 1 - listed)
+    # the listed words add their share; all words of the text stand against the others
+    return sqrt((listed + log2(2 / (1 + rest)) + (rest and rest * log2(2 * rest / (1 + rest)))) / 2)
+
+
 def quality(df: DataFrame, text_col: str = "text", class_shares: dict = CLASS_SHARES,
             word_shares: dict = WORD_SHARES, limits: Limits = Limits(), carry: list[str] | None = None) -> DataFrame:
     """Counts, distances and verdict of every row, in its own columns beside ``carry`` (default: all of df's).
@@ -143,10 +162,11 @@ def quality(df: DataFrame, text_col: str = "text", class_shares: dict = CLASS_SH
         _distance(F.concat(col["g"][i], F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(
             col["g"][i], F.lit(0.0), lambda a, v: a + v)))),
             [v / 100 for v in word_shares[name].values()] + [1 - sum(word_shares[name].values()) / 100]).alias("word"),
-        F.lit(name).alias("language")) for i, name in enumerate(languages)]
+        F.lit(name).alias("language"), F.lit(_no_word_distance(word_shares[name])).alias("none"))
+        for i, name in enumerate(languages)]
     d = d.select(*own, col["n"].alias("n_words"), *numbers[1:], col["t"], F.array(*both).alias(x["g"]))
     near = F.array_min(F.transform(col["g"], lambda v: F.struct(
-        (v["class"] + v["word"]).alias("sum"), v["class"], v["word"], v["language"])))
+        (v["class"] + v["word"]).alias("sum"), v["class"], v["word"], v["language"], v["none"])))
     d = d.select(*own, *numbers, col["t"], near.alias(x["g"]),
                  ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"))
     d = d.select(
@@ -154,10 +174,13 @@ def quality(df: DataFrame, text_col: str = "text", class_shares: dict = CLASS_SH
         F.when(col["t"] >= limits.min_chars, col["g"]["class"]).alias("class_distance"),
         F.when(F.col("n_words") >= limits.min_words, col["g"]["word"]).alias("word_distance"),
         F.when((col["t"] >= limits.min_chars) | (F.col("n_words") >= limits.min_words),
-               col["g"]["language"]).alias("language"))
+               col["g"]["language"]).alias("language"), col["g"]["none"].alias(x["g"]))
+    by_class = F.coalesce("class_distance", F.lit(0.0))
+    by_word = F.coalesce("word_distance", F.lit(0.0))
     return d.select(*own, *numbers, "base_failed", "class_distance", "word_distance", "language",
-                    (~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= limits.class_distance)
-                     & (F.coalesce("word_distance", F.lit(0.0)) <= limits.word_distance)).alias("kept"))
+                    (~F.col("base_failed") & (by_class <= limits.class_distance) & (by_word <= limits.word_distance * col["g"])
+                     & (by_class * col["g"] + by_word * limits.class_distance
+                        <= limits.both * limits.class_distance * col["g"])).alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -233,6 +233,30 @@ def test_quality_distance_and_guards(spark):
     assert out.columns == df.columns and quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(5)
+
+    def text(name, n, share, junk=""):
+        """n made-up words, the language's common words among them as often as ``share`` of the reference says."""
+        ref = quality.WORD_SHARES[name]
+        words_ = rng.choices([*ref, None], [*(share * v for v in ref.values()), 100 - share * sum(ref.values())], k=n)
+        own = ("".join(rng.choices("abcdefghilmnoprstu", k=rng.randrange(5, 9))) for _ in iter(int, 1))
+        words_ = [w or next(own) for w in words_]
+        return ". ".join(" ".join(words_[k:k + 9]).capitalize() + junk for k in range(0, n, 9))
+
+    names = sorted(quality.WORD_SHARES)
+    texts = [text(name, n, share, junk) for name in names
+             for n, share, junk in ((600, 1.0, ""), (120, 0.8, ""), (600, 0.0, ""), (300, 0.15, " | | | | | |"))]
+    got = [r.asDict() for r in quality.quality(table(spark, texts), carry=["doc_id"]).orderBy("doc_id").collect()]
+    for i, name in enumerate(names):
+        prose_, short, none, listed = got[4 * i:4 * i + 4]
+        assert prose_["kept"] and short["kept"], name
+        assert not none["base_failed"] and none["class_distance"] <= 0.30 and not none["kept"], name
+        assert not listed["base_failed"] and listed["class_distance"] <= 0.30 and not listed["kept"], name
+        assert abs(none["word_distance"] - quality._no_word_distance(quality.WORD_SHARES[none["language"]])) < 1e-9
+    assert [r["kept"] for r in got].count(True) == 2 * len(names)
+
+
 # ---------------------------------------------------------------- chat
 
 def test_chat_round_trip(spark):
