@@ -1,24 +1,35 @@
 """HTML extraction with nearest-URL page differencing.
 
 A page is read into text lines, one a block element, each of them inside the
-article, inside furniture (menus, footers, adverts ...) or in the open.  Pages
-of a host are put in order of URL path, and each is compared with the pages
-before and after it: lines of the longest common subsequence are the site's,
-not the page's, and open lines among them are deleted.  Lines of an article
-element are the page's own even if another page has them, and a neighbour
-that is a copy of the page tells nothing about the site.
-
-Only line hashes are sorted and compared; page texts do not travel.  A host
-may hold any share of the pages: the order is cut into chunks of bounded size
-whose edge pages are given to both sides.
+article, inside furniture (menus, footers, adverts ...) or in the open.  Its
+main lines are those of the article, or the open ones if it has none.  Pages
+of a host with the same main lines are copies and count as one.  What is left
+is put in order of URL path, and each page is compared with the nearest one
+before and after it that is no near copy: lines of the longest common
+subsequence are the site's, not the page's, and main lines among them are
+deleted.
+
+A near copy tells nothing about the site, nor does a page without a line of
+its own: two pages are taken for near copies if one has no main line beyond
+the common ones, or if over half of those it has are reworded in the other.
+How many lines they share does not matter, but where over ``copy_share`` of a
+page's main lines would go, only those go that another page in reach, if there
+is one, also has.
+
+Only line hashes and small word sketches are sorted and compared; page texts
+do not travel.  A host may hold any share of the pages: the order is cut into
+chunks of bounded size whose edge pages are given to both sides.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from html import unescape
+from itertools import combinations
 from urllib.parse import urlsplit
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +53,9 @@ NAMES = set("ad ads advert advertisement advertising adverts banner breadcrumb b
 ARTICLE = {"article", "main"}
 CHUNK = 256
 COPY_SHARE = 0.8
+#: Pages looked at on each side for one that is no copy, and words kept of a line.
+REACH = 4
+SKETCH = 6
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^>"'])*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -184,8 +198,25 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def _main_kind(found: list[tuple[str, int]]) -> int:
+    return 2 if any(kind == 2 for _, kind in found) else 1
+
+
+def _sketch(line: bytes) -> bytes:
+    """The least hashes of the line's distinct words."""
+    least = sorted(set(map(crc32, line.split())))[:SKETCH]
+    return struct.pack(f"<{len(least)}I", *least)
+
+
+def _keys(sketch: bytes) -> list[tuple]:
+    """Two lines are rewordings of each other if they have one of these in common: half of the words kept."""
+    least = struct.unpack(f"<{len(sketch) // 4}I", sketch)
+    return list(combinations(least, max(1, len(least) // 2)))
+
+
 def _hashed(pages: DataFrame) -> DataFrame:
-    """(k1, k2, host, path, lines, open): every line's hash, and the places of the open ones."""
+    """(k1, k2, g1, g2, host, path, lines, main, words): every line's hash, the places and word sketches of the
+    main ones, and two hashes of host and main lines, alike for copies."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +224,77 @@ def _hashed(pages: DataFrame) -> DataFrame:
             rows = []
             for k1, k2, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = lines(html)
-                rows.append((k1, k2, *_place(url), [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
-                                                    for t, _ in found], [i for i, (_, kind) in enumerate(found) if kind == 1]))
+                host, path = _place(url)
+                texts = [t.encode("utf-8", "replace") for t, _ in found]
+                kept = _main_kind(found)
+                main = [i for i, (_, kind) in enumerate(found) if kind == kept]
+                group = "\n".join([host, *[found[i][0] for i in main]]).encode("utf-8", "replace")
+                rows.append((k1, k2, *[xxhash.xxh64_intdigest(group, seed) - (1 << 63) for seed in (0, 1)], host, path,
+                             [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], main, [_sketch(texts[i]) for i in main]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds, strict=True)], names)
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 9, kinds, strict=True)], names)
 
-    names = ["k1", "k2", "host", "path", "lines", "open"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["k1", "k2", "g1", "g2", "host", "path", "lines", "main", "words"]
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
     return pages.select("k1", "k2", "url", "html").mapInArrow(
-        run, "k1 long, k2 long, host string, path string, lines array<long>, open array<long>")
+        run, "k1 long, k2 long, g1 long, g2 long, host string, path string, lines array<long>, main array<long>,"
+             " words array<binary>")
+
+
+def _compared(a: dict, b: dict) -> tuple[list[int], list[int]] | None:
+    """Which main lines of each page, by their number, are common to both; none for near copies."""
+    same = common(a["lines"], b["lines"])
+    shared, keys, own = [], [], []
+    for side, page in enumerate((a, b)):
+        both = {v[side] for v in same}
+        shared.append([k for k, i in enumerate(page["main"]) if i in both])
+        rest = [_keys(page["words"][k]) for k, i in enumerate(page["main"]) if i not in both]
+        own.append(rest)
+        keys.append({key for line in rest for key in line})
+    for side, rest in enumerate(own):
+        if 2 * sum(any(key in keys[1 - side] for key in line) for line in rest) > len(rest) or not rest:
+            return None
+    return shared[0], shared[1]
+
+
+def _site_lines(rows: list[dict], i: int, seen: dict, copy_share: float, reach: int) -> set[int]:
+    """The main lines of page ``i`` of a chunk, by their number, that are the site's."""
+    page = rows[i]
+
+    def others(step: int) -> Iterator[tuple[int, list[int]]]:
+        """Pages on one side that are no copies, with the main lines of ``page`` that they have in common."""
+        for j in range(i + step, i + step * (reach + 1), step):
+            if not 0 <= j < len(rows) or rows[j]["host"] != page["host"]:
+                return
+            pair = (min(i, j), max(i, j))
+            if pair not in seen:
+                seen[pair] = _compared(rows[pair[0]], rows[pair[1]])
+            if seen[pair]:
+                yield j, seen[pair][i > j]
+
+    gone: set[int] = set()
+    for step in (-1, 1):
+        near = next(others(step), None)
+        if not near or not near[1]:
+            continue
+        place, shared = near
+        if len(shared) > copy_share * len(page["main"]):
+            rest = [set(rows[j]["lines"]) for side in (-1, 1) for j, _ in others(side) if j != place]
+            if rest:
+                shared = [k for k in shared if any(page["lines"][page["main"][k]] in v for v in rest)]
+        gone.update(shared)
+    return gone
 
 
 def _shared_lines(hashed: DataFrame, chunk: int, copy_share: float) -> DataFrame:
-    """(k1, k2, gone): for each page the places of open lines shared with a neighbour."""
+    """(g1, g2, gone): for each group of copies the numbers of main lines shared with other pages of the site."""
     spark = hashed.sparkSession
     order = ["host", "path", "k1", "k2"]
+    reach = min(REACH, chunk)
+    first = hashed.groupBy("host", "g1", "g2").agg(
+        F.min(F.struct("path", "k1", "k2", "lines", "main", "words")).alias("page")).select("host", "g1", "g2", "page.*")
     put = staged(
-        hashed.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).select(
+        first.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).select(
             "*", F.spark_partition_id().alias("part"),
             (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), "ordered")
     # one row a partition: the number of pages in it
@@ -222,46 +307,38 @@ def _shared_lines(hashed: DataFrame, chunk: int, copy_share: float) -> DataFrame
         "rank", F.col("base") + F.col("at"))
     own = F.floor(F.col("rank") / chunk)
     dealt = ranked.select(
-        "k1", "k2", "host", "lines", "open", "rank", own.alias("own"),
+        "g1", "g2", "host", "lines", "main", "words", "rank", own.alias("own"),
         F.explode(F.array_compact(F.array(
-            own, F.when(F.col("rank") % chunk == 0, own - 1), F.when(F.col("rank") % chunk == chunk - 1, own + 1))))
+            own, F.when(F.col("rank") % chunk < reach, own - 1), F.when(F.col("rank") % chunk >= chunk - reach, own + 1))))
         .alias("chunk"))
 
     def solve(table: pa.Table) -> pa.Table:
         rows = table.sort_by("rank").to_pylist()
-        gone: list[set] = [set() for _ in rows]
-        for i in range(len(rows) - 1):
-            a, b = rows[i], rows[i + 1]
-            if a["host"] != b["host"] or b["rank"] != a["rank"] + 1 or not (a["open"] or b["open"]):
-                continue
-            same = common(a["lines"], b["lines"])
-            for k, side, page in ((i, 0, a), (i + 1, 1, b)):
-                if len(same) <= copy_share * len(page["lines"]):
-                    gone[k].update(v[side] for v in same)
-        out = [(r["k1"], r["k2"], sorted(g.intersection(r["open"]))) for r, g in zip(rows, gone, strict=True)
+        seen: dict = {}
+        out = [(r["g1"], r["g2"], sorted(_site_lines(rows, i, seen, copy_share, reach))) for i, r in enumerate(rows)
                if r["own"] == r["chunk"]]
         out = [r for r in out if r[2]]
         return pa.table([pa.array(c, t) for c, t in zip(
             list(zip(*out)) or [[]] * 3, [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)],
-            names=["k1", "k2", "gone"])
+            names=["g1", "g2", "gone"])
 
-    return dealt.groupBy("chunk").applyInArrow(solve, "k1 long, k2 long, gone array<long>")
+    return dealt.groupBy("chunk").applyInArrow(solve, "g1 long, g2 long, gone array<long>")
 
 
 def main_text(html: str | None, gone: set) -> str:
+    """The main lines but those whose number is in ``gone``."""
     found = lines(html)
-    article = any(kind == 2 for _, kind in found)
-    return "\n".join(t for i, (t, kind) in enumerate(found) if kind == (2 if article else 1) and i not in gone)
+    kept = _main_kind(found)
+    return "\n".join(t for k, t in enumerate(t for t, kind in found if kind == kept) if k not in gone)
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", chunk: int = CHUNK,
             copy_share: float = COPY_SHARE) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) in place of the html column.
 
-    The text is the article's lines; where a page has no article element, its
-    open lines but those shared with the page before or after it.  A neighbour
-    that shares more than ``copy_share`` of a page's lines is taken for a copy
-    of it.  Null or empty html gives an empty text; a null or broken URL has
+    The text is the main lines (the article's; where a page has no article
+    element, the open ones) but those shared with the nearest pages before and
+    after it that are no copies.  Null or empty html gives an empty text; a null or broken URL has
     the empty host.  Pages alike in URL and html count once in the order, and
     each gets its row; an empty table gives an empty result; columns that bear
     an added column's name give way.
@@ -273,6 +350,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", chun
                          html.alias("html"), F.xxhash64(url, html).alias("k1"), F.xxhash64(F.lit(1), html, url).alias("k2"))
     hashed = staged(_hashed(named).dropDuplicates(["k1", "k2"]), "lines")
     gone = staged(_shared_lines(hashed, chunk, copy_share), "gone")
+    gone = hashed.select("k1", "k2", "g1", "g2").join(gone, ["g1", "g2"]).select("k1", "k2", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -375,6 +375,35 @@ def test_neighbours_differencing(spark, chunk):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [5, 50])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_differencing_of_templated_pages(spark, shared, tag):
+    site = [f"Entry {k} of the site" for k in range(shared)]
+    own = [prose(100 + k, 15, 5000) for k in range(8)]
+
+    def page(lines_, nav=""):
+        return f"<body><nav>{nav}</nav><{tag}>" + "".join(f"<p class=x>{t}</p>" for t in lines_) + f"</{tag}></body>"
+
+    rows = [(k, f"http://h.example/{k:02d}", page([*site[:2], t, *site[2:]])) for k, t in enumerate(own)]
+    # copies by URL only, with another menu, more of them than a page looks past; and a row twice
+    rows += [(3, f"{rows[3][1]}?{k}", page([*site[:2], own[3], *site[2:]], f"menu {k}")) for k in range(9)] + [rows[5]]
+    # an article, near copies that differ in a word, and another page of that host
+    text = [prose(200 + k, 20, 5000) for k in range(12)]
+    for k in range(6):
+        rows.append((20 + k, f"http://near.example/{k}", page([*site[:2], *text[:-1], text[-1] + f" more{k}"])))
+    rows.append((30, "http://near.example/9", page([*site[:2], prose(300, 20, 5000)])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (2, 256):
+        got = pages.extract(df, chunk=chunk).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.page_id < 20:
+                assert r.text == own[r.page_id], (r.page_id, chunk)
+            elif r.page_id < 30:
+                assert r.text.split("\n")[-12:-1] == text[:-1], (r.page_id, chunk)
+        assert [r.text for r in got if r.page_id == 30] == [prose(300, 20, 5000)]
+
+
 # ---------------------------------------------------------------- packing
 
 def test_best_fit_takes_the_tightest_compatible_bin():
