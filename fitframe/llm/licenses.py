@@ -1,17 +1,23 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block (a line) is a set of words, a template too.  A template of n words is
-met by a block that holds at least ``ceil(threshold * n)`` of them.  Words of
-templates are put in one global order, from the rarest in the corpus to the
-commonest, and three filters find every such block without comparing all:
-
-* prefix: a block with enough words holds one of the template's rarest
+A template is a set of words.  A block is a window of as many consecutive
+words of the text as the template is long, wherever lines break, so a notice
+is found wrapped or not, and words scattered over a long line are none.  A
+template of n distinct words is met by a block that holds at least
+``ceil(threshold * n)`` of them.  Words of templates are put in one global
+order, from the rarest in the corpus to the commonest, and filters find every
+such block without comparing all.  First for a whole text, of which every block
+is a part:
+
+* prefix: a text with enough words holds one of the template's rarest
   ``n - needed + 1``;
 * length: it has at least the needed number of words;
 * position: from the first common word on, both sides have enough words left.
 
-What passes is counted exactly.  Only DataFrame functions run, and the only
-thing gathered is one number for each template word.
+Then for the blocks of a text that passes, each starting at a word of the
+template: it has at least the needed number of such words.  What passes is
+counted exactly.  Only DataFrame functions run, and the only thing gathered is
+one number for each template word.
 """
 
 from __future__ import annotations
@@ -60,11 +66,12 @@ def word_order(docs: DataFrame, text_col: str, templates: dict[str, str]) -> lis
 
 
 def _template(name: str, words: str, order: list[str], threshold: float) -> Column:
-    """A template as a struct: its words' places in the global order, and how many are needed."""
+    """A template as a struct: its words' places in the global order, how many are needed, and its length."""
     places = sorted(order.index(w) for w in set(words.split()))
     need = ceil(threshold * len(places) - 1e-9)
     return F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, places)).alias("all"),
-                    F.array(*map(F.lit, places[:len(places) - need + 1])).alias("prefix"), F.lit(need).alias("need"))
+                    F.array(*map(F.lit, places[:len(places) - need + 1])).alias("prefix"), F.lit(need).alias("need"),
+                    F.lit(len(words.split())).alias("width"))
 
 
 def _phrase_places(words: Column) -> Column:
@@ -102,8 +109,8 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TE
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     own = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry) if c.lower() not in added]
-    x = {k: F.col(f"`{v}`") for k, v in renamed(docs, ["text", "words", "places", "blocks", "met"]).items()}
-    name = renamed(docs, ["text", "words", "places", "blocks", "met"])
+    x = {k: F.col(f"`{v}`") for k, v in renamed(docs, ["text", "words", "places", "known", "near", "met"]).items()}
+    name = renamed(docs, ["text", "words", "places", "known", "near", "met"])
     order = word_order(docs, text_col, templates)
     listed = F.array(*map(F.lit, order))
     known = F.array(*[_template(k, v, order, threshold) for k, v in sorted(templates.items())])
@@ -112,14 +119,10 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TE
     rare_words = F.array(*map(F.lit, rare))
     d = docs.select(*own, F.lower(text_or_empty(text_col)).alias(name["text"]))
     d = d.select(*own, x["text"], _tokens(x["text"]).alias(name["words"]))
-    # blocks of texts that hold a word of some template's prefix
-    block = F.filter(F.transform(F.split(x["text"], "\n"), lambda b: F.array_distinct(_tokens(b))),
-                     lambda b: F.arrays_overlap(b, rare_words))
-    d = d.select(*own, F.size(x["words"]).cast("long").alias("n_words"), _phrase_places(x["words"]).alias(name["places"]),
-                 F.when(F.arrays_overlap(x["words"], rare_words), block).alias(name["blocks"]))
-
-    def meets(words: Column) -> Column:
-        """Containment and name of each template that a block of distinct words meets."""
+    n_words, phrases = F.size(x["words"]).cast("long").alias("n_words"), _phrase_places(x["words"])
+
+    def may_meet(words: Column) -> Column:
+        """The templates that a text of these distinct words may meet in some block."""
         places = F.array_sort(F.transform(F.array_intersect(words, listed),
                                           lambda w: (F.array_position(listed, w) - 1).cast("int")))
         side = F.struct(F.size(words).alias("size"), places.alias("places"))
@@ -132,14 +135,30 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TE
             return ((b["size"] >= t["need"]) & F.arrays_overlap(b["places"], t["prefix"])
                     & (left >= t["need"]) & (F.size(both) >= t["need"]))
 
-        return F.flatten(F.transform(F.array(side), lambda b: F.transform(
-            F.filter(known, lambda t: check(b, t)),
-            lambda t: F.struct((F.size(F.array_intersect(b["places"], t["all"])) / F.size(t["all"])).alias("share"),
-                               t["name"].alias("name")))))
-
+        return F.flatten(F.transform(F.array(side), lambda b: F.filter(known, lambda t: check(b, t))))
+
+    # only for texts that hold a word of some template's prefix
+    d = d.select(*own, n_words, phrases.alias(name["places"]), x["words"],
+                 F.when(F.arrays_overlap(x["words"], rare_words), may_meet(F.array_distinct(x["words"]))).alias(name["near"]))
+    # where the words of templates stand
+    hits = F.filter(F.transform(x["words"], lambda w, i: F.struct(i.alias("at"), (F.array_position(listed, w) - 1).cast("int").alias("w"))),
+                    lambda v: v["w"] >= 0)
+    d = d.select(*own, "n_words", x["places"], x["near"], F.when(F.size(x["near"]) > 0, hits).alias(name["known"]))
+
+    def most(v: Column, t: Column) -> Column:
+        """The most of a template's distinct words in one block, of the places ``v`` of its words; null if too few."""
+        full = F.filter(F.transform(v, lambda u, i: F.struct(i.alias("i"), u["at"].alias("at"))),
+                        lambda s: F.get(v, s["i"] + t["need"] - 1)["at"] < s["at"] + t["width"])
+        return F.array_max(F.transform(full, lambda s: F.size(F.array_distinct(F.transform(
+            F.filter(F.slice(v, s["i"] + 1, t["width"]), lambda u: u["at"] < s["at"] + t["width"]), lambda u: u["w"])))))
+
+    found = F.flatten(F.transform(x["near"], lambda t: F.transform(
+        F.array(F.filter(x["known"], lambda u: F.array_contains(t["all"], u["w"]))),
+        lambda v: F.struct(most(v, t).alias("n"), t.alias("t")))))
+    met = F.transform(F.filter(found, lambda v: v["n"] >= v["t"]["need"]),
+                      lambda v: F.struct((v["n"] / F.size(v["t"]["all"])).alias("share"), v["t"]["name"].alias("name")))
     d = d.select(*own, "n_words", x["places"],
-                 F.coalesce(F.flatten(F.transform(x["blocks"], meets)), F.array().cast("array<struct<share:double,name:string>>"))
-                 .alias(name["met"]))
+                 F.coalesce(met, F.array().cast("array<struct<share:double,name:string>>")).alias(name["met"]))
     none = F.array().cast("array<string>")
     base = F.coalesce(F.transform(x["places"], lambda p: p["label"]), none)
     return d.select(

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -550,6 +551,39 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_license_blocks_do_not_hang_on_lines(spark):
+    rng = random.Random(9)
+    split = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    names = sorted(licenses.TEMPLATES)
+    wrapped = ["/*\n * " + "\n * ".join(textwrap.wrap(licenses.TEMPLATES[k].capitalize(), 72)) + ".\n */\nint main;" for k in names]
+    narrow = ["# " + "\n#  ".join(textwrap.wrap(prose(k, 90) + " " + licenses.TEMPLATES[n], 24)) for k, n in enumerate(names)]
+    scattered = ["released " + prose(1, 40) + " under the " + prose(2, 40) + " mit " + prose(3, 40) + " license", prose(4, 2000)]
+    scattered += [" ".join(f"{w} {prose(k, 2)}" for k, w in enumerate(licenses.TEMPLATES["gpl-terms"].split()))]
+    vocab = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    mixed = [" ".join(w for _ in range(12) for w in [
+        *rng.choices(vocab, k=6), *[v for v in rng.choice(list(licenses.TEMPLATES.values())).split() if rng.random() < 0.85]])
+        for _ in range(20)]
+    texts = ["", None, *wrapped, *narrow, *scattered, *mixed]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(split, (t or "").translate(LOWER))
+        met = {}
+        for name, template in licenses.TEMPLATES.items():
+            need, width = set(template.split()), len(template.split())
+            most = max((len(need.intersection(w[k:k + width])) for k in range(len(w))), default=0)
+            if most >= math.ceil(0.8 * len(need) - 1e-9):
+                met[name] = most / len(need)
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert got[i].labels == ",".join(sorted({*base, *met})), i
+        assert abs(got[i].score - (1.0 if base else max(met.values(), default=0.0))) < 1e-12, i
+    at = 2
+    for found in (wrapped, narrow):
+        for name in names:
+            assert name in got[at].labels.split(","), (name, at)
+            at += 1
+    assert all(got[at + k].labels == "" and got[at + k].score == 0 for k in range(len(scattered)))
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark):
