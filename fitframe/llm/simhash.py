@@ -168,10 +168,11 @@ def links(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     steps = [0, *(1 << i if i < 63 else -(1 << 63) for i in range(64))] if max_bits > 0 else [0]
     near = more.where(F.col("n") > hot).select("a").distinct().select(
         "a", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda v: F.col("a").bitwiseXOR(v))).alias("mid"))
-    met = near.groupBy("mid").agg(F.collect_list("a").alias("all")).where(F.size("all") > 1).select(
-        F.explode("all").alias("a"), F.array_min("all").alias("b"))
-    if max_bits == 1:
-        met = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1)
+    met = near.groupBy("mid").agg(F.collect_list("a").alias("all")).where(F.size("all") > 1)
+    if max_bits == 1:  # members may be two bits apart, but a value that is a fingerprint is one bit from each
+        met = met.where(F.array_contains("all", F.col("mid"))).select(F.explode("all").alias("a"), F.col("mid").alias("b"))
+    else:
+        met = met.select(F.explode("all").alias("a"), F.array_min("all").alias("b"))
     return twos.union(_bucket_links(few, max_bits)).union(met)
 
 

@@ -95,6 +95,18 @@ def test_links_join_up_all_close_prints(spark, hot):
         assert got.get(signed[p], signed[p]) == signed[order[want[i]]]
 
 
+def test_links_of_one_bit_in_hot_keys(spark):
+    # a and b are one bit apart; c and d, less than both, are each one bit from one of them only
+    a, b, c, d = 0b1100, 0b1101, 0b1000, 0b0101
+    prints = sorted([a, b, c, d, *[(a, b)[k % 2] ^ 1 << k for k in range(4, 62)]])
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 1]
+    want = union_find(len(prints), pairs)
+    for hot in (2, 128):
+        got = {r.node: r.root for r in components(simhash.links(df, max_bits=1, hot=hot)).collect()}
+        assert [got.get(p, p) for p in prints] == [prints[w] for w in want], hot
+
+
 def test_simhash_odd_rows(spark):
     import xxhash
     texts = odd_texts()
