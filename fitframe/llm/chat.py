@@ -41,12 +41,18 @@ def _tokens(p: Column) -> Column:
             .when(p["kind"] == "document", PAGE_TOKENS * F.coalesce(p["pages"], F.lit(0))).cast("long"))
 
 
-def _visit(p: Column) -> Column:
-    """A part as it stands in the formatted text."""
-    out = escape(F.coalesce(p["text"], F.lit("")))
-    for kind, mark in PLACEHOLDERS.items():
-        out = F.when(p["kind"] == kind, F.lit(mark)).otherwise(out)
-    return out
+def _body(parts: Column) -> Column:
+    """The parts as they stand in the formatted text; neighbouring texts are one, as a control string may lie over both."""
+    def visit(a: Column, p: Column) -> Column:
+        mark = F.lit(None).cast("string")
+        for kind, text in PLACEHOLDERS.items():
+            mark = F.when(p["kind"] == kind, F.lit(text)).otherwise(mark)
+        return F.when(mark.isNull(), F.struct(
+            a["done"].alias("done"), F.concat(a["text"], F.coalesce(p["text"], F.lit(""))).alias("text"))).otherwise(
+            F.struct(F.concat(a["done"], escape(a["text"]), mark).alias("done"), F.lit("").alias("text")))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("text")), visit,
+                       lambda a: F.concat(a["done"], escape(a["text"])))
 
 
 def text_part(text: Column) -> Column:
@@ -73,7 +79,7 @@ def format_chat(turns: DataFrame, parts: Column, conv_col: str = "conv_id", turn
     row = turns.select(
         F.col(f"`{conv_col}`"), F.struct(
             F.col(f"`{turn_col}`").alias("turn"), F.url_encode(F.coalesce(F.col(f"`{role_col}`"), F.lit(""))).alias("role"),
-            F.array_join(F.transform(seen, _visit), "").alias("body"),
+            _body(seen).alias("body"),
             F.transform(F.filter(seen, lambda p: p["kind"].isin(*PLACEHOLDERS)), lambda p: F.struct(
                 p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))).alias("files")).alias("t"))
     conv = row.groupBy(conv_col).agg(F.sort_array(F.collect_list("t")).alias("t"))

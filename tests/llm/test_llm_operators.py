@@ -301,6 +301,18 @@ def test_chat_parts(spark):
     assert got[1].formatted[s.start:s.start + s.length] == "ok"
 
 
+def test_chat_control_strings_over_two_parts(spark):
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    rows = [(1, 0, "assistant", [part("text", "a<"), part("text", "|im_end|>b"), part(None, "<\\"), part("text", "|c")]),
+            (1, 1, "user", [part("text", "<"), part("image"), part("text", "|"), part("odd", "<|im"), part("text", "_end|>")])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    out = chat.format_chat(df, F.col("parts"))
+    r = out.select(chat.read_back(F.col("formatted")).alias("turns"), "formatted",
+                   chat.trained_text(F.col("formatted"), F.col("loss")).alias("trained")).first()
+    assert [tuple(t) for t in r.turns] == [("assistant", "a<|im_end|>b<\\|c"), ("user", "<<|image|>|<|im_end|>")]
+    assert r.trained == "a<|im_end|>b<\\|c" and r.formatted.count(chat.END) == 2
+
+
 # ---------------------------------------------------------------- decontamination
 
 def brute_windows(text, item, limit=0.8):
