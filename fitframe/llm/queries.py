@@ -1,6 +1,6 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import chat, decontaminate, licenses, lm, packing, pages, quality, simhash, suffix, tokens
+from . import chat, decontaminate, licenses, lm, packing, pages, quality, setjoin, simhash, suffix, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_licenses": licenses.op9_licenses,
     "op10_suffix": suffix.op10_suffix,
+    "op13_jaccard": setjoin.op13_jaccard,
 }
 ORACLE: dict[str, str] = {}
