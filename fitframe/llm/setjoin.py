@@ -271,15 +271,16 @@ def _neighbourhoods(wanted: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent: int, bands: Bands) -> DataFrame | None:
     """Pairs that agree only in segments passed over: ``large`` has (key, band, n, cid, comp) of large open buckets."""
-    sizes = reps.select("cid", F.col("n").alias("size"))
-    short = staged(large.groupBy("cid", "band").agg(F.count("*").alias("passed")).join(sizes, "cid").select(
-        "cid", "band", (F.col("passed") - bands.slack(F.col("size"), F.col("band"))).alias("units")).where("units > 0"),
-        "short")
+    held = staged(large.groupBy("cid", "band").agg(F.count("*").alias("passed")).join(
+        reps.select("cid", F.col("n").alias("size")), "cid"), "held")
+    short = staged(held.select("cid", "band", (F.col("passed") - bands.slack(F.col("size"), F.col("band"))).alias(
+        "units")).where("units > 0"), "short")
     if short.isEmpty():  # every set has slack enough
         return None
-    # a pair that is still unseen agrees in a large bucket that one side passes over
-    met = large.join(short, ["cid", "band"], "left_semi").select("key").distinct()
-    around = large.join(met, "key", "left_semi").select("cid", "band").distinct()
+    # A pair still unseen agrees in large buckets only, and in more of them than the slack of its side with
+    # fewer segments.  So a possible partner passes over more than the slack of the least set near it.
+    least = F.ceil(F.col("size") * percent / 100)
+    around = held.where(F.col("passed") > bands.slack(least, F.col("band"))).select("cid", "band")
     every = staged(_neighbourhoods(around.join(reps.select("cid", "text"), "cid"), width, bands), "around")
     hits = every.groupBy("key", "less").agg(F.count("*").alias("hits"))
     # a unit: the neighbourhood of a segment not passed over, or a passed one's bucket
