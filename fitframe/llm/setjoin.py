@@ -36,6 +36,8 @@ from .shared import read, staged, text_or_empty
 HOT = 64
 #: Each size band ends at this many times its start; one slack segment comes with so many needed ones.
 BAND_GROWTH, SLACK_EVERY = 1.5, 16
+#: Sets of a large bucket that are compared in one task at a time.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -70,8 +72,8 @@ def tokens(text: bytes, width: int) -> np.ndarray:
 
 
 def bitmap(have: np.ndarray) -> bytes:
-    """A parity bitmap with at least a bit a token: each token flips the bit its hash names."""
-    size = max(64, 1 << max(0, len(have) - 1).bit_length())
+    """A parity bitmap with at least four bits a token: each token flips the bit its hash names."""
+    size = max(64, 1 << max(0, 4 * len(have) - 1).bit_length())
     bits = np.bincount((_mix(have) & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -296,18 +298,61 @@ def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent:
     by_cost = Window.partitionBy("cid", "band").orderBy("cost", "segment")  # a set's segments
     chosen = staged(asked.withColumn("at", F.row_number().over(by_cost)).where("at <= units").select(
         "cid", "band", "segment"), "chosen")
-    facts = reps.select("cid", "n", "bits")
-    comps = large.select("cid", "comp").distinct()
-    probes = free.join(chosen, ["cid", "band", "segment"], "left_semi").select(
-        "key", (~F.col("less")).alias("less"), F.col("cid").alias("a"))
-    probes = probes.union(whole.join(chosen, ["cid", "band", "segment"], "left_semi").select(
-        "key", F.lit(False), F.col("cid").alias("a")))
-    probes = probes.join(facts.join(comps, "cid").select(
-        F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa"), F.col("comp").alias("ca")), "a")
-    entries = every.select("key", "less", F.col("cid").alias("b")).join(facts.join(comps, "cid").select(
-        F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"), F.col("comp").alias("cb")), "b")
-    found = _near(probes.join(entries, ["key", "less"]).where("ca <> cb"), percent)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    facts = reps.select("cid", "n", "bits").join(large.select("cid", "comp").distinct(), "cid")
+    probes = free.join(chosen, ["cid", "band", "segment"], "left_semi").select("key", (~F.col("less")).alias("less"), "cid")
+    probes = staged(probes.union(whole.join(chosen, ["cid", "band", "segment"], "left_semi").select(
+        "key", F.lit(False), "cid")), "probes")
+    at = ["key", "less"]
+    entries = every.select(*at, "cid").join(probes.select(*at).distinct(), at, "left_semi")
+    asking = probes.join(entries.select(*at).distinct(), at, "left_semi")
+    met = _blocks(asking, facts, "some").join(_blocks(entries, facts, "others"), at)
+    return _block_pairs(met.select("some", "others"), percent)
+
+
+def _blocks(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """(key, less, name): the sets of each key, with their facts, in blocks of bounded size."""
+    counts = rows.groupBy("key", "less").agg(F.count("*").alias("rows"))
+    dealt = rows.join(counts, ["key", "less"]).withColumn(
+        "block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / BLOCK)))
+    return dealt.join(facts, "cid").groupBy("key", "less", "block").agg(
+        F.collect_list(F.struct("cid", "comp", "n", "bits")).alias(name)).drop("block")
+
+
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of two blocks of sets, the pairs of different components whose bitmaps allow the similarity."""
+    def facts(row) -> dict[int, tuple]:
+        """By bytes of bitmap: numbers, components, sizes and bitmaps."""
+        by: dict[int, list] = {}
+        for v in row.as_py():
+            by.setdefault(len(v["bits"]), []).append((v["cid"], v["comp"], v["n"], v["bits"]))
+        return {k: (*(np.array(c) for c in list(zip(*some))[:3]),
+                    np.frombuffer(b"".join(v[3] for v in some), np.uint64).reshape(len(some), -1)) for k, some in by.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, others in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = facts(some), facts(others)
+                for (x, cx, nx, sx), (y, cy, ny, sy) in ((u, v) for u in a.values() for v in b.values()):
+                    wide = min(sx.shape[1], sy.shape[1])
+                    sx, sy = _folded_rows(sx, wide), _folded_rows(sy, wide)
+                    step = max(1, (1 << 20) // (len(y) * wide))
+                    for i in range(0, len(x), step):
+                        most = (100 - percent) * (nx[i:i + step, None] + ny[None, :]) // (100 + percent)
+                        apart = np.bitwise_count(sx[i:i + step, None, :] ^ sy[None, :, :]).sum(axis=2, dtype=np.int64)
+                        may = (apart <= most) & (np.abs(nx[i:i + step, None] - ny[None, :]) <= most)
+                        r, c = np.nonzero(may & (cx[i:i + step, None] != cy[None, :]))
+                        if len(r):
+                            u, v = x[i:i + step][r], y[c]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _folded_rows(bits: np.ndarray, wide: int) -> np.ndarray:
+    while bits.shape[1] > wide:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
 def _links(reps: DataFrame, width: int, percent: int, hot: int, bands: Bands) -> DataFrame:
