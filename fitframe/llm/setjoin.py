@@ -158,32 +158,23 @@ def _deletions(have: np.ndarray, bands: Bands, band: int, take: int) -> tuple[np
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, w1, w2, n, h1, h2): every row's set size and the hash of its set."""
+    """(id, w1, w2, n, h1, h2, bits): every row's set size, the hash of its set and its bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, bits = [], [], [], []
             for t in batch.column(3).cast(pa.binary()):
                 have = tokens(t.as_py(), width)
                 n.append(len(have))
                 h1.append(int(_mix(have + _U(11)).sum(dtype=np.uint64)))
                 h2.append(int(_mix(have ^ _U(0xA24BAED4963EE407)).sum(dtype=np.uint64)))
-            new = [pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))]
+                bits.append(bitmap(have))
+            new = [pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)),
+                   pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *new],
-                                             ["id", "w1", "w2", "n", "h1", "h2"])
+                                             ["id", "w1", "w2", "n", "h1", "h2", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, w1 long, w2 long, n long, h1 long, h2 long")
-
-
-def _with_bitmaps(texts: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [tokens(t.as_py(), width) for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bitmap(s) for s in sets], pa.binary())], ["w1", "w2", "text", "n", "bits"])
-
-    return texts.mapInArrow(run, "w1 long, w2 long, text string, n long, bits binary")
+    return docs.mapInArrow(run, f"id {kind}, w1 long, w2 long, n long, h1 long, h2 long, bits binary")
 
 
 def _indexed(reps: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -400,11 +391,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.xxhash64(text_or_empty(text_col)).alias("w2"), text_or_empty(text_col).alias("text"))
     sets = staged(_sets(named, width), "sets")
     classes = staged(sets.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("id").alias("first"), F.min(F.struct("w1", "w2")).alias("w")).select("h1", "h2", "first", "w.w1", "w.w2"),
-        "classes")
-    texts = named.select("w1", "w2", "text").join(classes.select("w1", "w2"), ["w1", "w2"], "left_semi")
-    one = texts.groupBy("w1", "w2").agg(F.first("text").alias("text"))  # rows alike in id and text
-    reps = staged(_with_bitmaps(one, width).withColumn("cid", F.monotonically_increasing_id()), "texts")
+        F.min("id").alias("first"), F.min(F.struct("w1", "w2", "n", "bits")).alias("w")).select(
+        "h1", "h2", "first", "w.*"), "classes")
+    texts = named.select("w1", "w2", "text").join(classes.select("w1", "w2", "n", "bits"), ["w1", "w2"])
+    one = texts.groupBy("w1", "w2").agg(*[F.first(c).alias(c) for c in ("text", "n", "bits")])  # of rows alike, one
+    reps = staged(one.withColumn("cid", F.monotonically_increasing_id()), "texts")
     roots = staged(components(_links(reps, width, percent, hot, bands)), "roots")
     numbered = classes.join(reps.select("w1", "w2", "cid"), ["w1", "w2"]).select("h1", "h2", "first", "cid")
     placed = staged(numbered.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
