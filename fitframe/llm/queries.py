@@ -1,6 +1,6 @@
 """The queries of this folder by name, and their SQL where SQL can express them."""
 
-from . import chat, decontaminate, licenses, lm, packing, pages, quality, setjoin, simhash, spelling, suffix, tokens
+from . import chat, decontaminate, licenses, lm, packing, pages, quality, repair, setjoin, simhash, spelling, suffix, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_suffix": suffix.op10_suffix,
     "op11_spelling": spelling.op11_spelling,
+    "op12_repair": repair.op12_repair,
     "op13_jaccard": setjoin.op13_jaccard,
 }
 ORACLE: dict[str, str] = {}
