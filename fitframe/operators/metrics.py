@@ -159,7 +159,7 @@ METRICS = {
 class FitEvaluator(Evaluator):
     """Any metric above as a ``pyspark.ml`` Evaluator, for model selection.
 
-    ``logloss`` and ``auc`` read the positive class of ``probabilityCol`` (its
+    ``logloss``, ``auc`` and ``gini`` read the positive class of ``probabilityCol`` (its
     second value), ``multi_logloss`` all of it.  A dataset without that column
     is scored on ``predictionCol``, which then holds the score itself.
     ``gini`` needs a ``tiebreakCol``: the order of tied predictions is part of
@@ -179,9 +179,7 @@ class FitEvaluator(Evaluator):
 
     def _evaluate(self, dataset: DataFrame) -> float:
         m = self.metric
-        if m == "gini":
-            return float(gini(dataset, self.labelCol, self.predictionCol, self.tiebreakCol).first()[0])
-        if m in ("auc", "logloss", "multi_logloss"):
+        if m in ("gini", "auc", "logloss", "multi_logloss"):
             score = self.predictionCol
             if self.probabilityCol in dataset.columns:
                 probs = F.col(self.probabilityCol)
@@ -189,6 +187,8 @@ class FitEvaluator(Evaluator):
                     probs = vector_to_array(probs)
                 dataset = dataset.withColumn("_ff_score", probs if m == "multi_logloss" else probs[1])
                 score = "_ff_score"
+            if m == "gini":
+                return float(gini(dataset, self.labelCol, score, self.tiebreakCol).first()[0])
             fn = {"auc": auc, "logloss": logloss, "multi_logloss": multi_logloss}[m]
             return float(fn(dataset, self.labelCol, score).first()[0])
         kw = {"unlog": True} if self.unlog and m in ("mae", "rmspe") else {}
