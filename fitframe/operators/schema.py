@@ -68,6 +68,18 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("d")).select("d.*")
 
 
+def quartiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per numeric column the quartiles of R's table summary (C17): (column, q1, median, q3), discrete, nulls left out.
+
+    Each is selected exactly, without a sort of the table.
+    """
+    from .select import quantiles
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    rows = [(c, *(None if v is None else float(v) for v in quantiles(df, c, [0.25, 0.5, 0.75])))
+            for c in columns or numeric]
+    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
+
+
 def positive_probability(probability: str = "probability") -> Column:
     """Column 1 of the class-probability vector (C14)."""
     return vector_to_array(F.col(probability))[1]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .rank import global_rank
+from .select import key_of, literal_key, nth_smallest
 
 
 _DRAW_RANGE = 1 << 62
@@ -117,7 +118,21 @@ def date_split(df: DataFrame, date_col: str, cutoff: str, flag: str = "is_train"
 
 def tail_split(df: DataFrame, order_by: list, n_valid: int, flag: str = "is_train") -> DataFrame:
     """Positional head/tail split on an explicit order (S8): the last
-    ``n_valid`` rows are validation.  Uses the distributed global rank."""
+    ``n_valid`` rows are validation.
+
+    With column names (ascending, nulls first) the last training row's key is
+    selected exactly and rows are flagged in place: no sort, no shuffle of
+    rows.  Rows that tie across the border, and orders given as expressions,
+    need a place each and go by the distributed global rank.
+    """
     total = df.count()
+    n_train = total - n_valid
+    if n_train <= 0 or n_valid <= 0:
+        return df.withColumn(flag, F.lit(n_train > 0))
+    if all(isinstance(c, str) for c in order_by):
+        last, at_most = nth_smallest(df, order_by, n_train)
+        if at_most == n_train:
+            kinds = [df.schema[c].dataType for c in order_by]
+            return df.withColumn(flag, key_of(order_by) <= literal_key(last, kinds))
     ranked = global_rank(df, order_by, "_ff_pos")
-    return ranked.withColumn(flag, F.col("_ff_pos") <= total - n_valid).drop("_ff_pos")
+    return ranked.withColumn(flag, F.col("_ff_pos") <= n_train).drop("_ff_pos")

@@ -9,7 +9,7 @@ from ..operators.clean import (drop_noisy, drop_null_columns, drop_outliers, noi
                               profile_columns)
 from ..operators.encode import LabelEncoder, ZScore, first_seen_codes, fit_frame
 from ..operators.impute import fill_mean, fill_mode, impute_each
-from ..operators.schema import describe
+from ..operators.schema import describe, quartiles
 from ..operators.split import expr_split, modulo_condition
 from .q_core import CUSTOMER_WITH_NULLS_SQL, customer_with_nulls
 from .registry import R6, query, r6, table
@@ -296,3 +296,14 @@ def describe_table(spark, sf):
     d = describe(table(spark, sf, "lineitem"))
     return d.select("column", "type", "n", r6("min").alias("min"), r6("max").alias("max"),
                     r6("mean").alias("mean"))
+
+
+_QUARTILES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("table_quartiles", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {", ".join(f"{R6(f'quantile_disc({c}, {q})')} AS {n}" for q, n in
+        ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))} FROM lineitem""" for c in _QUARTILES))
+def table_quartiles(spark, sf):
+    d = quartiles(table(spark, sf, "lineitem").select(*_QUARTILES))
+    return d.select("column", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"))

@@ -306,5 +306,5 @@ FROM orders""")
 def split_tail(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     n_valid = o.count() // 10
-    t = tail_split(o, [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()], n_valid)
+    t = tail_split(o, ["o_orderdate", "o_orderkey"], n_valid)
     return t.select("o_orderkey", "is_train")
