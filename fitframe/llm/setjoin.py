@@ -220,8 +220,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> Da
             mask = pa.array(stay, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    left = reps.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
-    right = reps.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    some = staged(reps.select("cid", "text").join(ids, "cid", "left_semi"), "asked")  # the texts of pairs only
+    left = some.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
+    right = some.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
