@@ -6,15 +6,15 @@ main lines are those of the article, or the open ones if it has none.  Pages
 of a host with the same main lines are copies and count as one.  What is left
 is put in order of URL path, and each page is compared with the nearest one
 before and after it that is no near copy: lines of the longest common
-subsequence are the site's, not the page's, and main lines among them are
-deleted.
+subsequence are put forward as the site's.  A line put forward is the site's
+if at least ``host_share`` of the host's distinct pages hold it as a main line;
+it is then deleted from all pages of the host, but for headlines (lines of an
+``h1`` or equal to the page's title), which always stay.
 
 A near copy tells nothing about the site, nor does a page without a line of
 its own: two pages are taken for near copies if one has no main line beyond
 the common ones, or if over half of those it has are reworded in the other.
-How many lines they share does not matter, but where over ``copy_share`` of a
-page's main lines would go, only those go that another page in reach, if there
-is one, also has.
+How many lines they share does not matter.
 
 Only line hashes and small word sketches are sorted and compared; page texts
 do not travel.  A host may hold any share of the pages: the order is cut into
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relate import broadcast_if_small
 from .shared import read, renamed, staged, tasks
 
 #: Fixed values of HTML.
@@ -51,8 +52,10 @@ NAMES = set("ad ads advert advertisement advertising adverts banner breadcrumb b
             " replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar"
             " widget".split())
 ARTICLE = {"article", "main"}
+HEADLINES = {"h1", "title"}
 CHUNK = 256
-COPY_SHARE = 0.8
+#: Share of a host's distinct pages from which on a shared line is the site's.
+HOST_SHARE = 0.5
 #: Pages looked at on each side for one that is no copy, and words kept of a line.
 REACH = 4
 SKETCH = 6
@@ -74,9 +77,10 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str | None) -> list[tuple[str, int]]:
-    """The page's text lines in order, each with 2 in an article, 1 in the open, 0 in furniture."""
-    out: list[tuple[str, int]] = []
+def lines(html: str | None) -> list[tuple[str, int, str]]:
+    """The page's text lines in order, each with 2 in an article, 1 in the open, 0 in furniture, and with the
+    headline element (``h1`` or ``title``) that holds it, if one does."""
+    out: list[tuple[str, int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, with the kind of lines in them
     kind, at, html = 1, 0, html or ""
@@ -86,7 +90,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             line = " ".join("".join(text).split())
             text.clear()
             if line:
-                out.append((line, kind))
+                out.append((line, kind, next((s[0] for s in stack if s[0] in HEADLINES), "")))
 
     def add(a: int, b: int) -> None:
         if a < b:
@@ -198,8 +202,16 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _main_kind(found: list[tuple[str, int]]) -> int:
-    return 2 if any(kind == 2 for _, kind in found) else 1
+def _main(found: list[tuple[str, int, str]]) -> list[int]:
+    """The places of the main lines."""
+    kept = 2 if any(kind == 2 for _, kind, _ in found) else 1
+    return [i for i, (_, kind, _) in enumerate(found) if kind == kept]
+
+
+def _headlines(found: list[tuple[str, int, str]]) -> list[int]:
+    """The numbers of the main lines that are headlines."""
+    titles = {t for t, _, name in found if name == "title"}
+    return [k for k, i in enumerate(_main(found)) if found[i][2] == "h1" or found[i][0] in titles]
 
 
 def _sketch(line: bytes) -> bytes:
@@ -215,8 +227,8 @@ def _keys(sketch: bytes) -> list[tuple]:
 
 
 def _hashed(pages: DataFrame) -> DataFrame:
-    """(k1, k2, g1, g2, host, path, lines, main, words): every line's hash, the places and word sketches of the
-    main ones, and two hashes of host and main lines, alike for copies."""
+    """(k1, k2, g1, g2, host, path, lines, main, words, heads): every line's hash, the places and word sketches of
+    the main ones, the numbers of the headlines among them, and two hashes of host and main lines, alike for copies."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,20 +237,21 @@ def _hashed(pages: DataFrame) -> DataFrame:
             for k1, k2, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = lines(html)
                 host, path = _place(url)
-                texts = [t.encode("utf-8", "replace") for t, _ in found]
-                kept = _main_kind(found)
-                main = [i for i, (_, kind) in enumerate(found) if kind == kept]
+                texts = [t.encode("utf-8", "replace") for t, *_ in found]
+                main = _main(found)
                 group = "\n".join([host, *[found[i][0] for i in main]]).encode("utf-8", "replace")
                 rows.append((k1, k2, *[xxhash.xxh64_intdigest(group, seed) - (1 << 63) for seed in (0, 1)], host, path,
-                             [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], main, [_sketch(texts[i]) for i in main]))
+                             [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], main, [_sketch(texts[i]) for i in main],
+                             _headlines(found)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 9, kinds, strict=True)], names)
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 10, kinds, strict=True)], names)
 
-    names = ["k1", "k2", "g1", "g2", "host", "path", "lines", "main", "words"]
-    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    names = ["k1", "k2", "g1", "g2", "host", "path", "lines", "main", "words", "heads"]
+    numbers = pa.list_(pa.int64())
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), numbers, numbers, pa.list_(pa.binary()), numbers]
     return pages.select("k1", "k2", "url", "html").mapInArrow(
         run, "k1 long, k2 long, g1 long, g2 long, host string, path string, lines array<long>, main array<long>,"
-             " words array<binary>")
+             " words array<binary>, heads array<long>")
 
 
 def _compared(a: dict, b: dict) -> tuple[list[int], list[int]] | None:
@@ -257,37 +270,28 @@ def _compared(a: dict, b: dict) -> tuple[list[int], list[int]] | None:
     return shared[0], shared[1]
 
 
-def _site_lines(rows: list[dict], i: int, seen: dict, copy_share: float, reach: int) -> set[int]:
-    """The main lines of page ``i`` of a chunk, by their number, that are the site's."""
+def _shared_with_nearest(rows: list[dict], i: int, seen: dict, reach: int) -> set[int]:
+    """The line hashes that page ``i`` of a chunk shares with the nearest page on either side that is no copy."""
     page = rows[i]
-
-    def others(step: int) -> Iterator[tuple[int, list[int]]]:
-        """Pages on one side that are no copies, with the main lines of ``page`` that they have in common."""
+    found: set[int] = set()
+    for step in (-1, 1):
         for j in range(i + step, i + step * (reach + 1), step):
             if not 0 <= j < len(rows) or rows[j]["host"] != page["host"]:
-                return
+                break
             pair = (min(i, j), max(i, j))
             if pair not in seen:
                 seen[pair] = _compared(rows[pair[0]], rows[pair[1]])
             if seen[pair]:
-                yield j, seen[pair][i > j]
+                found.update(page["lines"][page["main"][k]] for k in seen[pair][i > j])
+                break
+    return found
 
-    gone: set[int] = set()
-    for step in (-1, 1):
-        near = next(others(step), None)
-        if not near or not near[1]:
-            continue
-        place, shared = near
-        if len(shared) > copy_share * len(page["main"]):
-            rest = [set(rows[j]["lines"]) for side in (-1, 1) for j, _ in others(side) if j != place]
-            if rest:
-                shared = [k for k in shared if any(page["lines"][page["main"][k]] in v for v in rest)]
-        gone.update(shared)
-    return gone
 
+def _site_lines(hashed: DataFrame, chunk: int, host_share: float) -> DataFrame:
+    """(host, site): the hashes of a host's lines that its pages in general share.
 
-def _shared_lines(hashed: DataFrame, chunk: int, copy_share: float) -> DataFrame:
-    """(g1, g2, gone): for each group of copies the numbers of main lines shared with other pages of the site."""
+    An array holds at most ``1 / host_share`` times the main lines of the host's mean page.
+    """
     spark = hashed.sparkSession
     order = ["host", "path", "k1", "k2"]
     reach = min(REACH, chunk)
@@ -307,7 +311,7 @@ def _shared_lines(hashed: DataFrame, chunk: int, copy_share: float) -> DataFrame
         "rank", F.col("base") + F.col("at"))
     own = F.floor(F.col("rank") / chunk)
     dealt = ranked.select(
-        "g1", "g2", "host", "lines", "main", "words", "rank", own.alias("own"),
+        "host", "lines", "main", "words", "rank", own.alias("own"),
         F.explode(F.array_compact(F.array(
             own, F.when(F.col("rank") % chunk < reach, own - 1), F.when(F.col("rank") % chunk >= chunk - reach, own + 1))))
         .alias("chunk"))
@@ -315,30 +319,35 @@ def _shared_lines(hashed: DataFrame, chunk: int, copy_share: float) -> DataFrame
     def solve(table: pa.Table) -> pa.Table:
         rows = table.sort_by("rank").to_pylist()
         seen: dict = {}
-        out = [(r["g1"], r["g2"], sorted(_site_lines(rows, i, seen, copy_share, reach))) for i, r in enumerate(rows)
-               if r["own"] == r["chunk"]]
-        out = [r for r in out if r[2]]
+        out = [(r["host"], line) for i, r in enumerate(rows) if r["own"] == r["chunk"]
+               for line in _shared_with_nearest(rows, i, seen, reach)]
         return pa.table([pa.array(c, t) for c, t in zip(
-            list(zip(*out)) or [[]] * 3, [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)],
-            names=["g1", "g2", "gone"])
+            list(zip(*out)) or [[]] * 2, [pa.string(), pa.int64()], strict=True)], names=["host", "line"])
 
-    return dealt.groupBy("chunk").applyInArrow(solve, "g1 long, g2 long, gone array<long>")
+    # written first, so that the join below knows its bytes: where they are few the pages' lines are not shuffled
+    put_forward = staged(dealt.groupBy("chunk").applyInArrow(solve, "host string, line long").distinct(), "shared")
+    held = put.select("host", F.explode(F.array_distinct(F.transform("main", lambda i: F.get("lines", i.cast("int")))))
+                      .alias("line"))
+    counted = held.join(broadcast_if_small(put_forward, 8 << 20), ["host", "line"], "left_semi").groupBy("host", "line").agg(
+        F.count("*").alias("n"))
+    pages = put.groupBy("host").agg(F.count("*").alias("pages"))
+    return counted.join(pages, "host").where(F.col("n") >= host_share * F.col("pages")).groupBy("host").agg(
+        F.collect_list("line").alias("site"))
 
 
 def main_text(html: str | None, gone: set) -> str:
     """The main lines but those whose number is in ``gone``."""
     found = lines(html)
-    kept = _main_kind(found)
-    return "\n".join(t for k, t in enumerate(t for t, kind in found if kind == kept) if k not in gone)
+    return "\n".join(found[i][0] for k, i in enumerate(_main(found)) if k not in gone)
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", chunk: int = CHUNK,
-            copy_share: float = COPY_SHARE) -> DataFrame:
+            host_share: float = HOST_SHARE) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) in place of the html column.
 
     The text is the main lines (the article's; where a page has no article
-    element, the open ones) but those shared with the nearest pages before and
-    after it that are no copies.  Null or empty html gives an empty text; a null or broken URL has
+    element, the open ones) but the site's: those that nearest pages share and
+    ``host_share`` of the host's distinct pages hold, headlines never.  Null or empty html gives an empty text; a null or broken URL has
     the empty host.  Pages alike in URL and html count once in the order, and
     each gets its row; an empty table gives an empty result; columns that bear
     an added column's name give way.
@@ -349,8 +358,12 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", chun
     named = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias(x["own"]), url.alias("url"),
                          html.alias("html"), F.xxhash64(url, html).alias("k1"), F.xxhash64(F.lit(1), html, url).alias("k2"))
     hashed = staged(_hashed(named).dropDuplicates(["k1", "k2"]), "lines")
-    gone = staged(_shared_lines(hashed, chunk, copy_share), "gone")
-    gone = hashed.select("k1", "k2", "g1", "g2").join(gone, ["g1", "g2"]).select("k1", "k2", "gone")
+    site = staged(_site_lines(hashed, chunk, host_share), "site")
+    number = F.sequence(F.lit(0), F.size("main") - 1)
+    gone = F.filter(number, lambda k: F.array_contains("site", F.get("lines", F.get("main", k).cast("int")))
+                    & ~F.array_contains("heads", k.cast("long")))
+    gone = hashed.where(F.size("main") > 0).join(broadcast_if_small(site, 8 << 20), "host").select(
+        "k1", "k2", gone.alias("gone")).where(F.size("gone") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

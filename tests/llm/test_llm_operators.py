@@ -429,6 +429,58 @@ def test_differencing_of_templated_pages(spark, shared, tag):
         assert [r.text for r in got if r.page_id == 30] == [prose(300, 20, 5000)]
 
 
+def plain_extract(rows, host_share=0.5):
+    """Brute force for pages of ``p`` elements whose own lines are all different: the lines left of each."""
+    hosts = collections.defaultdict(list)
+    for page_id, host, path, title, found in rows:
+        hosts[host].append((path, page_id, title, found))
+    out = {}
+    for held in hosts.values():
+        held.sort()
+        near = {x for a, b in zip(held, held[1:]) for x in set(a[3]) & set(b[3])}
+        site = {x for x in near if sum(x in h[3] for h in held) >= host_share * len(held)}
+        for _, page_id, title, found in held:
+            out[page_id] = [x for x in found if x not in site or x == title]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 256])
+def test_extraction_against_brute_force(spark, chunk):
+    rng = random.Random(8)
+    rows = []
+    for host in range(5):
+        menu = [f"Menu {host} {k}" for k in range(9)]
+        often = [rng.random() for _ in menu]
+        for k in range(rng.randrange(2, 14)):
+            found = [m for m, p in zip(menu, often) if rng.random() < p]
+            own = [prose(1000 * host + 10 * k + i, 12, 5000) for i in range(rng.randrange(1, 4))]
+            at = rng.randrange(len(found) + 1)
+            found = found[:at] + own + found[at:]
+            rows.append((len(rows), f"h{host}.example", f"/{rng.random()}", rng.choice([found[0], "Other"]), found))
+    df = spark.createDataFrame(
+        [(i, f"http://{host}{path}", f"<head><title>{title}</title></head><body>" + "".join(f"<p>{x}</p>" for x in found))
+         for i, host, path, title, found in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df, chunk=chunk).collect()}
+    assert got == {i: "\n".join(left) for i, left in plain_extract(rows).items()}
+
+
+def test_differencing_is_alike_on_all_pages_of_a_host(spark):
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    text = {r.page_id: r.text for r in pages.op4_pages(spark, "/root/testdata/sf0.01").collect()}
+    gone, left = set(), set()
+    for page_id, url, html in given:
+        found = pages.lines(html)
+        main = [found[i][0] for i in pages._main(found)]
+        heads = {main[k] for k in pages._headlines(found)}
+        kept = collections.Counter(text[page_id].split("\n"))
+        lost = collections.Counter(main) - kept
+        assert not heads & set(lost)
+        host = pages._place(url)[0]
+        gone |= {(host, x) for x in lost}
+        left |= {(host, x) for x in kept if x not in heads}
+    assert not gone & left
+
+
 # ---------------------------------------------------------------- packing
 
 def test_best_fit_takes_the_tightest_compatible_bin():
