@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, reuse_if_shuffled
+from .folds import fold_scores, out_of_fold
+from .metrics import FitEvaluator
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -140,16 +142,24 @@ def cross_validate(est, df: DataFrame, fold_col: str, evaluator, k: int) -> Data
 
     ``evaluator`` may be a dict of evaluators by name: each fold is fitted once
     and scored by all of them, and the result has a column ``metric`` too.
+    Evaluators of this library read one table of all held-out predictions
+    (:mod:`folds`); a fold without rows then has no score, an undefined one is
+    null, and neither counts in the mean.
     """
     df = reuse_if_shuffled(df)  # k fits read it: materialise once if its plan shuffles
     many = evaluator if isinstance(evaluator, dict) else {"score": evaluator}
     rows = []
-    for f in range(k):
-        pred = est.fit(df.where(F.col(fold_col) != f)).transform(df.where(F.col(fold_col) == f))
-        rows += [(f, name, float(e.evaluate(pred))) for name, e in many.items()]
+    if k and all(isinstance(e, FitEvaluator) for e in many.values()):
+        keep = {fold_col, *[c for e in many.values() for c in (e.labelCol, e.tiebreakCol) if c]}
+        held_out = out_of_fold(est, df, fold_col, k, sorted(keep))
+        rows = [tuple(r) for r in fold_scores(held_out, fold_col, many).orderBy(fold_col, "metric").collect()]
+    else:
+        for f in range(k):
+            pred = est.fit(df.where(F.col(fold_col) != f)).transform(df.where(F.col(fold_col) == f))
+            rows += [(f, name, float(e.evaluate(pred))) for name, e in many.items()]
     for name in many if k else ():
-        scores = [v for _, m, v in rows if m == name]
-        rows.append((-1, name, sum(scores) / len(scores)))
+        scores = [v for _, m, v in rows if m == name and v is not None]
+        rows.append((-1, name, sum(scores) / len(scores) if scores else None))
     out = df.sparkSession.createDataFrame(rows, "fold int, metric string, score double")
     return out if isinstance(evaluator, dict) else out.drop("metric")
 

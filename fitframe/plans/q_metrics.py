@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.metrics import (accuracy, auc, gini, logloss, mae, multi_logloss, rmse, rmspe,
-                                 rmspe_unguarded)
+from ..operators.folds import fold_scores
+from ..operators.metrics import (FitEvaluator, accuracy, auc, gini, logloss, mae, mean_score, multi_logloss, rmse,
+                                 rmspe, rmspe_unguarded)
 from .registry import R6, query, r6, table
 
 _CLIP = "greatest(1e-15, least(1 - 1e-15, {}))"
@@ -123,3 +124,35 @@ def m_auc(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_discount").alias("s"),
                                             (F.col("l_returnflag") == "R").cast("int").alias("y"))
     return auc(li, "y", "s").select(r6("auc").alias("auc"))
+
+
+_FOLD_VALUES = {
+    "auc": "(rs - p * (p + 1) / 2.0) / (p * (n - p))",
+    "gini": "(n / 2.0 - ((n + 1) * p - wp) / p) / (n / 2.0 - ((n + 1) * p - wy) / p)",
+    "logloss": "ll",
+    "rmse": "rm",
+}
+
+
+@query("fold_metrics", f"""
+WITH b AS (SELECT CAST(o_orderkey % 5 AS INTEGER) AS fold, CAST(o_orderstatus = 'F' AS DOUBLE) AS y,
+                  CAST(o_custkey % 100 AS DOUBLE) / 100 AS s, o_orderkey AS t FROM orders),
+o AS (SELECT *, {_clip('s')} AS q, row_number() OVER (PARTITION BY fold ORDER BY s DESC, t DESC) AS pp,
+             row_number() OVER (PARTITION BY fold ORDER BY y DESC, t DESC) AS py,
+             count(*) OVER (PARTITION BY fold, s) AS c, rank() OVER (PARTITION BY fold ORDER BY s) AS lo FROM b),
+g AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, sum(y) AS p, sum(y * pp) AS wp, sum(y * py) AS wy,
+             sum(y * (lo + (c - 1) / 2.0)) AS rs, -avg(y * ln(q) + (1 - y) * ln(1 - q)) AS ll,
+             sqrt(avg((y - s) * (y - s))) AS rm FROM o GROUP BY fold),
+v AS ({" UNION ALL ".join(f"SELECT fold, '{m}' AS metric, {e} AS score FROM g" for m, e in _FOLD_VALUES.items())})
+SELECT fold, metric, {R6('score')} AS score FROM v
+UNION ALL
+SELECT CAST(-1 AS INTEGER) AS fold, metric, {R6('avg(score)')} AS score FROM v GROUP BY metric""")
+def fold_metrics(spark, sf):
+    """Every metric of every fold from one table of scores, and its mean over the folds as fold -1."""
+    o = table(spark, sf, "orders").select(
+        F.pmod("o_orderkey", F.lit(5)).cast("int").alias("fold"),
+        (F.col("o_orderstatus") == "F").cast("double").alias("y"),
+        (F.pmod("o_custkey", F.lit(100)).cast("double") / 100).alias("s"), F.col("o_orderkey").alias("t"))
+    scores = fold_scores(o, "fold", {m: FitEvaluator(m, "y", "s", "t") for m in _FOLD_VALUES})
+    means = mean_score(scores.groupBy("metric"), name="score").select(F.lit(-1).alias("fold"), "metric", "score")
+    return scores.unionByName(means).withColumn("score", r6("score"))
