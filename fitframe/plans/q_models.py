@@ -10,9 +10,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from ..functions.arith import log_target
+from ..operators.boost import grow, split_importances, tree_nodes
 from ..operators.encode import LabelEncoder
 from ..operators.metrics import FitEvaluator, inverse_square_weight, logloss
 from ..operators.models import (GaussianDiscriminant, adaboost, adaboost_predict, assemble,
@@ -402,3 +404,62 @@ def importances_q(spark, sf):
     return table_.join(places, "feature").join(read, "feature").select(
         "feature", "place", F.col("share").between(0, 1).alias("is_share"),
         (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.abs(F.col("share") - F.col("read_share")) < 1e-9).alias("file_agrees"))
+
+
+#: A label that the features decide: what a fit learns of it shows on unseen rows too.
+SIGNAL = 0.8
+
+
+@query("fit_softmax", _sides("lineitem", "l_orderkey", LI_KEYS, "fit_softmax"))
+def fit_softmax(spark, sf):
+    """Joint softmax boosting on a class that the features decide, well below the constant's log-loss (K2, K3)."""
+    flagged, _, _ = lineitem_matrix(spark, sf)
+    label = F.when(F.col("l_quantity") > 25, 2).when(F.col("l_discount") > 0.05, 1).otherwise(0).cast("double")
+    _, train, test = expr_split(flagged.withColumn("label", label), modulo_condition("l_orderkey"))
+    model, _ = grow(train, test, classes=3, rounds=4, eta=0.5, max_depth=3, seed=1)
+    pred = model.transform(test).withColumn("probs", vector_to_array("probability"))
+    shares = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one a class
+    constant = F.get(F.array(*[F.lit(shares.get(float(c), 0) / sum(shares.values())) for c in range(3)]),
+                     F.col("label").cast("int"))
+    own = F.get("probs", F.col("label").cast("int"))
+    return _told("fit_softmax", train, pred, LI_KEYS, _sums_to_one(F.col("probs")), -F.log(own), -F.log(constant), SIGNAL)
+
+
+@query("boost_stopped", """
+SELECT count(*) AS n_rows, TRUE AS stopped_by_itself, TRUE AS curve_is_finite, TRUE AS best_is_least, TRUE AS kept_scores_alike
+FROM lineitem""")
+def boost_stopped(spark, sf):
+    """Boosting on a label without a signal ends by patience, long before its last round."""
+    flagged, _, _ = lineitem_matrix(spark, sf)
+    df = holdout(flagged, LI_KEYS, 0.05, seed=1337, flag="is_valid")
+    train, valid = df.where("NOT is_valid"), df.where("is_valid")
+    model, curve = grow(train, valid, rounds=40, patience=2, eta=0.5, max_depth=4, metric=rmspe_of_logs, seed=1)
+    rows = curve.collect()  # one row a round
+    (best,) = [r for r in rows if r["is_best"]] or [None]
+    kept = model.transform(valid).agg(rmspe_of_logs(F.col("label"), F.col("prediction"))).first()[0]
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(len(rows) < 40).alias("stopped_by_itself"),
+        F.lit(all(0 < r[c] < float("inf") for r in rows for c in ("train_loss", "valid_loss"))).alias("curve_is_finite"),
+        F.lit(best["valid_loss"] == min(r["valid_loss"] for r in rows)).alias("best_is_least"),
+        F.lit(abs(kept - best["valid_loss"]) < 1e-9).alias("kept_scores_alike"))
+
+
+@query("split_counts", f"""
+WITH t AS (SELECT CAST(l_quantity > 25 AS INTEGER) AS q, CAST(l_discount > 0.05 AS INTEGER) AS d FROM lineitem
+           WHERE (l_orderkey % 10) >= 5),
+k AS (SELECT q, count(*) AS n, var_pop(d) AS v FROM t GROUP BY q),
+r AS (SELECT 1 AS splits, var_pop(2 * q + d) - (SELECT sum(n * v) / sum(n) FROM k) AS gain,
+             CAST(count(*) AS DOUBLE) AS cover FROM t),
+c AS (SELECT 'l_quantity' AS feature, splits, gain, cover FROM r
+      UNION ALL SELECT 'l_discount', count(*), avg(v), avg(n) FROM k)
+SELECT f.feature, CAST(coalesce(splits, 0) AS BIGINT) AS splits, {R6('gain')} AS gain, cover
+FROM (SELECT unnest({LI_FEATURES}) AS feature) f LEFT JOIN c ON c.feature = f.feature""")
+def split_counts(spark, sf):
+    """Split counts, gain and cover of a tree whose label fixes its three splits, from its node table."""
+    _, train, _ = lineitem_matrix(spark, sf)
+    label = 2 * (F.col("l_quantity") > 25).cast("int") + (F.col("l_discount") > 0.05).cast("int")
+    fitted = DecisionTreeRegressor(maxDepth=2, maxBins=64, seed=1).fit(train.withColumn("label", label.cast("double")))
+    path = f"{ensure_checkpoint_dir(spark)}/fitframe-out/{uuid.uuid4().hex}"
+    found = split_importances(tree_nodes(fitted, path), LI_FEATURES)
+    return found.select("feature", F.col("splits").cast("long").alias("splits"), r6("gain").alias("gain"),
+                        F.col("cover").cast("double").alias("cover"))
