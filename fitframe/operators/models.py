@@ -10,8 +10,8 @@ pieces MLlib lacks are written as distributed DataFrame jobs:
 * :func:`knn_predict` -- exact k nearest neighbours as a blocked nested
   loop: queries and reference rows are split into bounded blocks, each
   (query block, reference block) pair meets in one ``cogroup`` task where
-  numpy computes the distance block and only the k best candidates per
-  query leave the task; a final grouped top-k merges the blocks.  No pair
+  one matrix product rules out most pairs (:func:`nearest`) and only the k
+  best candidates per query leave the task; a final grouped top-k merges the blocks.  No pair
   is ever materialised as a row and no group holds a whole table.
 * :class:`GaussianDiscriminant` -- LDA from class means and partial sums of
   centred outer products; scoring is a pure column expression.
@@ -337,22 +337,101 @@ def adaboost_predict(models, df: DataFrame, num_classes: int, eps: float = 1e-10
 # ---------------------------------------------------------------- K9
 
 
+#: Most numbers in one block of the kNN's factors or power sums (of 8 bytes), and most reference rows in a block.
+KNN_NUMBERS, KNN_ROWS = 4_000_000, 4096
+
+
+def _power_factors(x: np.ndarray, p: int, query: bool) -> np.ndarray:
+    """Factors whose products add up to the mixed terms of ``(q - r) ** p`` over all dimensions."""
+    powers = [x]
+    for _ in range(p - 2):
+        powers.append(powers[-1] * x)
+    if query:
+        return np.concatenate([math.comb(p, j) * (-1) ** (p - j) * powers[j - 1] for j in range(1, p)], axis=1)
+    return np.concatenate([powers[p - j - 1] for j in range(1, p)], axis=1)
+
+
+def nearest(Q: np.ndarray, R: np.ndarray, rid: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places in ``R`` of the k nearest rows of each row of ``Q``, by distance, then ``rid``.
+
+    For even p the sum of ``(q - r) ** p`` is a polynomial, so one matrix
+    product gives it for a block of pairs, up to a rounding error with a known
+    bound.  Pairs that the bound cannot rule out (all of them, if numbers are
+    not finite) get their exact distance from the differences.
+    """
+    k = min(k, len(R))
+    dims = max(1, Q.shape[1])
+    best_d, best_r = np.full((len(Q), k), np.inf), np.full((len(Q), k), -1)
+    with np.errstate(all="ignore"):
+        even = int(p) if p in (2, 4, 6, 8, 10) else 0
+        if even:
+            mean = R.mean(axis=0)  # distances do not change, rounding errors shrink
+            mean = np.where(np.isfinite(mean), mean, 0.0)
+            Qc, Rc = Q - mean, R - mean
+            q_sum, r_sum = (Qc ** even).sum(-1), (Rc ** even).sum(-1)
+            # a bound of the rounding error: eps, steps of the sum, and (|q| + |r|) ** p, to which all terms add up at most
+            big = (q_sum ** (1 / even) + r_sum.max() ** (1 / even)) ** even
+            slack = np.where(np.isnan(big), np.inf, np.finfo(float).eps * 4 * (dims * even + 100) * big)
+            rows = max(1, min(KNN_ROWS, KNN_NUMBERS // (dims * (even - 1))))
+        else:
+            slack, rows = np.zeros(len(Q)), max(1, min(KNN_ROWS, KNN_NUMBERS // (2 * dims)))
+        step = max(1, min(512, KNN_NUMBERS // (rows * (1 if even else dims))))
+        for at in range(0, len(R), rows):
+            block = slice(at, min(at + rows, len(R)))
+            factors = _power_factors(Rc[block], even, False).T if even else None
+            for s in range(0, len(Q), step):
+                mine = slice(s, min(s + step, len(Q)))
+                if even:
+                    sums = _power_factors(Qc[mine], even, True) @ factors
+                    sums += q_sum[mine, None]
+                    sums += r_sum[None, block]
+                else:
+                    sums = (np.abs(Q[mine, None, :] - R[None, block, :]) ** p).sum(-1)
+                limit = best_d[mine, -1] ** p
+                if at == 0 and k <= sums.shape[1]:  # nothing found yet: the k-th least sum of the block
+                    limit = np.partition(sums, k - 1, axis=1)[:, k - 1]
+                limit = limit * (1 + 1e-12) + 2 * slack[mine]
+                limit = np.where((best_r[mine, -1] < 0) & (at > 0) | np.isnan(limit), np.inf, limit)
+                qi, ri = np.nonzero(~(sums > limit[:, None]))
+                if not len(qi):
+                    continue
+                dist = np.empty(len(qi))
+                for x in range(0, len(qi), max(1, KNN_NUMBERS // dims)):
+                    y = slice(x, x + max(1, KNN_NUMBERS // dims))
+                    diff = np.abs(Q[s + qi[y]] - R[at + ri[y]])
+                    dist[y] = np.sqrt((diff ** 2).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
+                # with those found before, the k first of every query
+                had_q, had_k = np.nonzero(best_r[mine] >= 0)
+                qi = np.concatenate([had_q, qi])
+                ri = np.concatenate([best_r[mine][had_q, had_k], at + ri])
+                dist = np.concatenate([best_d[mine][had_q, had_k], dist])
+                order = np.lexsort((rid[ri], dist, qi))
+                qi, ri, dist = qi[order], ri[order], dist[order]
+                place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+                kept = place < k
+                best_d[s + qi[kept], place[kept]] = dist[kept]
+                best_r[s + qi[kept], place[kept]] = ri[kept]
+    return best_d, best_r
+
+
 def knn_predict(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label_col: str,
-                k: int = 5, p: float = 2.0, block_rows: int = 20000) -> DataFrame:
+                k: int = 5, p: float = 2.0, block_rows: int = 50000) -> DataFrame:
     """Exact k-nearest-neighbour vote (K9), blocked nested loop.
 
     ``vec_col`` is an array<float|double> column.  Each side is cut into
-    hash blocks of about ``block_rows`` rows (counts decide the block
-    numbers, so nothing is broadcast).  Every (query block, reference block)
-    pair is one cogroup task; it returns the k best (distance, neighbour id,
-    label) per query.  The final vote takes the k nearest overall, ties in
+    hash blocks of at most about ``block_rows`` rows, the queries into more if
+    that leaves cores idle (counts decide the block numbers, so nothing is
+    broadcast).  Every (query block, reference block) pair is one cogroup
+    task; it returns the k best (distance, neighbour id, label) per query
+    (:func:`nearest`).  The final vote takes the k nearest overall, ties in
     distance broken by neighbour id, majority label, ties to the smallest
     label.  Output: (id, prediction).
     """
     spark = train.sparkSession
     n_ref, n_q = train.count(), test.count()
     rb = max(1, math.ceil(n_ref / block_rows))
-    qb = max(1, math.ceil(n_q / block_rows))
+    cells = 8 * spark.sparkContext.defaultParallelism
+    qb = max(1, math.ceil(n_q / block_rows), min(math.ceil(cells / rb), math.ceil(n_q / 512)))
     # both sides carry the block keys with the same type, so equal keys hash
     # to the same shuffle partition of the cogroup
     ref = (train.select(F.col(id_col).alias("rid"), F.col(vec_col).alias("v"), F.col(label_col).alias("lab"))
@@ -370,21 +449,9 @@ def knn_predict(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, la
         R = np.stack(r["v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         rid = r["rid"].to_numpy()
         lab = r["lab"].to_numpy()
-        out = []
-        # bound the (queries x references x dims) difference block to ~16 MB
-        step = max(1, 2_000_000 // max(1, len(R) * R.shape[1]))
-        for s in range(0, len(Q), step):
-            diff = np.abs(Q[s:s + step, None, :] - R[None, :, :])
-            d = np.sqrt((diff ** 2).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
-            kk = min(k, d.shape[1])
-            # order by (distance, neighbour id); keep the k best per query
-            order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :kk]
-            rows = np.arange(d.shape[0])[:, None]
-            out.append(pd.DataFrame({
-                "qid": np.repeat(q["qid"].to_numpy()[s:s + step], kk),
-                "rid": rid[order].ravel(), "lab": lab[order].ravel(),
-                "dist": d[rows, order].ravel()}))
-        return pd.concat(out, ignore_index=True)
+        dist, at = nearest(Q, R, rid, k, p)
+        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), at.shape[1]), "rid": rid[at].ravel(),
+                             "lab": lab[at].ravel(), "dist": dist.ravel()})
 
     cand = (qry.groupBy("qblock", "rblock")
             .cogroup(ref.groupBy("qblock", "rblock"))

@@ -1,5 +1,7 @@
 """Model-layer tests against brute force on small fixtures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fitframe.operators.models import (GaussianDiscriminant, adaboost, adaboost_predict, best_round,
                                        booster_params, cross_validate, estimator, importances,
-                                       knn_predict, softmax_raw)
+                                       knn_predict, nearest, softmax_raw)
 
 
 def _fixture(spark, n=240, d=6, k=3, seed=5):
@@ -43,6 +45,32 @@ def test_knn_blocked_equals_brute_force(spark, p):
     assert [got[i] for i in ids[~tr_mask]] == want
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.5, 10.0])
+@pytest.mark.parametrize("kind", ["ties", "far", "huge", "nan", "outlier"])
+def test_nearest_equals_brute_force_on_awkward_numbers(p, kind):
+    rng = np.random.default_rng(3)
+    made = {"ties": lambda n: rng.integers(0, 3, (n, 5)).astype(float), "far": lambda n: rng.normal(size=(n, 8)) + 1e6,
+            "huge": lambda n: rng.normal(size=(n, 4)) * 1e200,
+            "nan": lambda n: np.where(rng.random((n, 6)) < 0.05, np.nan, rng.normal(size=(n, 6))),
+            "outlier": lambda n: np.where(rng.random((n, 6)) < 0.01, 1e9, rng.normal(size=(n, 6)))}[kind]
+    q, r = made(40), made(5000)  # more references than one block holds
+    rid = rng.permutation(len(r))
+    dist, at = nearest(q, r, rid, 10, p)
+    for i in range(len(q)):
+        with np.errstate(all="ignore"):
+            diff = np.abs(q[i] - r)
+            d = np.sqrt((diff ** 2).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1 / p)
+        order = np.lexsort((rid, d))[:10]
+        assert np.array_equal(at[i], order) and np.array_equal(dist[i], d[order], equal_nan=True)
+
+
+def test_knn_deals_one_reference_block_to_many_tasks(spark):
+    df, _, _ = _fixture(spark, n=6000, d=3)
+    out = knn_predict(df.where("id % 4 = 0"), df.where("id % 4 <> 0"), "id", "v", "label", k=3)
+    blocks = re.findall(r"sequence\(0, (\d+)", out._jdf.queryExecution().analyzed().toString())
+    assert max(map(int, blocks)) >= 7  # of 512 queries or so, though all fit one block
+
+
 def test_discriminant_matches_numpy(spark):
     df, x, y = _fixture(spark, n=300, d=4)
     cols = [F.col("v")[i].alias(f"x{i}") for i in range(4)]
