@@ -13,6 +13,8 @@ can be grown on from its margins.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -24,10 +26,24 @@ from ..session import cut_lineage
 EPS = 1e-15
 
 
-def softmax(margins: Column) -> Column:
-    """Class probabilities of an array of margins, safe for large ones."""
-    each = F.transform(margins, lambda x: F.exp(x - F.array_max(margins)))
-    return F.transform(each, lambda x: x / F.aggregate(each, F.lit(0.0), lambda a, v: a + v))
+#: Classes up to which the softmax is written out, so that it is compiled and no term is worked out twice.
+WRITTEN_OUT = 16
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def softmax(margins: Column, classes: int = 0) -> Column:
+    """Class probabilities of an array of margins, safe for large ones; ``classes`` is its length, if known."""
+    if 1 < classes <= WRITTEN_OUT:
+        each = [F.get(margins, F.lit(c)) for c in range(classes)]
+        each = [F.exp(x - F.greatest(*each)) for x in each]
+        return F.array(*[x / reduce(add, each, F.lit(0.0)) for x in each])
+    each = _let(F.array_max(margins), lambda most: F.transform(margins, lambda x: F.exp(x - most)))
+    return _let(each, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v),
+                                     lambda total: F.transform(e, lambda x: x / total)))
 
 
 def class_loss(label: Column, probs: Column) -> Column:
@@ -73,7 +89,7 @@ class Boosted:
             return out.withColumn("prediction", F.get("_ff_margins", F.lit(0))).drop("_ff_margins")
         best = F.array_position(F.col("_ff_margins"), F.array_max("_ff_margins")) - 1  # ties: the smallest class
         return (out.withColumn("prediction", best.cast("double"))
-                .withColumn("probability", array_to_vector(softmax(F.col("_ff_margins")))).drop("_ff_margins"))
+                .withColumn("probability", array_to_vector(softmax(F.col("_ff_margins"), self.classes))).drop("_ff_margins"))
 
 
 def _leaves(df: DataFrame, trees: list, features: str) -> DataFrame:
@@ -124,7 +140,7 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
     fitted_on = Boosted(classes, start.base, "_x", model.rounds)  # the same rounds over the state's column
     state = cut_lineage(fitted_on.margins(rows, "_m", cut_every))
     if classes:
-        probs = softmax(g)
+        probs = softmax(g, classes)
         # gradient and (doubled) curvature of the softmax loss
         first = F.transform(probs, lambda p, c: F.when(c == y.cast("int"), 1.0).otherwise(0.0) - p)
         second = F.transform(probs, lambda p: F.greatest(2 * p * (1 - p), F.lit(EPS)))
@@ -151,7 +167,7 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
         done = [(t, [value(c, leaf) for leaf in range((t.numNodes + 1) // 2)]) for c, t in enumerate(trees)]
         model.rounds.append(done)
         state = _added(state, done, "_x", "_m")
-        if i % cut_every == cut_every - 1:
+        if i % cut_every == cut_every - 1 and i + 1 < rounds:
             state = cut_lineage(state)
         loss = {r["_side"]: r["v"] for r in state.groupBy("_side").agg(metric(y, probs).alias("v")).collect()}
         curve.append((len(model.rounds), loss.get(0), loss.get(1)))
