@@ -240,9 +240,18 @@ def watch_curve(model, train: DataFrame, valid: DataFrame, metric=squared_loss,
     ``metric`` takes the label and prediction columns and returns an aggregate,
     so any metric of a user will do.  Each table is read once for all rounds.
     """
+    n = len(model.trees)
+
     def losses(df: DataFrame, name: str) -> DataFrame:
-        rounds = staged_predictions(model, df, [label]).select(label, F.posexplode("staged").alias("_i", "_p"))
-        return rounds.groupBy((F.col("_i") + 1).alias("round")).agg(metric(F.col(label), F.col("_p")).alias(name))
+        staged = staged_predictions(model, df, [label])
+        if n > WAVE:
+            rounds = staged.select(label, F.posexplode("staged").alias("_i", "_p"))
+            return rounds.groupBy((F.col("_i") + 1).alias("round")).agg(metric(F.col(label), F.col("_p")).alias(name))
+        # an aggregate a round, so that no row is copied for each of them
+        each = [metric(F.col(label), F.get("staged", F.lit(i))).alias(f"_{i}") for i in range(n)]
+        one = staged.agg(F.count(F.lit(1)).alias("_n"), *each).where("_n > 0")
+        return one.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("round"), F.col(f"_{i}").alias(name))
+                                             for i in range(n)])))
 
     return losses(train, "train_loss").join(losses(valid, "valid_loss"), "round")
 

@@ -9,8 +9,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from fitframe.operators.boost import grow, split_importances, tree_nodes
-from fitframe.operators.models import assemble, estimator
+from fitframe.operators.boost import grow, softmax, split_importances, tree_nodes
+from fitframe.operators.models import CutEnsemble, assemble, estimator, watch_curve
 from fitframe.session import ensure_checkpoint_dir
 
 
@@ -118,3 +118,30 @@ def test_split_counts_equal_a_walk_of_the_model(spark, kind):
     assert nodes.count() == 2 * sum(walked.values()) + trees
     if kind == "gbt_reg":  # no bootstrap: the root of every tree holds all rows
         assert {r.rows for r in nodes.where("node = 0").collect()} == {train.count()}
+
+
+def test_softmax_is_worked_out_once_a_row(spark):
+    rows = [[0.0, 1.5, -2.0], [900.0, -900.0, 0.0], [float("nan"), 1.0, 2.0], [-3.0, -3.0, -3.0]]
+    df = spark.createDataFrame([(r,) for r in rows], "m array<double>")
+    out = df.select("m", softmax(F.col("m"), 3).alias("written"), softmax(F.col("m")).alias("any"))
+    for r in out.collect():
+        with np.errstate(all="ignore"):
+            e = np.exp(np.array(r.m) - np.max(r.m))
+        assert np.allclose(r.written, e / e.sum(), equal_nan=True) and np.array_equal(r.written, r.any, equal_nan=True)
+    plan = df.select(softmax(F.col("m"), 3).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # compiled
+    plan = df.select(softmax(F.col("m")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1 and plan.count("aggregate(") == 1
+
+
+def test_watch_curve_copies_no_row_for_its_rounds(spark):
+    df = assemble(spark.range(200).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 7 > 3 AS DOUBLE) AS label"), ["x"])
+    model = estimator("gbt_reg", maxIter=4, maxDepth=2).fit(df)
+    curve = watch_curve(model, df, df.where("id < 50"))
+    assert "posexplode" not in curve._jdf.queryExecution().optimizedPlan().toString()
+    for n, train, valid in [tuple(r) for r in curve.orderBy("round").collect()]:
+        cut = CutEnsemble(model, n)
+        for side, want in ((df, train), (df.where("id < 50"), valid)):
+            got = cut.transform(side).agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
+            assert abs(got - want) < 1e-12
+    assert curve.count() == 4 and watch_curve(model, df, df.where("id < 0")).count() == 0
