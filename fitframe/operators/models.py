@@ -33,6 +33,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from ..session import cut_lineage, reuse_if_shuffled
 from .folds import fold_scores, out_of_fold
@@ -40,8 +41,37 @@ from .metrics import FitEvaluator
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """Dense feature vector from columns (the training matrix, C13)."""
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    """Dense feature vector from columns (the training matrix, C13); NULL becomes NaN.
+
+    ``VectorAssembler`` marks its function as non-deterministic, so a filter
+    set after it (a side of a split, a fold) is worked out only on assembled
+    rows: every read of a side would encode and assemble the whole table.
+    Numeric columns go by an expression that lets filters through.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    plain = [c in fields and isinstance(fields[c].dataType, (NumericType, BooleanType)) and not fields[c].metadata.get("ml_attr")
+             for c in features]
+    if not features or not all(plain) or out in fields:
+        return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    values = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in features]
+    names = {"numeric": [{"idx": i, "name": c} for i, c in enumerate(features)]}
+    told = {"ml_attr": {"attrs": names, "num_attrs": len(features)}}
+    return df.select("*", array_to_vector(F.array(*values)).alias(out, metadata=told))
+
+
+def dealt(df: DataFrame, keys: list[str], columns: list[str] = ("label", "features")) -> DataFrame:
+    """``columns`` of ``df`` dealt evenly over all task slots by a hash of ``keys``, for a fit.
+
+    A fit passes over its rows many times, in the partitions that the files
+    happen to give: with few or uneven row groups most slots wait for the
+    longest.  The fit also reads its input once for its metadata, once for its
+    splits and once for its points; the exchange keeps what it reads, so the
+    rows are read from the files and assembled once.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    waves = max(2, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // slots))
+    return df.repartition(waves * slots, *[F.col(f"`{k}`") for k in keys]).select(*columns)
 
 
 # The reference's booster parameter names mapped to MLlib's.

@@ -18,12 +18,12 @@ from ..operators.boost import grow, split_importances, tree_nodes
 from ..operators.encode import LabelEncoder
 from ..operators.metrics import FitEvaluator, inverse_square_weight, logloss
 from ..operators.models import (GaussianDiscriminant, adaboost, adaboost_predict, assemble,
-                                booster_params, cross_validate, estimator, fit_early_stopped,
+                                booster_params, cross_validate, dealt, estimator, fit_early_stopped,
                                 grid_search, importances, knn_predict, softmax_raw, suite)
 from ..operators.post import finish
 from ..operators.schema import class_probabilities, positive_probability
 from ..operators.split import expr_split, fold_column, holdout, modulo_condition
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.sinks import run_tagged_path, write_feature_map, write_importances
 from .registry import R6, query, r6, table
 
@@ -351,7 +351,7 @@ def suite_leaderboard(spark, sf):
 
     def metric(pred):
         return logloss(pred.select("label", positive_probability().alias("p")), "label", "p")
-    board = suite(models, train, test, metric, "logloss", parallelism=2)
+    board = suite(models, cut_lineage(dealt(train, LI_KEYS)), test, metric, "logloss", parallelism=2)
     rate = F.lit(train.agg(F.avg("label")).first()[0])
     constant = logloss(test, "label", rate).first()[0]
     return board.select("model", "metric", (F.col("value") <= UNSEEN * constant).alias("loss_in_bound"))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from fitframe.operators import models as M
+from fitframe.operators.metrics import FitEvaluator
 from fitframe.operators.models import (GaussianDiscriminant, adaboost, adaboost_predict, best_round,
                                        booster_params, cross_validate, estimator, importances,
                                        knn_predict, nearest, softmax_raw)
@@ -180,3 +182,26 @@ def test_discriminant_keeps_digits_and_is_wide(spark):
     centred = x - np.array([x[y == c].mean(0) for c in (0, 1)])[y]
     assert np.allclose(lda.cov, centred.T @ centred / 198, atol=1e-6)
     assert lda.transform(df).count() == 200
+
+
+def test_assemble_lets_filters_through(spark):
+    """A side of a split is filtered before its rows are assembled, with the vectors of VectorAssembler."""
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(1, 2.0, True), (2, None, False), (None, 0.0, None), (2, float("nan"), True)],
+                               "k int, x double, b boolean")
+    got = M.assemble(df, ["k", "x", "b"])
+    want = VectorAssembler(inputCols=["k", "x", "b"], outputCol="features", handleInvalid="keep").transform(df)
+    assert [str(r.features.toArray()) for r in got.collect()] == [str(r.features.toArray()) for r in want.collect()]
+    assert got.schema["features"].metadata == want.schema["features"].metadata
+    plan = got.where("k % 2 = 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("UDF(") < plan.index("Filter ")  # the filter stands below
+
+
+def test_dealt_is_even_and_whole(spark):
+    df = spark.range(0, 4000, 1, 1).select("id", F.lit(None).cast("long").alias("none"), (F.col("id") % 7).alias("label"))
+    df = df.union(df)
+    got = M.dealt(df, ["id", "none"], ["id", "label"])
+    sizes = [n for n in got.rdd.glom().map(len).collect()]
+    slots = spark.sparkContext.defaultParallelism
+    assert len(sizes) >= 2 * slots and len(sizes) % slots == 0 and max(sizes) < 3 * 8000 / len(sizes)
+    assert sorted(got.collect()) == sorted(df.select("id", "label").collect())
