@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Predictor
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
@@ -194,14 +195,25 @@ def cross_validate(est, df: DataFrame, fold_col: str, evaluator, k: int) -> Data
     return out if isinstance(evaluator, dict) else out.drop("metric")
 
 
+def _read_columns(est, df: DataFrame, evaluator, fold_col: str) -> DataFrame:
+    """The columns that a predictor and a scorer of this library read; all of them for any other pair."""
+    if not (isinstance(est, Predictor) and isinstance(evaluator, FitEvaluator)):
+        return df
+    named = {est.getOrDefault(p) for p in est.params if p.name.endswith("Col") and est.isDefined(p)}
+    named |= {fold_col, evaluator.labelCol, evaluator.predictionCol, evaluator.probabilityCol, evaluator.tiebreakCol}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in named])
+
+
 def grid_search(est, grid: dict, df: DataFrame, evaluator, fold_col: str,
                 parallelism: int = 2):
     """Grid search with a custom scorer (K16) and its report.
 
     ``CrossValidator`` with a precomputed fold column (stable hash folds);
     returns ``(best_model, report)`` where the report has one row per
-    parameter map with its mean metric.
+    parameter map with its mean metric.  Each fold is held while its points
+    are fitted, so only the columns that the fits and the scorer read go in.
     """
+    df = reuse_if_shuffled(_read_columns(est, df, evaluator, fold_col))
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(est.getParam(param), values)

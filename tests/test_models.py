@@ -205,3 +205,19 @@ def test_dealt_is_even_and_whole(spark):
     slots = spark.sparkContext.defaultParallelism
     assert len(sizes) >= 2 * slots and len(sizes) % slots == 0 and max(sizes) < 3 * 8000 / len(sizes)
     assert sorted(got.collect()) == sorted(df.select("id", "label").collect())
+
+
+def test_grid_search_holds_only_what_is_read(spark, monkeypatch):
+    held = []
+
+    class Watched(M.CrossValidator):
+        def _fit(self, dataset):
+            held.append(set(dataset.columns))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(M, "CrossValidator", Watched)
+    rows = [(i, float(i % 5), float(i % 5) + 1, i % 3, "wide") for i in range(90)]
+    df = M.assemble(spark.createDataFrame(rows, "id long, x double, label double, fold int, more string"), ["x"])
+    _, report = M.grid_search(estimator("tree", maxDepth=1), {"maxDepth": [1, 3]}, df, FitEvaluator("accuracy"), "fold")
+    assert held == [{"label", "features", "fold"}]
+    assert report.count() == 2 and report.where("is_best").first().params == "maxDepth=3"
