@@ -313,6 +313,7 @@ def cv_scores(spark, sf):
     flagged, _, _ = lineitem_matrix(spark, sf, "returned")
     df = fold_column(flagged, LI_KEYS, k=5, seed=1337).withColumn("row", F.xxhash64(*LI_KEYS))
     metrics = {m: FitEvaluator(m, tiebreakCol="row") for m in CV_METRICS}
+    df = dealt(df, LI_KEYS, ["label", "features", "fold", "row"])
     scores = cross_validate(estimator("logistic", maxIter=10), df, "fold", metrics, 5)
     means = scores.where("fold >= 0").groupBy("metric").agg(F.avg("score").alias("mean"))
     score = F.col("score")
