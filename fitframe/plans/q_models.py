@@ -116,7 +116,7 @@ def _binary(model: str, fitted, train, test, share: float):
 def fit_gbt_reg(spark, sf):
     _, train, test = lineitem_matrix(spark, sf)
     est = estimator("gbt_reg", **booster_params(ntrees=20, max_depth=5, eta=0.1))
-    return _regression("fit_gbt_reg", est.fit(train), train, test, LI_KEYS, UNSEEN)
+    return _regression("fit_gbt_reg", est.fit(dealt(train, LI_KEYS)), train, test, LI_KEYS, UNSEEN)
 
 
 @query("fit_forest_reg", LI_SQL["fit_forest_reg"])
