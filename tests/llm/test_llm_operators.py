@@ -11,6 +11,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,24 @@ def test_remove_repeats(spark, hot):
     assert suffix.remove_repeats(df.limit(0), length=length).count() == 0
 
 
+def test_windows_of_many_runs_come_together():
+    """Frequent runs are hashed many at once, in few batches; equal windows have equal hashes, others differ."""
+    rng, length = random.Random(4), 130
+    rows = [(k, -k, rng.randrange(90), bytes(rng.choice(b"ab") for _ in range(rng.randint(120, 150))))
+            for k in range(300)]
+    rows += [(k + 300, 0, 7, r[3]) for k, r in enumerate(rows[:50])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["t1", "t2", "start", "data"])
+    out = list(suffix.windows_of(batch, length))
+    assert len(out) == 1
+    got = [tuple(r.values()) for r in out[0].to_pylist()]
+    want = {(t1, t2, start + i): d[i:i + length] for t1, t2, start, d in rows for i in range(len(d) - length + 1)}
+    assert sorted(g[2:] for g in got) == sorted(want)
+    by = {}
+    for h1, h2, *place in got:
+        by.setdefault((h1, h2), set()).add(want[tuple(place)])
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(want.values()))
+
+
 def test_long_text_is_cut_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HASHED_BYTES", 700)
     texts = [prose(5, 900), prose(6, 100) + prose(5, 900)[1000:2500]]
