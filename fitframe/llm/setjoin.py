@@ -38,6 +38,8 @@ HOT = 64
 BAND_GROWTH, SLACK_EVERY = 1.5, 16
 #: Sets of a large bucket that are compared in one task at a time.
 BLOCK = 256
+#: Blocks with more candidate pairs a set give a forest first; one key in so many is compared before the others.
+DENSE, FIRST_KEYS = 1, 16
 _U = np.uint64
 
 
@@ -265,7 +267,10 @@ def _neighbourhoods(wanted: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent: int, bands: Bands) -> DataFrame | None:
-    """Pairs that agree only in segments passed over: ``large`` has (key, band, n, cid, comp) of large open buckets."""
+    """Verified links of pairs that agree only in segments passed over, or as many as join these up.
+
+    ``large`` has (key, band, n, cid, comp) of large open buckets.
+    """
     held = staged(large.groupBy("cid", "band").agg(F.count("*").alias("passed")).join(
         reps.select("cid", F.col("n").alias("size")), "cid"), "held")
     short = staged(held.select("cid", "band", (F.col("passed") - bands.slack(F.col("size"), F.col("band"))).alias(
@@ -296,10 +301,42 @@ def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent:
     probes = staged(probes.union(whole.join(chosen, ["cid", "band", "segment"], "left_semi").select(
         "key", F.lit(False), "cid")), "probes")
     at = ["key", "less"]
-    entries = every.select(*at, "cid").join(probes.select(*at).distinct(), at, "left_semi")
-    asking = probes.join(entries.select(*at).distinct(), at, "left_semi")
-    met = _blocks(asking, facts, "some").join(_blocks(entries, facts, "others"), at)
-    return _block_pairs(met.select("some", "others"), percent)
+    entries = staged(every.select(*at, "cid").join(probes.select(*at).distinct(), at, "left_semi"), "entries")
+    asking = staged(probes.join(entries.select(*at).distinct(), at, "left_semi"), "asking")
+    return _met(asking, entries, facts, reps, width, percent)
+
+
+def _met(asking: DataFrame, entries: DataFrame, facts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links that join up all similar sets of which one asks for a (key, less) the other enters.
+
+    A large group of sets near each other would give all its pairs.  So blocks
+    with many candidates first give a forest over them, the likeliest pairs
+    first, and where all of it holds its sets are one component and nothing
+    stays to be compared; one key in ``FIRST_KEYS`` begins.  What is open after
+    that gives all its pairs.
+    """
+    at, links, open_keys = ["key", "less"], None, None
+    for first, whole in ((True, False), (False, False), (False, True)):
+        rows = [t.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0) if first else
+                t if open_keys is None else t.join(open_keys, at, "left_semi") for t in (asking, entries)]
+        placed = rows[0].select(*at, "cid").union(rows[1].select(*at, "cid")).join(facts.select("cid", "comp"), "cid")
+        live = staged(placed.groupBy(*at).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+            "lo <> hi").select(*at), "live")
+        some, others = (_blocks(t.join(live, at, "left_semi"), facts, name)
+                        for t, name in zip(rows, ("some", "others"), strict=True))
+        met = staged(_block_pairs(some.join(others, at), percent, whole), "met")
+        held = staged(_verified(staged(met.select("a", "b").distinct(), "pairs"), reps, width, percent), "links")
+        links = held if links is None else links.union(held)
+        if not first:
+            open_keys = staged(met.where("cut").select(*at).distinct(), "cut")
+            if open_keys.isEmpty():
+                break
+        comp = facts.select("cid", "comp")
+        ends = held.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
+        roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        facts = staged(facts.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(
+            "cid", "n", "bits", F.coalesce("root", "comp").alias("comp")), "facts")
+    return links
 
 
 def _blocks(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
@@ -311,8 +348,30 @@ def _blocks(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         F.collect_list(F.struct("cid", "comp", "n", "bits")).alias(name)).drop("block")
 
 
-def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of two blocks of sets, the pairs of different components whose bitmaps allow the similarity."""
+def _forest(ends: np.ndarray, cost: np.ndarray) -> list[int]:
+    """Which of the links ``ends`` (two rows of nodes) join all that they join, links of least cost first."""
+    nodes, ends = np.unique(ends, return_inverse=True)
+    ends = ends.reshape(2, -1)
+    above, out = list(range(len(nodes))), []
+    for i in np.argsort(cost, kind="stable").tolist():
+        x, y = int(ends[0, i]), int(ends[1, i])
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[x] = y
+            out.append(i)
+            if len(out) == len(nodes) - 1:
+                break
+    return out
+
+
+def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(key, less, a, b, cut): of two blocks of sets, the pairs of different components whose bitmaps allow the similarity.
+
+    Unless ``whole``, blocks with more than ``DENSE`` such pairs a set give a forest over them only: ``cut``.
+    """
     def facts(row) -> dict[int, tuple]:
         """By bytes of bitmap: numbers, components, sizes and bitmaps."""
         by: dict[int, list] = {}
@@ -323,8 +382,8 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, others in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = facts(some), facts(others)
+            for key, less, some, others in zip(*batch.columns, strict=True):
+                a, b, found = facts(some), facts(others), []
                 for (x, cx, nx, sx), (y, cy, ny, sy) in ((u, v) for u in a.values() for v in b.values()):
                     wide = min(sx.shape[1], sy.shape[1])
                     sx, sy = _folded_rows(sx, wide), _folded_rows(sy, wide)
@@ -335,10 +394,22 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                         may = (apart <= most) & (np.abs(nx[i:i + step, None] - ny[None, :]) <= most)
                         r, c = np.nonzero(may & (cx[i:i + step, None] != cy[None, :]))
                         if len(r):
-                            u, v = x[i:i + step][r], y[c]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+                            found.append((x[i:i + step][r], y[c], cx[i:i + step][r], cy[c], (apart / (most + 1))[r, c]))
+                if not found:
+                    continue
+                u, v, cu, cv, cost = (np.concatenate(c) for c in zip(*found, strict=True))
+                cut = not whole and len(u) > DENSE * (len(some) + len(others))
+                if cut:
+                    stay = _forest(np.stack([cu, cv]), cost)
+                    u, v = u[stay], v[stay]
+                n = len(u)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key.as_py()] * n, pa.int64()), pa.array([less.as_py()] * n, pa.bool_()),
+                     pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array([cut] * n, pa.bool_())],
+                    ["key", "less", "a", "b", "cut"])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.select("key", "less", "some", "others").mapInArrow(
+        run, "key long, less boolean, a long, b long, cut boolean")
 
 
 def _folded_rows(bits: np.ndarray, wide: int) -> np.ndarray:
@@ -368,8 +439,8 @@ def _links(reps: DataFrame, width: int, percent: int, hot: int, bands: Bands) ->
         F.collect_list(F.struct("cid", "comp", F.col("size").alias("n"), "bits")).alias("all")).select("all")
     more = _small_bucket_pairs(small, percent)
     beyond = _large_bucket_pairs(still.where(F.col("n") > hot), reps, width, percent, bands)
-    more = staged((more if beyond is None else more.union(beyond)).distinct(), "pairs")
-    return first.union(staged(_verified(more, reps, width, percent), "links"))
+    near = staged(_verified(staged(more.distinct(), "pairs"), reps, width, percent), "links")
+    return first.union(near) if beyond is None else first.union(near).union(beyond)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,

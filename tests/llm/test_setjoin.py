@@ -62,6 +62,30 @@ def test_large_buckets_are_met_by_deletions(spark, monkeypatch):
     assert sorted(map(tuple, without.collect())) != want
 
 
+def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Sets all near each other are joined by links that rise with their number, not by all their pairs."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(f"m{k}u{i}" if i in gone else w for i, w in enumerate(base))
+             for k in range(150) for gone in [rng.sample(range(60), 2)]]
+    ids = list(range(len(texts)))
+    want, links = brute(texts, ids, 1, 85)
+    asked, verified = [], setjoin._verified
+    monkeypatch.setattr(setjoin, "_verified", lambda pairs, *r: asked.append(pairs.count()) or verified(pairs, *r))
+    got = setjoin.jaccard_groups(table(spark, texts), width=1, hot=2, slack_every=1000)
+    assert sorted(map(tuple, got.collect())) == want and links > 10_000
+    assert sum(asked) < 10 * len(texts), asked
+
+
+def test_forest_joins_what_its_links_join():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        ends, cost = rng.integers(0, 30, (2, int(rng.integers(1, 80)))) * 7, rng.random(80)
+        stay = setjoin._forest(ends, cost[:ends.shape[1]])
+        pairs = (ends // 7).T.tolist()
+        assert union_find(30, [pairs[i] for i in stay]) == union_find(30, pairs) and len(stay) < 30
+
+
 def test_odd_rows(spark):
     texts = odd_texts()
     ids = [5, None, 2, 3, 3, 9, 6, 7, 8, 10, 11, 12, 13]
