@@ -62,19 +62,20 @@ def test_large_buckets_are_met_by_deletions(spark, monkeypatch):
     assert sorted(map(tuple, without.collect())) != want
 
 
-def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+def test_a_group_of_near_sets_gives_few_pairs(spark, monkeypatch):
     """Sets all near each other are joined by links that rise with their number, not by all their pairs."""
-    rng = random.Random(8)
-    base = [f"b{i}" for i in range(60)]
-    texts = [" ".join(f"m{k}u{i}" if i in gone else w for i, w in enumerate(base))
-             for k in range(150) for gone in [rng.sample(range(60), 2)]]
-    ids = list(range(len(texts)))
-    want, links = brute(texts, ids, 1, 85)
+    rng, n = random.Random(8), 150
+    gone = [rng.sample(range(60), 2) for _ in range(n)]
+    texts = [" ".join(f"m{k}u{i}" if i in gone[k] else f"b{i}" for i in range(60)) for k in range(n)]
+    rows = [(k, t, len(have), setjoin.bitmap(have), k)
+            for k, t in enumerate(texts) for have in [setjoin.tokens(t.encode(), 1)]]
+    facts = spark.createDataFrame(rows, "cid long, text string, n long, bits binary, comp long")
+    met = spark.createDataFrame([(key, False, k) for key in range(64) for k in range(n)], "key long, less boolean, cid long")
     asked, verified = [], setjoin._verified
     monkeypatch.setattr(setjoin, "_verified", lambda pairs, *r: asked.append(pairs.count()) or verified(pairs, *r))
-    got = setjoin.jaccard_groups(table(spark, texts), width=1, hot=2, slack_every=1000)
-    assert sorted(map(tuple, got.collect())) == want and links > 10_000
-    assert sum(asked) < 10 * len(texts), asked
+    links = setjoin._met(met, met, facts.drop("text"), facts, 1, 85).collect()
+    assert len(set(union_find(n, [(r.a, r.b) for r in links]))) == 1
+    assert sum(asked) < 10 * n < n * (n - 1) / 2, asked
 
 
 def test_forest_joins_what_its_links_join():
