@@ -112,3 +112,25 @@ def test_bitmaps_never_reject_a_near_pair():
         same = len(np.intersect1d(a, b))
         if len(b) and 100 * same >= 85 * (len(a) + len(b) - same):
             assert setjoin._may_be_near(len(a), setjoin.bitmap(a), len(b), setjoin.bitmap(b), 85)
+
+
+def test_bitmaps_are_small_and_still_tell_sets_apart():
+    """Bitmaps travel with every row of an open bucket: two bits a token at most, which rule out sets of little likeness."""
+    rng = np.random.default_rng(6)
+    for n in (65, 300, 511, 512, 2000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        mine = setjoin.bitmap(a)
+        assert 8 * len(mine) < 2 * max(64, len(a))
+        out = 0
+        for _ in range(100):  # 75 % alike, of other sizes too
+            m = int(rng.integers(n // 8, n // 4))
+            b = np.unique(np.concatenate([a[m:], rng.integers(0, 1 << 63, n // 3 - m, dtype=np.uint64)]))
+            out += not setjoin._may_be_near(len(a), mine, len(b), setjoin.bitmap(b), 85)
+        assert out > 50, (n, out)
+
+
+def test_shingles_differ_by_the_order_of_their_words():
+    texts = ["a b c d", "b a c d", "d c b a", "a b c", "a b c d d", "c a b", "a a a", "a a", "a a a a"]
+    made = [tuple(setjoin.tokens(t.encode(), 4).tolist()) for t in texts]
+    assert len(set(made)) == len(texts) and [len(m) for m in made] == [1, 1, 1, 1, 2, 1, 1, 1, 1]
+    assert tuple(setjoin.tokens(b"A b  C\nd", 4).tolist()) == made[0]
