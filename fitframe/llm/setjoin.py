@@ -254,23 +254,30 @@ def _small_bucket_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def _neighbourhoods(wanted: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(cid, band, segment, key, less) of ``wanted`` (cid, band, text): whole segments, and those less a token."""
+    """Whole segments, and those less a token, of ``wanted`` (cid, band, units, gone, text).
+
+    Returns (cid, band, units, segment, key, less, passed, size): whether the
+    segment's key is in ``gone``, and the segment's number of rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, band, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                    batch.column(2).cast(pa.binary()), strict=True):
+            for cid, band, units, gone, t in zip(*(batch.column(i).to_pylist() for i in range(4)),
+                                                 batch.column(4).cast(pa.binary()), strict=True):
                 have = tokens(t.as_py(), width)
                 take = dict(bands.parts(len(have)))[band]
                 segment, key = _deletions(have, bands, band, take)
-                n = take + len(key)
+                whole = _keys(have, bands, band, take)
+                segment = np.concatenate([np.arange(take), segment])
+                n = len(segment)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, cid)), pa.array(np.full(n, band, np.int32)),
-                     pa.array(np.concatenate([np.arange(take), segment]).astype(np.int32)),
-                     pa.array(np.concatenate([_keys(have, bands, band, take), key])),
-                     pa.array(np.arange(n) >= take)], ["cid", "band", "segment", "key", "less"])
+                    [pa.array(np.full(n, cid)), pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, units)),
+                     pa.array(segment.astype(np.int32)), pa.array(np.concatenate([whole, key])),
+                     pa.array(np.arange(n) >= take), pa.array(np.isin(whole, np.array(gone, np.int64))[segment]),
+                     pa.array(np.bincount(segment, minlength=take)[segment])],
+                    ["cid", "band", "units", "segment", "key", "less", "passed", "size"])
 
-    return wanted.select("cid", "band", "text").mapInArrow(
-        run, "cid long, band int, segment int, key long, less boolean")
+    return wanted.select("cid", "band", "units", "gone", "text").mapInArrow(
+        run, "cid long, band int, units long, segment int, key long, less boolean, passed boolean, size long")
 
 
 def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent: int, bands: Bands) -> DataFrame | None:
@@ -278,28 +285,26 @@ def _large_bucket_pairs(large: DataFrame, reps: DataFrame, width: int, percent:
 
     ``large`` has (key, band, n, cid, comp) of large open buckets.
     """
-    held = staged(large.groupBy("cid", "band").agg(F.count("*").alias("passed")).join(
-        reps.select("cid", F.col("n").alias("size")), "cid"), "held")
-    short = staged(held.select("cid", "band", (F.col("passed") - bands.slack(F.col("size"), F.col("band"))).alias(
-        "units")).where("units > 0"), "short")
-    if short.isEmpty():  # every set has slack enough
+    held = large.groupBy("cid", "band").agg(F.collect_list("key").alias("gone")).join(
+        reps.select("cid", F.col("n").alias("size")), "cid")
+    units = F.size("gone") - bands.slack(F.col("size"), F.col("band"))
+    held = staged(held.withColumn("units", units.cast("long")), "held")
+    if held.where("units > 0").isEmpty():  # every set has slack enough
         return None
     # A pair still unseen agrees in large buckets only, and in more of them than the slack of its side with
     # fewer segments.  So a possible partner passes over more than the slack of the least set near it.
     least = F.ceil(F.col("size") * percent / 100)
-    around = held.where(F.col("passed") > bands.slack(least, F.col("band"))).select("cid", "band")
+    around = held.where(F.size("gone") > bands.slack(least, F.col("band"))).drop("size")
     every = staged(_neighbourhoods(around.join(reps.select("cid", "text"), "cid"), width, bands), "around")
     hits = every.groupBy("key", "less").agg(F.count("*").alias("hits"))
     # a unit: the neighbourhood of a segment not passed over, or a passed one's bucket
-    own = every.join(short, ["cid", "band"]).join(
-        large.select("cid", "band", "key", F.lit(True).alias("passed")), ["cid", "band", "key"], "left")
-    gone = own.where("passed and not less").select("cid", "band", "segment").distinct()
-    free = own.join(gone, ["cid", "band", "segment"], "left_anti").select("cid", "band", "segment", "key", "less", "units")
-    priced = free.join(hits.withColumn("less", ~F.col("less")), ["key", "less"], "left").groupBy(
-        "cid", "band", "segment", "units").agg((F.coalesce(F.sum("hits"), F.lit(0)) + F.count("*")).alias("cost"))
-    whole = own.where("passed and not less").select("cid", "band", "segment", "units", "key").join(
-        large.select("key", F.col("n").alias("cost")).distinct(), "key")
-    asked = priced.union(whole.select("cid", "band", "segment", "units", "cost"))
+    own = every.where("units > 0")
+    free, whole = own.where("not passed"), own.where("passed and not less")
+    cost = ["cid", "band", "segment", "units"]
+    found = free.select(*cost, "key", (~F.col("less")).alias("less")).join(hits, ["key", "less"]).select(*cost, "hits")
+    priced = free.where("not less").select(*cost, F.col("size").alias("cost")).union(found).groupBy(*cost).agg(
+        F.sum("cost").alias("cost"))
+    asked = priced.union(whole.join(large.select("key", F.col("n").alias("cost")).distinct(), "key").select(*cost, "cost"))
     by_cost = Window.partitionBy("cid", "band").orderBy("cost", "segment")  # a set's segments
     chosen = staged(asked.withColumn("at", F.row_number().over(by_cost)).where("at <= units").select(
         "cid", "band", "segment"), "chosen")

@@ -134,3 +134,17 @@ def test_shingles_differ_by_the_order_of_their_words():
     made = [tuple(setjoin.tokens(t.encode(), 4).tolist()) for t in texts]
     assert len(set(made)) == len(texts) and [len(m) for m in made] == [1, 1, 1, 1, 2, 1, 1, 1, 1]
     assert tuple(setjoin.tokens(b"A b  C\nd", 4).tolist()) == made[0]
+
+
+def test_neighbourhoods_mark_segments_passed_over(spark):
+    """Each row says of its own segment whether its bucket was passed over and how many rows it has: no join looks it up."""
+    bands, text = setjoin.Bands(85), " ".join(f"w{i}" for i in range(60))
+    have = setjoin.tokens(text.encode(), 1)
+    band, take = bands.parts(len(have))[0]
+    keys = setjoin._keys(have, bands, band, take)
+    rows = spark.createDataFrame([(4, band, 2, [int(keys[1]), int(keys[3])], text)],
+                                 "cid long, band int, units long, gone array<long>, text string")
+    got = setjoin._neighbourhoods(rows, 1, bands).collect()
+    assert {r.segment for r in got if r.passed} == {1, 3} and {(r.cid, r.band, r.units) for r in got} == {(4, band, 2)}
+    assert [r.key for r in got if not r.less] == keys.tolist()
+    assert all(r.size == sum(o.segment == r.segment for o in got) for r in got)
