@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .cells import CELL, ROWS, Bins, countable, even, find_bins, most_bins, per_cell
 
 EPS = 1e-15
 
@@ -46,9 +47,10 @@ def softmax(margins: Column, classes: int = 0) -> Column:
                                      lambda total: F.transform(e, lambda x: x / total)))
 
 
-def class_loss(label: Column, probs: Column) -> Column:
-    """Mean multiclass log-loss as an aggregate (M2)."""
-    return -F.avg(F.log(F.greatest(F.lit(EPS), F.get(probs, label.cast("int")))))
+def class_loss(label: Column, probs: Column, rows: Column | None = None) -> Column:
+    """Mean multiclass log-loss as an aggregate (M2); ``rows`` is how many rows a row stands for, if not one."""
+    loss = F.log(F.greatest(F.lit(EPS), F.get(probs, label.cast("int"))))
+    return -F.avg(loss) if rows is None else -F.try_divide(F.sum(rows * loss), F.sum(rows))
 
 
 def squared_error(label: Column, prediction: Column) -> Column:
@@ -75,6 +77,12 @@ class Boosted:
 
     def margins(self, df: DataFrame, name: str = "margins", cut_every: int = 4) -> DataFrame:
         """``df`` and an array column with the margin of each class after all rounds."""
+        trees = [t for done in self.rounds for t, _ in done]
+        out = per_cell(df, self.features, trees, lambda cells: self._row_margins(cells, name, cut_every),
+                       len(self.base), df.columns)
+        return self._row_margins(df, name, cut_every) if out is None else out
+
+    def _row_margins(self, df: DataFrame, name: str, cut_every: int) -> DataFrame:
         out = df.withColumn(name, F.array(*map(F.lit, self.base)))
         for i, trees in enumerate(self.rounds):
             out = _added(out, trees, self.features, name)
@@ -109,6 +117,13 @@ def _added(df: DataFrame, trees: list[tuple], features: str, margins: str) -> Da
     return out.withColumn(margins, new).drop("_ff_leaves")
 
 
+def _counted(rows: DataFrame, bins: Bins) -> tuple[DataFrame, int]:
+    """A row for each side, label and cell: bin numbers for the features, and how many rows; and the number of cells."""
+    cells = bins.coded(rows, "_x", ["_y", "_side"]).groupBy("_y", "_side", CELL).agg(F.count(F.lit(1)).alias(ROWS))
+    cells = even(cells.select("_y", bins.vector().alias("_x"), "_side", F.col(ROWS).cast("double").alias(ROWS)))
+    return cells, cells.count()
+
+
 def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100, patience: int | None = None,
          eta: float = 0.1, max_depth: int = 5, l2: float = 1.0, metric=None, label: str = "label",
          features: str = "features", start: Boosted | None = None, cut_every: int = 4, **tree):
@@ -121,11 +136,15 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
     new best on ``valid`` end the fit; None grows all ``rounds``.  ``start`` is
     a model to grow on from.  ``tree`` goes to ``DecisionTreeRegressor``.
 
+    Where there are far fewer cells of rows with equal bins than rows (:mod:`cells`),
+    classes with the built-in metric are fitted on one row for each side, label and
+    cell, with the number of its rows: such rows have the same margins in all rounds.
+
     Returns ``(model cut at the best round, curve)``, the curve a table (round,
     train_loss, valid_loss, is_best) of the rounds that were fitted.  Rows with
     a null label are left out; without training rows this is a ValueError.
     """
-    metric = metric or (class_loss if classes else squared_error)
+    own_metric, metric = metric is None, metric or (class_loss if classes else squared_error)
     y, g = F.col("_y"), F.col("_m")
     sides = [df.where(F.col(label).isNotNull()).select(
         F.col(label).cast("double").alias("_y"), F.col(features).alias("_x"), F.lit(side).alias("_side"))
@@ -137,6 +156,16 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
             raise ValueError("no training rows")
         start = Boosted(classes, [0.0] * classes if classes else [float(mean)], features)
     model = Boosted(classes, start.base, features, list(start.rounds))
+    est = DecisionTreeRegressor(featuresCol="_x", labelCol="label", maxDepth=max_depth, **tree)
+    bins, n = None, F.lit(1.0)
+    if classes and own_metric and not model.rounds and countable(est):
+        bins = find_bins(sides[0], "_x", est.getMaxBins(), ["_y"], classes)
+    if bins:
+        rows, count = _counted(rows, bins)
+        est, n = est.copy({est.weightCol: ROWS, est.maxBins: most_bins(est, count)}), F.col(ROWS)
+
+        def metric(label, probs):
+            return class_loss(label, probs, n)
     fitted_on = Boosted(classes, start.base, "_x", model.rounds)  # the same rounds over the state's column
     state = cut_lineage(fitted_on.margins(rows, "_m", cut_every))
     if classes:
@@ -152,13 +181,13 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
         left = state.where("_side = 0").withColumn("_g", first)
         trees = []
         for c in range(max(1, classes)):
-            one = left.select("_x", F.get("_g", F.lit(c)).alias("label"))
-            trees.append(DecisionTreeRegressor(featuresCol="_x", labelCol="label", maxDepth=max_depth, **tree).fit(one))
+            one = left.select("_x", F.get("_g", F.lit(c)).alias("label"), *([ROWS] if bins else []))
+            trees.append(est.fit(one))
         # the sums of every leaf of every tree: a few rows a tree, added up before the shuffle
         at = _leaves(left, trees, "_x").select(F.posexplode(F.arrays_zip(
-            F.col("_ff_leaves").alias("leaf"), F.col("_g").alias("g"), second.alias("h"))).alias("c", "v"))
+            F.col("_ff_leaves").alias("leaf"), F.col("_g").alias("g"), second.alias("h"))).alias("c", "v"), n.alias("_n"))
         sums = {(r.c, r.leaf): (r.g, r.h) for r in at.groupBy("c", "v.leaf").agg(
-            F.sum("v.g").alias("g"), F.sum("v.h").alias("h")).collect()}
+            F.sum(F.col("v.g") * F.col("_n")).alias("g"), F.sum(F.col("v.h") * F.col("_n")).alias("h")).collect()}
 
         def value(c: int, leaf: int) -> float:
             total, bend = sums.get((c, leaf), (0.0, 0.0))
@@ -177,6 +206,8 @@ def grow(train: DataFrame, valid: DataFrame, classes: int = 0, rounds: int = 100
             break
     if best == float("inf"):
         best_at = len(model.rounds)  # no loss to go by: nothing is cut
+    if bins:  # the trees of bin numbers as trees of values
+        model.rounds = [[(bins.on_values(est, t), v) for t, v in done] for done in model.rounds]
     table = train.sparkSession.createDataFrame([(n, t, v, n == best_at) for n, t, v in curve],
                                                "round int, train_loss double, valid_loss double, is_best boolean")
     return model.cut(best_at), table
