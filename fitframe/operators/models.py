@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..session import cut_lineage, reuse_if_shuffled
+from .cells import CELL, fit_counted, per_cell
 from .folds import fold_scores, out_of_fold
 from .metrics import FitEvaluator
 
@@ -249,26 +250,33 @@ def staged_predictions(model, df: DataFrame, keep: list[str], name: str = "stage
     """``keep`` and an array: the prediction after each boosting round (first ``rounds``, default all).
 
     A round adds its weighted tree to the sum, so the ensemble cut after round
-    k predicts the k-th value.  Trees go in waves of bounded number, with the
+    k predicts the k-th value.  Trees predict each cell of their thresholds once,
+    if these are not too many (:func:`cells.per_cell`).  They go in waves of bounded number, with the
     lineage cut between them, so the plan stays small for thousands of rounds.
     For a classifier the values are the margins; its positive probability is
     ``1 / (1 + exp(-2 margin))``.
     """
     trees, weights = model.trees[:rounds], model.treeWeights[:rounds]
-    out = df.select(*keep, model.getFeaturesCol(), F.array().cast("array<double>").alias(name))
+    features = model.getFeaturesCol()
+    out = per_cell(df, features, trees, lambda cells: _staged(trees, weights, cells, features, [CELL], name), len(trees), keep)
+    return _staged(trees, weights, df, features, keep, name) if out is None else out
+
+
+def _staged(trees: list, weights: list[float], df: DataFrame, features: str, keep: list[str], name: str) -> DataFrame:
+    out = df.select(*keep, features, F.array().cast("array<double>").alias(name))
     last = F.coalesce(F.get(F.col(name), F.size(name) - 1), F.lit(0.0))
     for at in range(0, len(trees), WAVE):
         if at:
             out = cut_lineage(out)
         votes = []
         for i, (t, w) in enumerate(zip(trees[at:at + WAVE], weights[at:at + WAVE])):
-            out = t.setPredictionCol(f"_t{i}").setFeaturesCol(model.getFeaturesCol()).transform(out)
+            out = t.setPredictionCol(f"_t{i}").setFeaturesCol(features).transform(out)
             votes.append(F.col(f"_t{i}") * F.lit(float(w)))
         # running sums by one pass along the votes: the expression grows with the trees, not with their square
         sums = F.aggregate(F.array(*votes), F.array(last),
                            lambda acc, v: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + v)))
-        out = out.select(*keep, model.getFeaturesCol(), F.concat(F.col(name), F.slice(sums, 2, len(votes))).alias(name))
-    return out.drop(model.getFeaturesCol())
+        out = out.select(*keep, features, F.concat(F.col(name), F.slice(sums, 2, len(votes))).alias(name))
+    return out.drop(features)
 
 
 def squared_loss(y: Column, p: Column) -> Column:
@@ -315,8 +323,9 @@ def fit_early_stopped(est, train: DataFrame, valid: DataFrame, patience: int = 1
                       label: str = "label"):
     """Boosting with a watchlist and patience (K14): fit ``maxIter`` rounds, read
     the metric on both tables after each, keep the rounds up to the best one.
-    Returns ``(model, curve)``, the curve with ``is_best``; nothing is fitted twice."""
-    model = est.fit(train)
+    Returns ``(model, curve)``, the curve with ``is_best``; nothing is fitted twice.  The fit is
+    one on counted cells where that gives the same model (:mod:`cells`)."""
+    model = fit_counted(est, train)
     rows = [tuple(r) for r in watch_curve(model, train, valid, metric, label).orderBy("round").collect()]  # one a round
     best = best_round([v for _, _, v in rows], patience)
     curve = valid.sparkSession.createDataFrame(

@@ -4,12 +4,14 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 from test_boost import plain_stumps
 
 from fitframe.operators import boost as B
 from fitframe.operators import cells as C
+from fitframe.operators import models as M
 from fitframe.operators.boost import grow, tree_nodes
 from fitframe.operators.models import assemble, estimator
 from fitframe.session import ensure_checkpoint_dir
@@ -87,6 +89,26 @@ def test_what_a_fit_refuses_is_refused(spark, bad, column):
     assert told[0] == told[1] and (told[0] or (column, bad[6:9]) == ("label", "-In"))
 
 
+def test_a_cell_predicts_for_its_rows(spark, monkeypatch):
+    df = table(spark)
+    model = estimator("gbt_reg", maxIter=5, maxDepth=4).fit(df)
+    cut = {float(t) for t in re.findall(r"feature 0 <= (\S+)\)", model.toDebugString)}
+    odd = [*cut, *[np.nextafter(t, 9) for t in cut], np.inf, -np.inf, np.nan, 0.0, -0.0]
+    rows = [(i, Vectors.dense(x, y, z)) for i, (x, y, z) in enumerate((x, y, z) for x in odd for y in (0, 2.5, np.nan) for z in (0.01, np.inf))]
+    rows += [(len(rows) + i, Vectors.sparse(3, [1], [float(i)])) for i in range(5)]
+    some = spark.createDataFrame(rows, ["id", "features"])
+
+    def staged():
+        return {r.id: r.staged for r in M.staged_predictions(model, some, ["id"]).collect()}
+    calls, row_by_row = [], M._staged
+    monkeypatch.setattr(M, "_staged", lambda trees, weights, rows, *rest: calls.append(rows.columns) or row_by_row(trees, weights, rows, *rest))
+    by_cell = staged()
+    monkeypatch.setattr(C, "MOST_BYTES", 0)
+    assert by_cell == staged() and len(by_cell) == len(rows)
+    assert calls == [[C.CELL, "features"], ["id", "features"]]
+    assert M.staged_predictions(estimator("gbt_reg", maxIter=1, maxDepth=0).fit(df), some, ["id"]).count() == len(rows)
+
+
 def test_softmax_boosting_on_cells_equals_a_plain_version(spark, fitted):
     rng = np.random.default_rng(5)
     x = rng.integers(0, 4, size=(2000, 3)).astype(float)
@@ -111,3 +133,13 @@ def test_softmax_boosting_on_cells_equals_a_plain_version(spark, fitted):
     assert max(fitted) == 1500
     for a, b in zip(curve, same.orderBy("round").collect()):
         assert np.allclose(a[1:3], b[1:3], atol=1e-9)
+
+
+def test_early_stop_fits_cells(spark, fitted):
+    df = table(spark)
+    train, valid = df.where("id % 5 > 0"), df.where("id % 5 = 0")
+    est = estimator("gbt_reg", maxIter=6, maxDepth=3, stepSize=0.5)
+    kept, curve = M.fit_early_stopped(est, train, valid, patience=2)
+    assert fitted == [C.count_cells(train, C.find_bins(train, "features", 32), "features", "label").count()] and fitted[0] <= 480
+    want = M.watch_curve(est.fit(train), train, valid).orderBy("round").collect()
+    assert np.allclose([tuple(r)[:3] for r in curve.orderBy("round").collect()], [tuple(r) for r in want], atol=1e-9)
