@@ -20,6 +20,8 @@ pieces MLlib lacks are written as distributed DataFrame jobs:
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..session import cut_lineage, reuse_if_shuffled
-from .cells import CELL, fit_counted, per_cell
+from .cells import CELL, count_cells, countable, find_fold_bins, fit_cells, fit_counted, per_cell
 from .folds import fold_scores, out_of_fold
 from .metrics import FitEvaluator
 
@@ -156,8 +158,6 @@ def suite(models: dict, train: DataFrame, test: DataFrame, metric_fn, metric_nam
     ``parallelism`` > 1 submits the fits from that many threads (as
     ``CrossValidator`` does), so small fits share the cluster's task slots.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     def run(item):
         name, est = item
         value = metric_fn(est.fit(train).transform(test)).first()[0]
@@ -206,28 +206,87 @@ def _read_columns(est, df: DataFrame, evaluator, fold_col: str) -> DataFrame:
 
 
 def grid_search(est, grid: dict, df: DataFrame, evaluator, fold_col: str,
-                parallelism: int = 2):
+                parallelism: int = 2, deal: list[str] = ()):
     """Grid search with a custom scorer (K16) and its report.
 
     ``CrossValidator`` with a precomputed fold column (stable hash folds);
     returns ``(best_model, report)`` where the report has one row per
     parameter map with its mean metric.  Each fold is held while its points
-    are fitted, so only the columns that the fits and the scorer read go in.
+    are fitted, so only the columns that the fits and the scorer read go in;
+    with ``deal``, a list of keys, the rows are first :func:`dealt` by them.
+    Where counted cells give the same fits, all points of all folds are fitted
+    on one table of cells and scored in one pass instead (:func:`_on_cells`).
     """
-    df = reuse_if_shuffled(_read_columns(est, df, evaluator, fold_col))
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(est.getParam(param), values)
     maps = builder.build()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator,
-                        foldCol=fold_col, parallelism=parallelism)
-    fitted = cv.fit(df)
-    scores = [float(x) for x in fitted.avgMetrics]
+    read = _read_columns(est, df, evaluator, fold_col)
+    done = _on_cells(est, grid, maps, read, evaluator, fold_col, parallelism)
+    if done is None:
+        df = reuse_if_shuffled(dealt(df, deal, read.columns) if deal else read)
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator,
+                            foldCol=fold_col, parallelism=parallelism)
+        fitted = cv.fit(df)
+        scores, model = [float(x) for x in fitted.avgMetrics], fitted.bestModel
+    else:
+        scores, model = done
     best = (max if evaluator.isLargerBetter() else min)(range(len(scores)), key=lambda i: scores[i])
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)),
              sc, i == best) for i, (m, sc) in enumerate(zip(maps, scores))]
     report = df.sparkSession.createDataFrame(rows, "params string, mean_metric double, is_best boolean")
-    return fitted.bestModel, report
+    return model, report
+
+
+#: ``CrossValidator``'s number of folds.
+FOLDS = 3
+
+
+def _on_cells(est, grid: dict, maps: list[dict], df: DataFrame, evaluator, fold_col: str, parallelism: int):
+    """The scores of a grid search and its best model by fits on counted cells, or None where rows are needed.
+
+    The rows are counted once, by fold and cell; each fold's fits have the
+    candidate splits of their own rows.  All held-out rows are scored in one
+    job, each by every point's model of its fold.
+    """
+    points = [est.copy(m) for m in maps]
+    if not (points and isinstance(evaluator, FitEvaluator) and all(map(countable, points)))\
+            or {p for p in grid if p == "maxBins" or p.endswith("Col")}:
+        return None
+    df = reuse_if_shuffled(df)
+    features, label, in_fold = est.getFeaturesCol(), est.getLabelCol(), F.col(fold_col)
+    counts = {r["f"]: r["count"] for r in df.groupBy(F.when((in_fold >= 0) & (in_fold < FOLDS), in_fold.cast("int")).alias("f"))
+              .count().collect()}  # one a fold
+    if None in counts:
+        raise ValueError(f"Fold number must be in range [0, {FOLDS}).")
+    for f in range(FOLDS):
+        if f not in counts:
+            raise ValueError(f"The validation data at fold {f} is empty.")
+    found = find_fold_bins(df, features, est.getMaxBins(), fold_col, [counts[f] for f in range(FOLDS)])
+    if found is None:
+        return None
+    bins, own = found
+    cells = count_cells(df, bins, features, label, [fold_col])
+    n, jobs = cells.count(), [(f, p) for f in range(FOLDS) for p in range(len(points))]
+    fit = lambda job: fit_cells(points[job[1]], cells.where(in_fold != job[0]), bins, n, own[job[0]])
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = dict(zip(jobs, pool.map(fit, jobs)))
+    parts = []
+    for f in range(FOLDS):
+        fitted = [models[f, p].setPredictionCol(f"_ff_p{p}") for p in range(len(points))]
+        predict = lambda rows, fitted=fitted: reduce(lambda out, m: m.transform(out), fitted, rows)
+        kept, held = [c for c in df.columns if c != features], df.where(in_fold == f)
+        out = per_cell(held, features, [t for m in fitted for t in m.trees] if isinstance(est, GBTRegressor) else fitted,
+                       predict, len(fitted), kept)
+        out = predict(held) if out is None else out
+        each = F.array(*[F.struct(F.lit(f * len(points) + p).alias("_ff_job"), F.col(f"_ff_p{p}").alias(est.getPredictionCol()))
+                         for p in range(len(points))])
+        parts.append(out.select(*kept, F.inline(each)))
+    scored = fold_scores(reduce(DataFrame.unionByName, parts), "_ff_job", {"score": evaluator})
+    value = {r["_ff_job"]: float(r["score"]) for r in scored.collect()}  # one a fold and point
+    scores = [float(np.mean([value[f * len(points) + p] for f in range(FOLDS)])) for p in range(len(points))]
+    best = int((np.argmax if evaluator.isLargerBetter() else np.argmin)(scores))
+    return scores, fit_cells(points[best], cells, bins, n, own[FOLDS])
 
 
 def best_round(losses: list[float], patience: int) -> int:

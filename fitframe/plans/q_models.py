@@ -330,10 +330,10 @@ FROM (SELECT unnest(['2', '4']) AS d), (SELECT unnest(['0.1', '0.3']) AS s)""")
 def grid_scores(spark, sf):
     """Every point of the grid scored, and the one of least loss told as the best."""
     flagged, _, _ = lineitem_matrix(spark, sf)
-    df = dealt(fold_column(flagged, LI_KEYS, k=3, seed=1337), LI_KEYS, ["label", "features", "fold"])
+    df = fold_column(flagged, LI_KEYS, k=3, seed=1337)
     est = estimator("gbt_reg", maxIter=5)
     _, report = grid_search(est, {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, df,
-                            FitEvaluator("rmspe", unlog=True), "fold", parallelism=2)
+                            FitEvaluator("rmspe", unlog=True), "fold", parallelism=2, deal=LI_KEYS)
     least = report.select(F.min("mean_metric")).scalar()
     return report.select("params", (F.col("mean_metric") > 0).alias("in_range"),
                          (F.col("is_best") == (F.col("mean_metric") == least)).alias("best_is_least"))

@@ -13,6 +13,7 @@ from fitframe.operators import boost as B
 from fitframe.operators import cells as C
 from fitframe.operators import models as M
 from fitframe.operators.boost import grow, tree_nodes
+from fitframe.operators.metrics import FitEvaluator
 from fitframe.operators.models import assemble, estimator
 from fitframe.session import ensure_checkpoint_dir
 
@@ -143,3 +144,26 @@ def test_early_stop_fits_cells(spark, fitted):
     assert fitted == [C.count_cells(train, C.find_bins(train, "features", 32), "features", "label").count()] and fitted[0] <= 480
     want = M.watch_curve(est.fit(train), train, valid).orderBy("round").collect()
     assert np.allclose([tuple(r)[:3] for r in curve.orderBy("round").collect()], [tuple(r) for r in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("metric", [FitEvaluator("rmspe", unlog=True), FitEvaluator("gini", tiebreakCol="id")])
+def test_grid_search_on_cells_gives_the_scores_of_rows(spark, fitted, monkeypatch, metric):
+    df = table(spark, 8000, places=1, values=2).withColumn("fold", (F.col("id") % 3).cast("int"))
+    search = lambda: M.grid_search(estimator("gbt_reg", maxIter=2), {"maxDepth": [1, 3]}, df, metric, "fold", deal=["id"])
+    model, report = search()
+    assert len(fitted) == 7 and max(fitted) <= 3 * 80 * 6
+    monkeypatch.setattr(M, "countable", lambda est: False)
+    want_model, want = search()
+    assert max(fitted) > 5000
+    got, want = report.collect(), want.collect()
+    assert [(r.params, r.is_best) for r in got] == [(r.params, r.is_best) for r in want]
+    assert np.allclose([r.mean_metric for r in got], [r.mean_metric for r in want], atol=1e-9)
+    assert np.allclose(predictions(model, df), predictions(want_model, df), atol=1e-9)
+
+
+def test_grid_search_refuses_odd_folds(spark):
+    df = table(spark, 8000, places=1, values=2)
+    for fold, told in (("id % 4", "Fold number"), ("id % 2", "empty"), ("CASE WHEN id > 5 THEN id % 3 END", "Fold number")):
+        with pytest.raises(Exception, match=told):
+            M.grid_search(estimator("gbt_reg", maxIter=1), {"maxDepth": [1]}, df.withColumn("fold", F.expr(fold).cast("int")),
+                          FitEvaluator("mae"), "fold")
